@@ -86,6 +86,20 @@ def _present(r: str, path: str) -> Column:
     return F.col(f"{r}.{path}").isNotNull()
 
 
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
+
+
+def _turn_reader(role: str, text: str, names: Column | None):
+    """Reads an element of an array of turns; `names` maps roles of other layouts."""
+
+    def read(x: Column) -> Column:
+        stated = F.coalesce(x[role], F.lit(""))
+        return _turn(stated if names is None else F.coalesce(names[stated], stated), F.coalesce(x[text], F.lit("")))
+
+    return read
+
+
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """records with `layout` and `turns`, an array of (role, text).
 
@@ -99,17 +113,14 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     df = df.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256)).withColumn("layout", layout_of[F.col("fingerprint")])
     empty = F.array().cast("array<struct<role:string,text:string>>")
     roles = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in ROLES.items()))
-    turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
     turns = None
     for name, layout in LAYOUTS.items():
         if "array" in layout:
             array, role, text = layout["array"]
-            # A stated role is kept as it is where it is canonical; only names of the from/value layout are mapped.
-            named = (lambda x, role=role: F.coalesce(roles[F.coalesce(x[role], F.lit(""))], x[role], F.lit(""))) if array == "conversations" else (lambda x, role=role: F.coalesce(x[role], F.lit("")))
-            got = F.transform(F.col(f"{r}.{array}"), lambda x, named=named, text=text: turn(named(x), F.coalesce(x[text], F.lit(""))))
+            got = F.transform(F.col(f"{r}.{array}"), _turn_reader(role, text, roles if array == "conversations" else None))
         else:
-            got = F.array(*(turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(F.col(f"{r}.{p}"), F.lit("")) for p in ps))) for role, ps in layout["turns"]))
-        got = F.concat(F.when(F.col(f"{r}.system").isNotNull(), F.array(turn(F.lit("system"), F.col(f"{r}.system")))).otherwise(empty), got)
+            got = F.array(*(_turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(F.col(f"{r}.{p}"), F.lit("")) for p in ps))) for role, ps in layout["turns"]))
+        got = F.concat(F.when(F.col(f"{r}.system").isNotNull(), F.array(_turn(F.lit("system"), F.col(f"{r}.system")))).otherwise(empty), got)
         turns = F.when(F.col("layout") == name, got) if turns is None else turns.when(F.col("layout") == name, got)
     return df.withColumn("turns", F.coalesce(turns, empty)).drop(r)
 
@@ -142,7 +153,8 @@ def format_chats(df: DataFrame, turns: str = "turns", loss_roles: tuple[str, ...
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation."""
-    parts = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p, i: i > 0)
+    split = F.split(formatted, r"<\|im_start\|>")
+    parts = F.slice(split, F.lit(2), F.size(split))
     tail = len(CLOSE) + 1
     return F.transform(
         parts,

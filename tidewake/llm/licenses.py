@@ -217,7 +217,7 @@ def oracle() -> str:
     has = {p: f"contains(s, '{q}')" for p, q in phrase.items()}
     base = ", ".join(f"CASE WHEN {has[p]} THEN '{label}' END" for p, label in PHRASES.items())
     more = ", ".join(f"CASE WHEN regexp_matches(s, '{as_regex(parse(t))}') THEN '{label}' END" for label, t in TEMPLATES.items())
-    listed = lambda x: f"list_sort(list_distinct(list_filter([{x}], v -> v IS NOT NULL)))"
+    listed = lambda x: f"list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL)))"
     return f"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
