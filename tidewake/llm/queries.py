@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, licenses, packing, quality, token_files
+from . import chat, common, licenses, packing, quality, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +68,22 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+@query
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op6_difference_cover"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM d WHERE len(ws) >= 13),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM p),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS k FROM w JOIN m USING (s) WHERE least < doc_id),
+a AS (SELECT doc_id, ws[k] AS word, k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS k FROM d)),
+r AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM a ANTI JOIN c ON a.doc_id = c.doc_id AND a.k = c.k GROUP BY a.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)"""
