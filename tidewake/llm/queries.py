@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, licenses, packing, quality, substrings, token_files
+from . import chat, common, decontam, licenses, packing, quality, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,3 +87,8 @@ r AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM a ANTI JOIN
 n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@query
+def op5_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
