@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import ChunkEncoder, slices, with_end
+from .tokens import encoder, slices, with_end
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
@@ -37,12 +37,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = ChunkEncoder(tokenizer)
+        encode_texts = encoder(tokenizer).encode
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             numbers, at = batch.column("doc_id").to_pylist(), 0
             for texts in slices(batch.column("text").to_pylist()):
-                ids, offsets = with_end(*encoder.encode(texts), end_id)
+                ids, offsets = with_end(*encode_texts(texts), end_id)
                 rows = []
                 for doc_id, a, b in zip(numbers[at : at + len(texts)], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     for k, (start, length) in enumerate(cut(b - a, capacity)):

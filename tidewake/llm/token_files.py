@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import ChunkEncoder, slices, with_end
+from .tokens import encoder, slices, with_end
 
 MAGIC = b"TWD1"
 CHUNK_BITS = 8
@@ -144,7 +144,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part, block, done = TaskContext.get().partitionId(), 0, 0
-        encoder = ChunkEncoder(tokenizer)
+        encode_texts = encoder(tokenizer).encode
         held_ids: list = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -172,7 +172,7 @@ def write_tokens(
             numbers = batch.column("doc_id").to_pylist()
             at = 0
             for texts in slices(batch.column("text").to_pylist()):
-                ids, offsets = with_end(*encoder.encode(texts), end_id)
+                ids, offsets = with_end(*encode_texts(texts), end_id)
                 held.append((ids, offsets))
                 held_ids.extend(numbers[at : at + len(texts)])
                 at += len(texts)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -43,7 +44,7 @@ class ChunkEncoder:
     The table of chunks is emptied when it holds `most` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,6 +122,12 @@ class _Numbers(dict):
         return n
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker: its chunks serve the worker's later tasks too."""
+    return ChunkEncoder(path)
+
+
 def _room(array: np.ndarray, n: int) -> np.ndarray:
     if len(array) >= n:
         return array
