@@ -269,12 +269,12 @@ def logfmt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT event_id AS line_no, user_id, CASE WHEN event_id % 3 <> 1 THEN (epoch_us(ts) // 1000000) * 1000000000 END AS t FROM events)
-SELECT line_no, last_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line_no) AS ts_ns FROM l""")
+SELECT line_no, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line_no), -1) AS ts_ns FROM l""")
 def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     dated = F.when(F.col("event_id") % 3 == 0, F.concat(_time_text("yyyy-MM-dd HH:mm:ss"), F.lit(" msg"))).when(F.col("event_id") % 3 == 2, F.concat(F.lit("at ["), _time_text("dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] x"))).otherwise("no date here")
     lines = _lines(events, dated, F.col("event_id"), F.concat(F.lit("/var/log/u"), F.col("user_id").cast("string")))
-    return parsers.parse_text(lines).select("line_no", "ts_ns")
+    return parsers.parse_text(lines).select("line_no", F.coalesce("ts_ns", F.lit(-1)).alias("ts_ns"))
 
 
 @query("SELECT event_id AS line_no, 5 AS ts_ns, props AS msg, 'app=' || event_type || ',kind=k' || user_id AS tag_line, 'file=' || event_type || '.log' AS fields_line FROM events WHERE user_id % 2 = 0")
