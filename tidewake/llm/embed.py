@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
+from .graph import UnionFind
 
 _SLACK = 1e-6  # covers the rounding of the bounds themselves
 
@@ -64,26 +65,6 @@ class _Tile:
         self.codes = codes.astype(np.float32 if raw.shape[1] <= 1040 else np.float64)
 
 
-class _Sets:
-    """Union-find over node numbers, for whole arrays of links at a time."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.root[a], self.root[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            if len(a):
-                np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-                while True:
-                    up = self.root[self.root]
-                    if (up == self.root).all():
-                        break
-                    self.root = up
-
-
 def linked(a: _Tile, b: _Tile, threshold: float, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
     """For runs of rows of tile a: the first row and a boolean matrix of links to the rows of b."""
     for at in range(0, len(a.unit), rows):
@@ -145,7 +126,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
         vec = table.column("vec").to_pylist()
         weight = np.asarray(table.column("n")).astype(np.int64)
         links = np.zeros(len(vec), np.int64)
-        sets = _Sets(len(vec))
+        sets = UnionFind(len(vec))
         if i == j:
             a = b = _Tile(vec)
             shift = 0
@@ -168,7 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
             sets.join(at + p, shift + q)
         return _found(table, links, sets, linking)
 
-    def _found(table: pa.Table, links: np.ndarray, sets: _Sets, linking: np.ndarray) -> pa.Table:
+    def _found(table: pa.Table, links: np.ndarray, sets: UnionFind, linking: np.ndarray) -> pa.Table:
         where = np.flatnonzero(linking)
         rep = table.column("rep").combine_chunks()
         return pa.table(

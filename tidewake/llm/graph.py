@@ -1,13 +1,34 @@
-"""Connected components of a graph given by its links, without gathering it anywhere."""
+"""Connected components: of a few rows in memory, and of a graph given by its links without gathering it anywhere."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+class UnionFind:
+    """Union-find over node numbers, for whole arrays of links at a time."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if len(a):
+                np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+                while True:
+                    up = self.root[self.root]
+                    if (up == self.root).all():
+                        break
+                    self.root = up
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node reachable, for every node that has a link to another.
 

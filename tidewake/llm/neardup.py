@@ -6,10 +6,10 @@ coordinates of the MinHash sketch (1 / threshold on average), and a member goes
 its value there. Members of nodes small enough are compared exhaustively; larger nodes branch again,
 and what is still large at the last level is compared in blocks, so no node is dropped.
 
-Comparing goes by two rounds, so that a group of very many near copies costs no pairs within it.
-First each member meets only the smallest doc_id of its node; confirmed links make components.
-Then members of one node that are in different components are compared with each other. Sketches
-only rule pairs out; every link is confirmed on the full sets, read again from the texts.
+Within a node pairs are ruled out by sizes and sketches; of what may link only a spanning forest
+leaves the task, so a group of very many near copies costs no row for each pair. The forests of all
+trees make clusters, and each member's full set, read again from its text, goes to its cluster once.
+There every pair that is not ruled out and not joined already is settled on the full sets.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
+from .graph import UnionFind
 
 COORDINATES = 64
 _FACTORS = np.random.default_rng(99).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,105 +159,135 @@ def _may_link(matches: np.ndarray, n1: np.ndarray, n2: np.ndarray, threshold: fl
     return (matches >= (threshold - spread) * COORDINATES) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9)
 
 
-def _sifted(pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the rows (a, b, s1, s2, n1, n2) that may link."""
+def _by_key(rows: DataFrame, keys: list[str], compare, schema: str) -> DataFrame:
+    """compare(table) for the rows of each key, one key at a time; rows stream through, sorted by key."""
+    tasks = common.shuffle_partitions(rows.sparkSession)
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            if batch.num_rows:
-                same = (_bytes(batch.column("s1")) == _bytes(batch.column("s2"))).sum(1)
-                keep = _may_link(same, np.asarray(batch.column("n1")), np.asarray(batch.column("n2")), threshold)
-                yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            if not batch.num_rows:
+                continue
+            values = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in keys], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1, [len(values)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                key = tuple(values[a])
+                if held and key != last:
+                    yield compare(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+def _pairs_of_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """rows of each key dealt to `blocks` blocks, a copy for each pair i <= j of them: two blocks meet once."""
+    mine = F.pmod(F.xxhash64("rep", key), F.col("blocks")).cast("int")
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: t.cast("int")))
+    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", mine).withColumn("other", other)
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
 
-    return pairs.select("a", "b", "s1", "s2", "n1", "n2").mapInArrow(sift, "a long, b long")
 
+def _one(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks())
 
-def _residual(rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs a, b of one node and different components that may link.
 
-    rows: node, size, rep, component, s, n. Nodes larger than a block are dealt to blocks and each
-    pair of blocks is compared.
+def _forest(rep: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """A link from each row to the root of its tree."""
+    below = np.flatnonzero(root != np.arange(len(root)))
+    return pa.record_batch([pa.array(rep[below], pa.int64()), pa.array(rep[root[below]], pa.int64())], ["a", "b"])
+
+
+def candidates(members_: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links a, b that keep together whatever may link within a node: at most one for each member.
+
+    members_: node, rep, n, s. Nodes larger than a block are compared by pairs of blocks.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep", "node"), blocks).cast("int")
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: t.cast("int")))
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select("node", "i", "j", "mine", "rep", "component", "s", "n")
-    tasks = common.shuffle_partitions(rows.sparkSession)
-    sorted_ = dealt.repartition(tasks, "node", "i", "j").sortWithinPartitions("node", "i", "j")
+    sizes = members_.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = _pairs_of_blocks(members_.join(sizes, "node"), "node", F.ceil(F.col("size") / block)).select("node", "i", "j", "mine", "rep", "n", "s")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        rep, component, n = (np.asarray(table.column(c)) for c in ("rep", "component", "n"))
+        rep, n, mine = _one(table, "rep"), _one(table, "n"), _one(table, "mine")
         s = _bytes(table.column("s").combine_chunks())
-        mine = np.asarray(table.column("mine"))
         within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        found_a, found_b = [], []
-        step = max(1, (1 << 22) // max(1, len(rep) * COORDINATES))
+        sets = UnionFind(len(rep))
+        step = max(1, (1 << 22) // (len(rep) * COORDINATES))
         for at in range(0, len(rep), step):
             end = min(at + step, len(rep))
-            apart = component[at:end, None] != component[None, :]
-            apart &= rep[at:end, None] < rep[None, :]
+            same = (s[at:end, None, :] == s[None, :, :]).sum(2, dtype=np.int32)
+            keep = _may_link(same, n[at:end, None], n[None, :], threshold)
             if not within:
-                apart &= mine[at:end, None] != mine[None, :]
-            p, q = np.nonzero(apart)
-            if len(p):
-                same = (s[at + p] == s[q]).sum(1)
-                keep = _may_link(same, n[at + p], n[q], threshold)
-                found_a.append(rep[at + p[keep]])
-                found_b.append(rep[q[keep]])
-        none = np.zeros(0, np.int64)
-        return pa.record_batch([pa.array(np.concatenate([none, *found_a])), pa.array(np.concatenate([none, *found_b]))], ["a", "b"])
+                keep &= mine[at:end, None] != mine[None, :]
+            p, q = np.nonzero(keep)
+            sets.join(at + p, q)
+        return _forest(rep, sets.root)
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("node", "i", "j")], 1)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                key = tuple(keys[a])
-                if held and key != last:
-                    yield compare(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = key
-        if held:
-            yield compare(pa.Table.from_batches(held))
+    return _by_key(dealt, ["node", "i", "j"], compare, "a long, b long")
 
-    return sorted_.mapInArrow(stream, "a long, b long").distinct()
 
+def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, block_bytes: int) -> DataFrame:
+    """Links a, b on the full sets, that keep together whatever links within a cluster.
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs a, b of doc_ids whose full sets have 100 x intersection >= percent x union."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    clusters: rep, cluster, n, s. The texts of their members are read again and each set goes to its
+    cluster; a cluster whose sets take more than block_bytes is compared by pairs of blocks. Members
+    already joined are not compared again, all others are: nothing is left out.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    threshold = percent / 100
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            others = [k for k, c in enumerate(batch.schema.names) if c != "text"]
             for a, b, h, at in _sets(batch.column("text"), width):
                 sets = [np.sort(h[x:y]).astype("<u8").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "set"])
+                kept = [batch.column(k).slice(a, b - a) for k in others]
+                yield pa.record_batch([*kept, pa.array(sets, pa.binary())], [*(batch.schema.names[k] for k in others), "set"])
 
-    sets = rows.join(ends, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, set binary")
-    sets = common.materialize(sets.filter("doc_id IS NOT NULL"), "sets")
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    loads = clusters.groupBy("cluster").agg((8 * F.sum("n")).alias("load"))
+    found = rows.join(clusters.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(gather, "doc_id long, cluster long, n long, s binary, set binary")
+    # A doc_id with several texts takes part with each of them; a cluster's text may also stand under it.
+    found = found.filter("length(set) > 0").withColumnRenamed("doc_id", "rep").join(loads, "cluster")
+    dealt = _pairs_of_blocks(found, "cluster", F.ceil(F.col("load") / block_bytes)).select("cluster", "i", "j", "mine", "rep", "s", "set")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        rep, mine = _one(table, "rep"), _one(table, "mine")
+        s = _bytes(table.column("s").combine_chunks())
+        raw = table.column("set").combine_chunks()
+        _, ends = common.utf8(raw)
+        ends //= 8
+        n = np.diff(ends)
+        _, codes = np.unique(np.frombuffer(b"".join(raw.to_pylist()), "<u8"), return_inverse=True)
+        flags = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sets = UnionFind(len(rep))
+        for x in range(len(rep)):
+            apart = sets.root != sets.root[x]
+            if not within:
+                apart &= mine != mine[x]
+            ys = np.flatnonzero(apart)
+            if not len(ys):
+                continue
+            ys = ys[_may_link((s[x] == s[ys]).sum(1), n[x], n[ys], threshold)]
+            if not len(ys):
+                continue
+            mine_codes = codes[ends[x] : ends[x + 1]]
+            flags[mine_codes] = 1
+            firsts = np.cumsum(n[ys]) - n[ys]
+            both = np.add.reduceat(flags[codes[common.ranges(ends[ys], n[ys])]], firsts)
+            flags[mine_codes] = 0
+            linked = ys[100 * both >= percent * (n[x] + n[ys] - both)]
+            sets.join(np.full(len(linked), x), linked)
+        return _forest(rep, sets.root)
 
-    return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return _by_key(dealt, ["cluster", "i", "j"], compare, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, small: int = 256, block: int = 2048
+    docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, small: int = 256, block: int = 2048, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -292,18 +323,9 @@ def near_duplicates(
     slim = classes.select("rep", "n_shingles", "sketch").mapInArrow(narrow, "rep long, n long, s binary")
     held = common.materialize(nodes.join(slim, "rep"), "members")
 
-    least = held.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n", "s")).alias("p"))
-    star = held.join(least, "node").filter(F.col("rep") != F.col("p.rep"))
-    star = star.select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), F.col("s").alias("s1"), F.col("p.s").alias("s2"), F.col("n").alias("n1"), F.col("p.n").alias("n2"))
-    first = common.materialize(_sifted(star, threshold).distinct(), "pairs")
-    links = common.materialize(confirm(docs, first, width, percent), "confirmed")
-    joined = graph.components(links)
-
-    placed = held.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node", "size")
-    second = common.materialize(_residual(placed.join(mixed, "node"), threshold, block).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirm(docs, second, width, percent))
-    final = graph.components(links)
+    together = graph.components(candidates(held, threshold, block))
+    clusters = common.materialize(together.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(slim, "rep"), "clusters")
+    final = graph.components(confirmed(docs, clusters, width, percent, block_bytes))
 
     reps = classes.select("n_shingles", "f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left")
     reps = reps.select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
