@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from ..model.kvtext import tag_line
+from ..model import kvtext
 
 
 def quote(text: str) -> str:
@@ -68,7 +69,7 @@ class Tags:
     tags: tuple[tuple[str, str], ...]
 
     def __str__(self) -> str:
-        return "{" + tag_line(dict(self.tags)) + "}"
+        return "{" + ",".join(f"{k}={v if re.fullmatch(r'[\w./:-]+', v) else kvtext.quoted(v)}" for k, v in self.tags) + "}"
 
 
 Source = Tags | Any_

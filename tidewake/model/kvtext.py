@@ -108,19 +108,19 @@ def parse_fields(text: str) -> Pairs:
     return pairs
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     plain = {v: k for k, v in _SIMPLE.items() if k != "'"}
     return '"' + "".join(f"\\{plain[c]}" if c in plain else c if c.isprintable() else f"\\u{ord(c):04x}" if ord(c) < 1 << 16 else f"\\U{ord(c):08x}" for c in text) + '"'
 
 
 def tag_line(tags: dict[str, str]) -> str:
     """Canonical text of tags: keys sorted, values quoted where empty or holding a separator."""
-    return ",".join(f"{k}={_quoted(v) if not v or '=' in v or ',' in v else v}" for k, v in sorted(tags.items(), key=lambda x: x[0].encode()))
+    return ",".join(f"{k}={quoted(v) if not v or '=' in v or ',' in v else v}" for k, v in sorted(tags.items(), key=lambda x: x[0].encode()))
 
 
 def fields_line(pairs: Iterable[tuple[str, str]]) -> str:
     """Text of fields in their order; values are quoted only where they hold a separator."""
-    return ",".join(f"{k}={_quoted(v) if '=' in v or ',' in v else v}" for k, v in pairs)
+    return ",".join(f"{k}={quoted(v) if '=' in v or ',' in v else v}" for k, v in pairs)
 
 
 def is_subset(part: dict[str, str], whole: dict[str, str]) -> bool:

@@ -54,7 +54,7 @@ class Collector:
         Whole files are read where they are small enough for a value of Spark; a streaming source
         notes which files it has taken, so a restart reads each once.
         """
-        reader = (spark.readStream.schema("content binary, path string, modificationTime timestamp, length long") if stream else spark.read).format("binaryFile")
+        reader = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read).format("binaryFile")
         files = reader.load(self.include if not stream else self.include[0])
         path = F.regexp_replace("path", r"\A[a-z]+:/+", "/")
         for pattern in self.exclude:
