@@ -36,9 +36,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size, for partition counts only: no result depends on it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Beyond this Catalyst's estimate says nothing: it is that of a plan without statistics.
+UNKNOWN_BYTES = 1 << 50
+
+
+def text_bytes(rows: DataFrame, text: str = "text") -> int:
+    """About how many bytes the rows hold, for numbers of partitions only: no result depends on it.
+
+    Catalyst's estimate for tables of files; counted where there is none.
+    """
+    from pyspark.sql import functions as F
+
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < UNKNOWN_BYTES:
+        return estimate
+    return rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 16 * F.count("*")).first()[0]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_parts = common.shuffle_partitions(spark)
-    n_groups = max(n_parts, 2 * common.plan_bytes(rows) // group_bytes)
+    n_groups = max(n_parts, 2 * common.text_bytes(rows) // group_bytes)
     n_buckets = min(n_parts, 1 << 23)
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int"))
 

@@ -137,7 +137,7 @@ def write_tokens(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions or max(common.shuffle_partitions(spark), common.plan_bytes(rows) // (32 << 20))
+    n = partitions or max(common.shuffle_partitions(spark), common.text_bytes(rows) // (32 << 20))
     dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
