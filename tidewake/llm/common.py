@@ -53,6 +53,18 @@ def text_bytes(rows: DataFrame, text: str = "text") -> int:
     return rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 16 * F.count("*")).first()[0]
 
 
+def join_skewed(rows: DataFrame, aggregate: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to an aggregate of them by a long key that may be very uneven.
+
+    A join that reuses the aggregate's own exchange can't be split at run time. Joining on the
+    complement of the key gives the join exchanges of its own, which adaptive execution splits.
+    """
+    from pyspark.sql import functions as F
+
+    once = aggregate.withColumn("__not", F.bitwise_not(key)).drop(key)
+    return rows.join(once, F.bitwise_not(rows[key]) == F.col("__not")).drop("__not")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -52,9 +52,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = common.join_skewed(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
+        met = common.join_skewed(large, least, "u")
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = common.materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

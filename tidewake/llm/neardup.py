@@ -132,7 +132,7 @@ def paths(classes: DataFrame, trees: int, depth: int, more: float) -> DataFrame:
 
 
 def members(classes: DataFrame, trees: int, depth: int, more: float, small: int) -> DataFrame:
-    """node and rep: the members of nodes of at most `small`, or of the last level, with company."""
+    """node, rep and size: the members of nodes of at most `small`, or of the last level, with company."""
     every = paths(classes, trees, depth, more)
     found = None
     for k in range(1, depth + 1):
@@ -141,9 +141,9 @@ def members(classes: DataFrame, trees: int, depth: int, more: float, small: int)
         here = every.select("rep", node).distinct()
         sizes = here.groupBy(node).agg(F.count("*").alias("size")).filter("size > 1")
         # Only nodes with company go on, so what is written shrinks to the documents that share tokens.
-        with_size = common.materialize(every.join(sizes, node), f"level{k}")
+        with_size = common.materialize(common.join_skewed(every, sizes, node), f"level{k}")
         leaf = with_size.filter(F.col("size") <= small) if k < depth else with_size
-        leaf = leaf.select(F.col(node).alias("node"), "rep").distinct()
+        leaf = leaf.select(F.col(node).alias("node"), "rep", "size").distinct()
         found = leaf if found is None else found.unionByName(leaf)
         every = with_size.filter(F.col("size") > small).select("rep", *rest)
     return found
@@ -205,10 +205,9 @@ def _forest(rep: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
 def candidates(members_: DataFrame, threshold: float, block: int) -> DataFrame:
     """Links a, b that keep together whatever may link within a node: at most one for each member.
 
-    members_: node, rep, n, s. Nodes larger than a block are compared by pairs of blocks.
+    members_: node, rep, size, n, s. Nodes larger than a block are compared by pairs of blocks.
     """
-    sizes = members_.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = _pairs_of_blocks(members_.join(sizes, "node"), "node", F.ceil(F.col("size") / block)).select("node", "i", "j", "mine", "rep", "n", "s")
+    dealt = _pairs_of_blocks(members_, "node", F.ceil(F.col("size") / block)).select("node", "i", "j", "mine", "rep", "n", "s")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         rep, n, mine = _one(table, "rep"), _one(table, "n"), _one(table, "mine")
@@ -250,7 +249,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, bl
     loads = clusters.groupBy("cluster").agg((8 * F.sum("n")).alias("load"))
     found = rows.join(clusters.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(gather, "doc_id long, cluster long, n long, s binary, set binary")
     # A doc_id with several texts takes part with each of them; a cluster's text may also stand under it.
-    found = found.filter("length(set) > 0").withColumnRenamed("doc_id", "rep").join(loads, "cluster")
+    found = common.join_skewed(found.filter("length(set) > 0").withColumnRenamed("doc_id", "rep"), loads, "cluster")
     dealt = _pairs_of_blocks(found, "cluster", F.ceil(F.col("load") / block_bytes)).select("cluster", "i", "j", "mine", "rep", "s", "set")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
