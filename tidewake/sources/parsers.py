@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -62,33 +61,43 @@ def parse_k8json(lines: DataFrame) -> DataFrame:
 _LOGFMT_PAIR = r'([^\s="\x00-\x20]+)(?:=("(?:[^"\\]|\\.)*"|[^\s"]*))?'
 
 
-def logfmt_value(text: Column, key: str) -> Column:
-    """The last value of a key in logfmt text, null where it doesn't occur."""
-    name = re.escape(key)
-    pairs = F.filter(F.regexp_extract_all(text, F.lit(_LOGFMT_PAIR), F.lit(0)), lambda p: p.rlike(rf"\A{name}(?:=|\z)"))
-    last = F.get(pairs, F.size(pairs) - 1)
-    raw = F.regexp_replace(last, rf"\A{name}=?", "")
-    inner = F.replace(F.replace(F.substr(raw, F.lit(2), F.char_length(raw) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
-    return F.when(F.size(pairs) > 0, F.when(raw.startswith('"'), inner).otherwise(raw))
+def logfmt_pairs(text: Column) -> Column:
+    """Keys and values of logfmt text, in order; a key without `=` has the value ""."""
+
+    def pair(p: Column) -> Column:
+        at = F.locate("=", p)
+        raw = F.when(at > 0, F.substr(p, at + 1)).otherwise("")
+        inner = F.replace(F.replace(F.substr(raw, F.lit(2), F.char_length(raw) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+        return F.struct(F.when(at > 0, F.substr(p, F.lit(1), at - 1)).otherwise(p).alias("k"), F.when(raw.startswith('"'), inner).otherwise(raw).alias("v"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(_LOGFMT_PAIR), F.lit(0)), pair)
 
 
 def parse_logfmt(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """As k8json, and keys of logfmt in the message become fields; a valid time key is the record's time.
+    """As k8json, and keys of logfmt in the message become fields, each with its last value; a valid time key is the record's time.
 
     A message whose quotes don't close is not logfmt: it gives no fields of its own.
     """
     rows = _json_records(lines).withColumn("msg", F.coalesce("r.log", F.lit("")))
-    sound = F.char_length(F.regexp_replace(F.regexp_replace("msg", r'\\.', ""), '[^"]', "")) % 2 == 0
-    values = [(k, F.when(sound, logfmt_value(F.rtrim("msg"), k))) for k in keys]
-    more = F.array_compact(F.array(*(F.when(v.isNotNull(), _pair(k, v)) for k, v in values))) if values else _none()
-    time = next((rfc3339_ns(v) for k, v in values if k == "time"), F.lit(None).cast("long"))
-    fields = F.concat(F.array(_pair("stream", F.coalesce("r.stream", F.lit("")))), more)
+    quotes = F.char_length(F.regexp_replace(F.regexp_replace("msg", r"\\.", ""), '[^"]', ""))
+    wanted = F.filter(logfmt_pairs(F.rtrim("msg")), lambda p: p["k"].isin(*keys)) if keys else _none()
+    # Each step is a projection of its own, so the patterns run once for all keys.
+    rows = rows.withColumn("pairs", F.when(quotes % 2 == 0, wanted).otherwise(_none()))
+    rows = rows.withColumn("own", F.array_compact(F.array(*(_last(F.col("pairs"), k) for k in keys))) if keys else _none())
+    time = rfc3339_ns(F.get(F.filter("own", lambda p: p["k"] == "time"), F.lit(0))["v"])
+    fields = F.concat(F.array(_pair("stream", F.coalesce("r.stream", F.lit("")))), F.col("own"))
     return rows.select(
         "file", "line_no", F.when(~F.col("bad"), F.coalesce(time, F.col("t"))).alias("ts_ns"), F.when(~F.col("bad"), F.col("msg")).alias("msg"),
         F.when(~F.col("bad"), fields).otherwise(_none()).alias("fields_kv"), F.when(F.col("bad"), F.col("line")).alias("corrupt"),
     )
 
 
+def _last(pairs: Column, key: str) -> Column:
+    """The last pair of a key, null without one."""
+    mine = F.filter(pairs, lambda p: p["k"] == key)
+    return F.try_element_at(mine, F.lit(-1))
+
+
 @dataclass
 class DatedLines:
     """Finds the date of each line of one file, in order.
