@@ -179,3 +179,17 @@ def test_dates_skip_and_come_back(spark):
     assert not state.skipping and state.date("2024-01-01 00:00:00") is not None
     text = spark.createDataFrame([("f", k, x) for k, x in enumerate(["2024-01-01 00:00:00 a", "b", "2024-01-01 00:00:01 c"])], "file string, line_no long, line string")
     assert {r["pattern"]: r["hits"] for r in parsers.date_statistics(text).collect()} == {"YYYY-MM-DD HH:mm:ss": 2, "": 1}
+
+
+def test_shell(spark, engine, capsys):
+    from tidewake import cli
+
+    engine.write("app=a", "", records(spark, [1, 2], "\nx"))
+    out = io.StringIO()
+    cli.run(engine, "select", out)
+    assert out.getvalue() == "x1\nx2\n"
+    out = io.StringIO()
+    cli.run(engine, "select '{vars:app};' limit 1", out)
+    cli.run(engine, "show partitions", out)
+    assert out.getvalue().startswith("a;src\ttag_line")
+    assert cli.main([engine.store.root, "selec"]) == 1 and "error" in capsys.readouterr().err
