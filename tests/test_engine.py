@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.errors import FormatError, LqlError
+from tidewake.errors import FormatError, StatementError
 from tidewake.functions import formatter
 from tidewake.functions.syslog import FACILITIES, facility, severity, syslog_line
 from tidewake.model.schema import LOG_SCHEMA
@@ -47,7 +47,7 @@ def test_pages_cover_everything(spark):
         seen += [(r["src"], r["ts_ns"]) for r in rows]
     assert seen == merged(runs)
     assert decode_token(encode_token({"a": (1, 2)})) == {"a": (1, 2)} and decode_token("TAIL") == "tail"
-    with pytest.raises(LqlError):
+    with pytest.raises(StatementError):
         decode_token("???")
 
 
@@ -61,7 +61,7 @@ def test_offsets_and_limits(spark):
     assert times("select limit 0") == []
     assert times("select limit -1") == list(range(20))
     assert times("select where msg suffix 5 or ts > 18") == [5, 15, 19]
-    with pytest.raises(LqlError):
+    with pytest.raises(StatementError):
         engine.sql("select", view="v", limit=-1)
 
 

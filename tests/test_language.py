@@ -6,11 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewake.errors import DateTimeError, LqlError, LqlSyntaxError, PatternError, UnknownOperandError, UnsupportedOperatorError
+from tidewake.errors import DateTimeError, StatementError, StatementSyntaxError, PatternError, UnknownOperandError, UnsupportedOperatorError
 from tidewake.functions.glob import to_regex
-from tidewake.lql import compile as lql_compile
-from tidewake.lql.datetime import DateFinder, parse_literal, to_ns
-from tidewake.lql.parser import parse, parse_expression, parse_size, parse_source
+from tidewake.language import compile as conditions
+from tidewake.language.datetime import DateFinder, parse_literal, to_ns
+from tidewake.language.parser import parse, parse_expression, parse_size, parse_source
 from tidewake.model.kvtext import pairs_literal
 
 STATEMENTS = [
@@ -40,7 +40,7 @@ def test_clauses():
 
 @pytest.mark.parametrize("text", ["", "selec", "select where", "select where a", "select where a=", "select limit x", "show", "describe", "select from {a=b", "select where (a=b", "delete pipe", "select limit 1 offset 1", "select ?"])
 def test_bad_statements(text):
-    with pytest.raises(LqlSyntaxError):
+    with pytest.raises(StatementSyntaxError):
         parse(text)
 
 
@@ -55,7 +55,7 @@ TRUTH = [
 def test_where_truth_table(spark):
     fields = pairs_literal([("f1", "val1"), ("f2", "val2"), ("dup", "first"), ("dup", "second")])
     row = spark.range(1).select(F.lit(123).cast("long").alias("ts_ns"), F.lit("aaaabbbb").alias("msg"), fields.alias("fields_kv"))
-    got = row.select(*(lql_compile.where_condition(parse_expression(e)).alias(f"c{k}") for k, (e, _) in enumerate(TRUTH))).first()
+    got = row.select(*(conditions.where_condition(parse_expression(e)).alias(f"c{k}") for k, (e, _) in enumerate(TRUTH))).first()
     assert [(e, got[k]) for k, (e, _) in enumerate(TRUTH)] == TRUTH
 
 
@@ -67,7 +67,7 @@ SOURCES = [
 
 def test_source_truth_table(spark):
     row = spark.range(1).select(F.create_map(*(F.lit(x) for x in ("name", "app1", "ip", "1.2.3.4", "ttt", "ddfe"))).alias("tags"))
-    got = row.select(*(lql_compile.source_condition(parse_source(e)).alias(f"c{k}") for k, (e, _) in enumerate(SOURCES))).first()
+    got = row.select(*(conditions.source_condition(parse_source(e)).alias(f"c{k}") for k, (e, _) in enumerate(SOURCES))).first()
     assert [(e, got[k]) for k, (e, _) in enumerate(SOURCES)] == SOURCES
 
 
@@ -77,8 +77,8 @@ def test_source_truth_table(spark):
 )
 def test_errors_show_before_a_job(spark, text, error):
     with pytest.raises(error) as e:
-        lql_compile.where_condition(parse_expression(text))
-    assert isinstance(e.value, LqlError)
+        conditions.where_condition(parse_expression(text))
+    assert isinstance(e.value, StatementError)
 
 
 def _matches(glob: str, text: str) -> bool:

@@ -4,7 +4,7 @@ import threading
 
 import pytest
 
-from tidewake.errors import LqlError
+from tidewake.errors import StatementError
 from tidewake.plans.engine import Engine
 from tidewake.sinks.stdout import Stdout
 from tidewake.sinks.syslog import Syslog, Target
@@ -61,10 +61,10 @@ def test_pipes(spark, engine):
     engine.write("app=a", "", records(spark, [1, 2]))
     engine.execute("create pipe old from {app=a} where msg contains m")
     engine.execute("create pipe p from app=a where msg suffix 3 or msg suffix 4")
-    with pytest.raises(LqlError):
+    with pytest.raises(StatementError):
         engine.execute("create pipe p")
     assert engine.pipes.ensure("p", "app=a", "msg suffix 3 or msg suffix 4").first()["name"] == "p"
-    with pytest.raises(LqlError):
+    with pytest.raises(StatementError):
         engine.pipes.ensure("p", "app=b")
     engine.write("app=a,x=1", "f=1", records(spark, [3, 5]))
     engine.pipes.start("p").awaitTermination()
@@ -85,7 +85,7 @@ def test_pipes(spark, engine):
     assert engine.execute("describe pipe p").first()["dest_tag_line"] == "stream.pipe=p"
     engine.execute("delete pipe p")
     assert lines(engine.sql("select from {stream.pipe=p}")) == ["m3", "m4"]
-    with pytest.raises(LqlError):
+    with pytest.raises(StatementError):
         engine.execute("describe pipe p")
 
 

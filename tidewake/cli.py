@@ -7,10 +7,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .errors import LqlError
+from .errors import StatementError
 from .functions import formatter
-from .lql import ast
-from .lql.parser import parse
+from .language import ast
+from .language.parser import parse
 from .plans.engine import Engine
 
 DEFAULT_FORMAT, DEFAULT_LIMIT = "{msg}\n", 50
@@ -46,7 +46,7 @@ def main(arguments: list[str] | None = None) -> int:
             continue
         try:
             run(engine, line)
-        except (LqlError, ValueError) as e:
+        except (StatementError, ValueError) as e:
             failed = 1
             print(f"error: {e}", file=sys.stderr)
     return failed

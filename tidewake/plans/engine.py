@@ -9,12 +9,12 @@ from datetime import UTC, datetime, tzinfo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import LqlError
+from ..errors import StatementError
 from ..functions import formatter
-from ..lql import ast
-from ..lql.compile import range_bounds, range_condition, source_condition, where_condition
-from ..lql.datetime import parse_literal
-from ..lql.parser import parse
+from ..language import ast
+from ..language.compile import range_bounds, range_condition, source_condition, where_condition
+from ..language.datetime import parse_literal
+from ..language.parser import parse
 from ..model.kvtext import fields_line_column, tag_line
 from ..operators import merge, stats, truncate
 from .store import Store
@@ -37,7 +37,7 @@ def decode_token(token: str) -> str | dict[str, tuple[int, int]]:
         found = json.loads(base64.urlsafe_b64decode(token.encode()))
         return {str(k): (int(v[0]), int(v[1])) for k, v in found.items()}
     except Exception as e:
-        raise LqlError(f"not a position: {token}") from e
+        raise StatementError(f"not a position: {token}") from e
 
 
 class Engine:
@@ -67,11 +67,11 @@ class Engine:
             condition = source_condition(source)
             if source is not None:
                 if self.max_sources is not None and df.filter(condition).select("src").distinct().limit(self.max_sources).count() >= self.max_sources:
-                    raise LqlError(f"{self.max_sources} partitions or more match")
+                    raise StatementError(f"{self.max_sources} partitions or more match")
                 df = df.filter(condition)
             return df, monotonic
         if self.store is None:
-            raise LqlError("there is no store: give a root or a view")
+            raise StatementError("there is no store: give a root or a view")
         srcs = self.store.resolve(source, self.max_sources)
         return self.store.records(srcs), self.store.is_monotonic(srcs)
 
@@ -83,7 +83,7 @@ class Engine:
         """
         select = parse(statement) if isinstance(statement, str) else statement
         if not isinstance(select, ast.Select):
-            raise LqlError(f"not a SELECT: {select}")
+            raise StatementError(f"not a SELECT: {select}")
         now = now or datetime.now(UTC)  # once for the whole statement
         df, monotonic = self._rows(select.source, view)
         in_range = range_condition(range_bounds(select.range, now, self.zone))
@@ -98,7 +98,7 @@ class Engine:
         most = limit if limit is not None else select.limit
         if most is not None and most < 0:
             if limit is not None:
-                raise LqlError(f"a limit of {most}")
+                raise StatementError(f"a limit of {most}")
             most = None  # in a text a negative limit is none
         return merge.window(keyed, where_to, steps, most, backward).drop(merge.KEY)
 
@@ -158,7 +158,7 @@ class Engine:
                 return self.pipes.create(what.name, what.source, what.where)
             case ast.DeletePipe():
                 return self.pipes.delete(what.name)
-        raise LqlError(f"can't run {what}")
+        raise StatementError(f"can't run {what}")
 
     def _chosen(self, source: ast.Source | None, view: str | None) -> DataFrame:
         chunks = self.chunk_table(view)

@@ -60,20 +60,20 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-def statement(name: str, lql: str, oracle: str, view: str = "events", **arguments) -> None:
+def statement(name: str, text: str, oracle: str, view: str = "events", **arguments) -> None:
     """A query that is one statement."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engine(spark, sf_dir).sql(lql, view=view, now=NOW, **arguments)
+        return engine(spark, sf_dir).sql(text, view=view, now=NOW, **arguments)
 
     run.__name__ = name
     query(oracle)(run)
 
 
-def events_where(name: str, lql: str, condition: str, view: str = "events") -> None:
+def events_where(name: str, text: str, condition: str, view: str = "events") -> None:
     """A query for the rows of events that meet a condition."""
     row = _ROW.replace("tag_line", "user_line AS tag_line") if view == "user_events" else _ROW
-    statement(name, lql, f"WITH {_EVENTS} SELECT {row} FROM e WHERE {condition}", view)
+    statement(name, text, f"WITH {_EVENTS} SELECT {row} FROM e WHERE {condition}", view)
 
 
 # FROM
@@ -159,8 +159,8 @@ def flagship_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lql = 'SELECT "{ts.format(2006-01-02)} {vars:app} {msg}" FROM app="error" RANGE ["2024-01-05":"2024-01-12"] WHERE msg CONTAINS "7" LIMIT 10'
-    return engine(spark, sf_dir).sql(lql, view="events", now=NOW)
+    text = 'SELECT "{ts.format(2006-01-02)} {vars:app} {msg}" FROM app="error" RANGE ["2024-01-05":"2024-01-12"] WHERE msg CONTAINS "7" LIMIT 10'
+    return engine(spark, sf_dir).sql(text, view="events", now=NOW)
 
 
 @query("SELECT to_json(text)::VARCHAR AS line FROM documents WHERE lang = 'en'")
@@ -186,9 +186,9 @@ def chunked(spark: SparkSession, sf_dir: str) -> Engine:
     return out
 
 
-def chunked_statement(name: str, lql: str, oracle: str, columns: list[str]) -> None:
+def chunked_statement(name: str, text: str, oracle: str, columns: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return chunked(spark, sf_dir).execute(lql, view="events", now=NOW).select(*columns)
+        return chunked(spark, sf_dir).execute(text, view="events", now=NOW).select(*columns)
 
     run.__name__ = name
     query(f"WITH {_CHUNKS} {oracle}")(run)

@@ -14,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lql import ast
-from ..lql.compile import source_condition
+from ..language import ast
+from ..language.compile import source_condition
 from ..model.kvtext import pairs_literal, parse_fields, parse_tags, tag_line_column
 from ..model.schema import LOG_SCHEMA
 from ..operators import stats

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lql.datetime import DateFinder
+from ..language.datetime import DateFinder
 from ..model.kvtext import parse_pairs
 
 #: A parsed line: file, its place there, time (null where the line has none), message, fields, and the raw line where it could not be read.

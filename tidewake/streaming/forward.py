@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..lql.compile import source_condition
+from ..language.compile import source_condition
 from ..operators import merge
 from .pipes import destination
 

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import LqlError
-from ..lql import ast
-from ..lql.compile import source_condition, where_condition
-from ..lql.parser import parse_expression, parse_source
+from ..errors import StatementError
+from ..language import ast
+from ..language.compile import source_condition, where_condition
+from ..language.parser import parse_expression, parse_source
 from ..model.kvtext import parse_tags, tag_line
 
 #: The tag that names the pipe of a destination partition.
@@ -48,7 +48,7 @@ class Pipes:
 
     def __init__(self, engine):
         if engine.store is None:
-            raise LqlError("pipes need a store")
+            raise StatementError("pipes need a store")
         self.engine, self.store = engine, engine.store
         self.running: dict[str, object] = {}
 
@@ -79,7 +79,7 @@ class Pipes:
         with self.store.lock:
             pipes = self._load()
             if name in pipes:
-                raise LqlError(f"there is a pipe {name} already")
+                raise StatementError(f"there is a pipe {name} already")
             where_condition(where), source_condition(source)  # errors show before anything is saved
             pipes[name] = Pipe(name, str(source) if source else "", str(where) if where else "", time.time_ns())
             self._save(pipes)
@@ -93,7 +93,7 @@ class Pipes:
             if have and (have.tags_cond, have.flt_cond) == (str(s) if s else "", str(w) if w else ""):
                 return self._frame([have])
             if have and not recreate:
-                raise LqlError(f"pipe {name} has other conditions")
+                raise StatementError(f"pipe {name} has other conditions")
             if have:
                 self.delete(name)
             return self.create(name, s, w)
@@ -101,7 +101,7 @@ class Pipes:
     def get(self, name: str) -> Pipe:
         found = self._load().get(name)
         if not found:
-            raise LqlError(f"no pipe {name}")
+            raise StatementError(f"no pipe {name}")
         return found
 
     def delete(self, name: str) -> DataFrame:

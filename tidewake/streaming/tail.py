@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lql.compile import range_bounds, range_condition, source_condition, where_condition
-from ..lql.parser import parse
+from ..language.compile import range_bounds, range_condition, source_condition, where_condition
+from ..language.parser import parse
 from ..operators import merge
 
 
