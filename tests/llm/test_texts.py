@@ -329,6 +329,13 @@ def test_clean_texts_stay(spark):
     assert all(out[k]["text"] == t and out[k]["found"] == 0 for k, t in enumerate(clean))
 
 
+def test_neighbours_of_numbers(spark):
+    rows = ["4111111111111111 12 pears", "4111111111111112 4111111111111111", "+1 (325) 555-8094 12 pears", "+1 (325) 555-8094", "3782-822463-10005."]
+    out = [replaced(spark, list(enumerate(rows)))[k]["text"] for k in range(5)]
+    assert out[0].endswith(" 12 pears") and out[1].startswith("4111111111111112 4") and out[0][:16] == out[1][17:] != "4111111111111111"
+    assert out[2] == out[3] + " 12 pears" and re.fullmatch(r"3\d{3}-\d{6}-\d{5}\.", out[4])
+
+
 def test_names_by_gender_and_script(spark):
     out = replaced(spark, [(1, "Mrs. Jane Smith met Mr. Smith and Herr Müller."), (2, "Mr Smith; госпожа Иванова и г-н Петров"), (3, "Mrs. Jane Smith")])
     first = re.fullmatch(r"Mrs\. (\w+) (\S+) met Mr\. (\S+) and Herr (\S+)\.", out[0]["text"])

@@ -2,13 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-pytest.importorskip("public_tokenizers")
-import public_tokenizers  # noqa: E402
-
-from tidewake.llm import packing, token_files  # noqa: E402
-from tidewake.llm.tokens import ChunkEncoder, with_end  # noqa: E402
+from tidewake.llm import packing, token_files
+from tidewake.llm.tokens import ChunkEncoder, with_end
 
 PATHS = {n: public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
 
