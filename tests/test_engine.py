@@ -65,6 +65,16 @@ def test_offsets_and_limits(spark):
         engine.sql("select", view="v", limit=-1)
 
 
+def test_many_positions(spark, monkeypatch):
+    runs = {s: [1, 2, 3, 4] for s in "abcd"}
+    keyed = merge.with_merge_key(frame(spark, runs), True)
+    position = {"a": (0, 2), "b": (1, 3), "x": (9, 9)}
+    take = lambda: [(r["src"], r["ts_ns"]) for r in merge.window(keyed, position, -2, 6).collect()]
+    spelled = take()
+    monkeypatch.setattr(merge, "MOST_LITERALS", 1)
+    assert take() == spelled and len(spelled) == 6
+
+
 def test_range_is_inclusive_and_reaches_the_scan(spark, tmp_path):
     engine = Engine(spark)
     path = str(tmp_path / "log")

@@ -43,6 +43,12 @@ def test_write_and_select(spark, engine):
         Engine(spark, engine.store.root, max_sources=2).sql("select")
 
 
+def test_field_texts(spark, engine):
+    rows = spark.createDataFrame([(1, "a", 'x=1,y="2,3"'), (2, "b", "not fields"), (3, "c", None)], "ts_ns long, msg string, fields string").coalesce(1)
+    engine.write("app=a", "host=h", rows)
+    assert [r["fields_line"] for r in engine.sql("select").collect()] == ['host=h,x=1,y="2,3"', "host=h", "host=h"]
+
+
 def test_truncate(spark, engine):
     for t in ([1, 2], [3, 4], [5, 6]):
         engine.write("app=a", "", records(spark, t))

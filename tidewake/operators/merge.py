@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "__key"
+#: Positions of more partitions than this are joined, not spelled out in a condition.
+MOST_LITERALS = 100
 
 
 def with_merge_key(rows: DataFrame, monotonic: bool = False, backward: bool = False) -> DataFrame:
@@ -61,16 +63,22 @@ def at_or_after(position: str | dict[str, tuple[int, int]] | None) -> Column | N
 
 
 def window(
-    rows: DataFrame, position: str | dict[str, tuple[int, int]] | None = None, offset: int | None = None, limit: int | None = None, backward: bool = False
+    rows: DataFrame, position: str | dict[str, tuple[int, int]] | None = None, offset: int | None = None, limit: int | None = None, backward: bool = False, after: Column | None = None
 ) -> DataFrame:
     """Merged rows from a position on, `offset` further (or back), at most `limit`, in order.
 
     A negative offset steps back over the merged sequence, at most to its beginning, so with the
     position tail the last rows come. With a limit Spark keeps only the top rows of each task.
+    `after` may say in place of a position which rows are at or after it.
     """
     if limit is not None and limit < 0:
         raise ValueError(f"a limit of {limit}")
-    after = at_or_after(position)
+    if isinstance(position, dict) and len(position) > MOST_LITERALS:
+        starts = rows.sparkSession.createDataFrame([(s, c, i) for s, (c, i) in position.items()], "src string, __chunk bigint, __idx bigint")
+        rows = rows.join(starts, "src", "left")
+        after = F.coalesce((F.col("chunk_id") > F.col("__chunk")) | ((F.col("chunk_id") == F.col("__chunk")) & (F.col("idx") >= F.col("__idx"))), F.lit(True))
+        return window(rows.withColumn("__after", after), None, offset, limit, backward, F.col("__after")).drop("__chunk", "__idx", "__after")
+    after = at_or_after(position) if after is None else after
     offset = offset or 0
     chosen = rows if after is None else rows.filter(after)
     if offset < 0 and after is not None:

@@ -11,14 +11,17 @@ import threading
 import time
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..language import ast
 from ..language.compile import source_condition
 from ..model.kvtext import pairs_literal, parse_fields, parse_tags, tag_line_column
 from ..model.schema import LOG_SCHEMA
 from ..operators import stats
+from ..sources.parsers import field_texts
 
 PARTITIONS = "src string, tags map<string,string>, tag_line string, created_ns bigint, by_pipe boolean"
 CHUNKS = "src string, tag_line string, chunk_id bigint, records bigint, bytes bigint, min_ts_ns bigint, max_ts_ns bigint, monotonic boolean"
@@ -31,6 +34,11 @@ def src_of(tag_line):
     return F.substr(F.sha2(tag_line, 256), F.lit(1), F.lit(16))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])))
+def _fields_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: [{"k": k, "v": v} for k, v in field_texts(text)] if text else [])
+
+
 @dataclass
 class Store:
     spark: SparkSession
@@ -128,10 +136,13 @@ class Store:
             return self.table("chunks", CHUNKS).filter(F.col("chunk_id") == chunk_id)
 
     def write(self, tags: str, fields: str, records: DataFrame) -> DataFrame:
-        """Write records (ts_ns, msg and perhaps fields_kv) under tags; the fields given come before a record's own."""
+        """Write records under tags; the fields given come before a record's own.
+
+        records: ts_ns, msg, and perhaps fields_kv or `fields`, a text; a text that can't be read counts as empty.
+        """
         if not parse_tags(tags):
             raise ValueError("a partition needs a tag")
-        own = F.col("fields_kv") if "fields_kv" in records.columns else F.array()
+        own = F.col("fields_kv") if "fields_kv" in records.columns else _fields_of("fields") if "fields" in records.columns else F.array()
         tag_map = F.create_map(*(F.lit(x) for kv in sorted(parse_tags(tags).items()) for x in kv))
         given = F.concat(pairs_literal(parse_fields(fields)), F.coalesce(own.cast("array<struct<k:string,v:string>>"), pairs_literal([])))
         return self.append(records.select(tag_map.alias("tags"), "ts_ns", "msg", given.alias("fields_kv")))
