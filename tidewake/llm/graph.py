@@ -56,6 +56,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = common.join_skewed(large, least, "u")
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = common.materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        earlier, edges = edges, common.materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        common.discard(earlier)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
