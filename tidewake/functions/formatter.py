@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import FormatError
-from ..model.kvtext import field_value, fields_line_column, tag_value
+from ..model.kvtext import field_texts_column, field_value, tag_value
 
 RFC3339 = "2006-01-02T15:04:05Z07:00"
 #: Elements of layouts by reference time, the longer first, and Spark's letters for them.
@@ -127,8 +127,7 @@ def _offset(ts_ns: Column, letters: str, zone: str) -> Column:
 
 
 def vars_text() -> Column:
-    fields = fields_line_column(F.col("fields_kv"))
-    return F.concat(F.col("tag_line"), F.when(fields == "", "").otherwise(F.concat(F.lit(","), fields)))
+    return F.concat_ws(",", F.col("tag_line"), field_texts_column(F.col("fields_kv")))
 
 
 def render(template: str, zone: str = "UTC", trim_msg: bool = False) -> Column:

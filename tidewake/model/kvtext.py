@@ -150,10 +150,23 @@ def tag_line_column(tags: Column) -> Column:
     return F.array_join(F.transform(entries, text), ",")
 
 
+def tag_line_of(tags: dict[str, Column]) -> Column:
+    """tag_line of columns by name. The names are known, so this is one concatenation that stays in generated code."""
+    parts: list[Column] = []
+    for k in sorted(tags, key=str.encode):
+        v = tags[k]
+        parts += [F.lit(("," if parts else "") + f"{k}="), F.when((v == "") | _separates(v), _quoted_column(v)).otherwise(v)]
+    return F.concat(*parts)
+
+
+def field_texts_column(fields: Column) -> Column:
+    """Texts of an array of (k, v), one for each."""
+    return F.transform(fields, lambda e: F.concat(e["k"], F.lit("="), F.when(_separates(e["v"]), _quoted_column(e["v"])).otherwise(e["v"])))
+
+
 def fields_line_column(fields: Column) -> Column:
     """fields_line of an array of (k, v), in Spark."""
-    text = lambda e: F.concat(e["k"], F.lit("="), F.when(_separates(e["v"]), _quoted_column(e["v"])).otherwise(e["v"]))
-    return F.coalesce(F.array_join(F.transform(fields, text), ","), F.lit(""))
+    return F.coalesce(F.array_join(field_texts_column(fields), ","), F.lit(""))
 
 
 def field_value(fields: Column, name: str) -> Column:

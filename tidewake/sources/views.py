@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model.kvtext import tag_line_column
+from ..model.kvtext import tag_line_of
 from ..model.schema import LOG_COLUMNS
 
 CHUNK_RECORDS = 250_000
@@ -26,10 +26,10 @@ def log_view(df: DataFrame, tags: dict[str, Column], ts_ns: Column, msg: Column,
     tag_map = F.create_map(*(x for k, v in tags.items() for x in (F.lit(k), text(v))))
     chunk = chunk_id if chunk_id is not None else F.floor(idx / CHUNK_RECORDS)
     rows = df.select(
-        tag_map.alias("tags"), chunk.cast("bigint").alias("chunk_id"), idx.cast("bigint").alias("idx"), ts_ns.cast("bigint").alias("ts_ns"), text(msg).alias("msg"),
+        tag_map.alias("tags"), tag_line_of({k: text(v) for k, v in tags.items()}).alias("tag_line"), chunk.cast("bigint").alias("chunk_id"), idx.cast("bigint").alias("idx"), ts_ns.cast("bigint").alias("ts_ns"), text(msg).alias("msg"),
         pairs.cast("array<struct<k:string,v:string>>").alias("fields_kv"),
     )
-    return rows.withColumn("tag_line", tag_line_column(F.col("tags"))).withColumn("src", F.col("tag_line")).select(*LOG_COLUMNS)
+    return rows.withColumn("src", F.col("tag_line")).select(*LOG_COLUMNS)
 
 
 def events_view(events: DataFrame, by_user: bool = False, disorder: bool = False) -> DataFrame:
