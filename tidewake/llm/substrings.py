@@ -132,7 +132,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20
     judged on the input. Null and empty texts have no words; a row without doc_id neither loses
     words nor makes others lose them; rows with the same doc_id do not count against each other;
     an empty table gives no rows. `window` is at least 7. Equal hashes of 64 bits and the bucket
-    count as equal windows. A group is held in memory: `group_bytes` or its longest document.
+    count as equal windows. A group is held in memory: `group_bytes` or its longest document, and a
+    few times that in arrays; a bucket as well. There is a payload for each group and bucket, so on
+    executors with much memory larger groups mean fewer payloads.
     """
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
