@@ -43,6 +43,8 @@ def test_near_duplicates(spark):
         assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=repr) == brute(rows, 0.95)
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
     assert embed.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    doubles = frame.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embed.near_duplicates(doubles).collect()), key=repr) == brute(rows, 0.95)
 
 
 def test_bounds_hold():

@@ -38,10 +38,10 @@ def _vectors(column: pa.Array) -> tuple[list[np.ndarray | None]]:
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = _vectors(batch.column("embedding"))
-        data = [None if v is None else (v + 0.0).astype("<f8").tobytes() for v in vectors]
+        data = [None if v is None else (v + 0.0).astype(dtype).tobytes() for v in vectors]
         yield pa.record_batch(
             {
                 "vec_id": batch.column("vec_id"),
@@ -54,8 +54,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class _Tile:
     """Unit vectors of one dimension, their int8 codes, scales and error norms."""
 
-    def __init__(self, vectors: list[bytes]):
-        raw = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+    def __init__(self, vectors: list[bytes], dtype: str = "<f8"):
+        raw = np.frombuffer(b"".join(vectors), dtype).astype(np.float64).reshape(len(vectors), -1)
         scaled = raw / np.abs(raw).max(1, keepdims=True)
         self.unit = scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
         self.scale = np.abs(self.unit).max(1) / 127
@@ -99,12 +99,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    prints = common.materialize(given.mapInArrow(_fingerprints, "vec_id long, fp binary, vec binary"), "vectors")
+    # Single precision holds vectors of floats as they are; anything else is kept in double.
+    dtype = "<f4" if given.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    prints = common.materialize(given.mapInArrow(lambda batches: _fingerprints(batches, dtype), "vec_id long, fp binary, vec binary"), "vectors")
     classes = (
         prints.filter("fp IS NOT NULL")
         .groupBy("fp")
         .agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"), F.first("vec").alias("vec"))
-        .withColumn("dim", F.expr("length(vec) div 8"))
+        .withColumn("dim", F.expr(f"length(vec) div {dtype[-1]}"))
     )
     classes = common.materialize(classes, "classes")
     # A row for each dimension that occurs.
@@ -128,10 +130,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
         links = np.zeros(len(vec), np.int64)
         sets = UnionFind(len(vec))
         if i == j:
-            a = b = _Tile(vec)
+            a = b = _Tile(vec, dtype)
             shift = 0
         elif 0 < first < len(vec):
-            a, b, shift = _Tile(vec[:first]), _Tile(vec[first:]), first
+            a, b, shift = _Tile(vec[:first], dtype), _Tile(vec[first:], dtype), first
         else:
             return _found(table, links, sets, np.zeros(len(vec), bool))
         linking = np.zeros(len(vec), bool)
@@ -161,6 +163,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
             }
         )
 
+    # Tasks by work, not by bytes: small tiles would be gathered into few tasks, and a pair of tiles takes long.
+    pairs = tiles.agg(F.sum(F.col("tiles").cast("long") * (F.col("tiles") + 1) / 2)).first()[0] or 0
+    copies = copies.repartition(max(common.shuffle_partitions(spark), min(2 * int(pairs), 20_000)), "dim", "i", "j")
     found = copies.groupBy("dim", "i", "j").applyInArrow(products, "fp binary, links long, a long, b long")
     found = common.materialize(found, "tile-links")
     direct = found.groupBy("fp").agg(F.sum("links").alias("links"))
