@@ -61,6 +61,25 @@ class Store:
         fs, p = self._fs(self.path(name))
         fs.delete(p, True)
 
+    def read_text(self, name: str) -> str | None:
+        """A small text file, None where there is none."""
+        if not self.exists(name):
+            return None
+        fs, path = self._fs(self.path(name))
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, name: str, text: str) -> None:
+        fs, path = self._fs(self.path(name))
+        stream = fs.create(path, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def table(self, name: str, schema: str) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)

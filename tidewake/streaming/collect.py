@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +16,12 @@ def collect(engine, collector, checkpoint: str, **trigger):
     own chunk. Without a trigger what there is is taken once. Lines without a date get the time of
     the batch.
     """
-    import time
-
     lines = collector.lines(engine.spark, stream=True)
-    first = time.time_ns()
+    # Chunks are numbered from when the checkpoint was first used, so a batch has the same chunk after a restart.
+    note = f"collectors/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+    if engine.store.read_text(note) is None:
+        engine.store.write_text(note, str(time.time_ns()))
+    first = int(engine.store.read_text(note))
 
     def take(batch: DataFrame, number: int) -> None:
         rows = collector.read(batch).filter("corrupt IS NULL").orderBy("file", "line_no")

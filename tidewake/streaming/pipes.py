@@ -53,23 +53,11 @@ class Pipes:
         self.running: dict[str, object] = {}
 
     def _load(self) -> dict[str, Pipe]:
-        if not self.store.exists("pipes.json"):
-            return {}
-        fs, path = self.store._fs(self.store.path("pipes.json"))
-        stream = fs.open(path)
-        try:
-            text = self.store.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return {p["name"]: Pipe(**p) for p in json.loads(text)}
+        text = self.store.read_text("pipes.json")
+        return {p["name"]: Pipe(**p) for p in json.loads(text)} if text else {}
 
     def _save(self, pipes: dict[str, Pipe]) -> None:
-        fs, path = self.store._fs(self.store.path("pipes.json"))
-        stream = fs.create(path, True)
-        try:
-            stream.write(bytearray(json.dumps([p.__dict__ for p in pipes.values()]).encode()))
-        finally:
-            stream.close()
+        self.store.write_text("pipes.json", json.dumps([p.__dict__ for p in pipes.values()]))
 
     def _frame(self, pipes: list[Pipe]) -> DataFrame:
         return self.store.spark.createDataFrame([(p.name, p.tags_cond, p.flt_cond, p.dest_tag_line, p.created_ns) for p in pipes], SCHEMA)
