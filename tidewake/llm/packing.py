@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             numbers, at = batch.column("doc_id").to_pylist(), 0
-            for texts in slices(batch.column("text").to_pylist()):
+            for texts in slices(batch.column("text")):
                 ids, offsets = with_end(*encode_texts(texts), end_id)
                 rows = []
                 for doc_id, a, b in zip(numbers[at : at + len(texts)], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

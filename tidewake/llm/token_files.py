@@ -137,7 +137,7 @@ def write_tokens(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions or max(common.shuffle_partitions(spark), common.text_bytes(rows) // (32 << 20))
+    n = partitions or max(common.shuffle_partitions(spark), common.text_bytes(rows) // (256 << 20))
     dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def write_tokens(
         for batch in batches:
             numbers = batch.column("doc_id").to_pylist()
             at = 0
-            for texts in slices(batch.column("text").to_pylist()):
+            for texts in slices(batch.column("text")):
                 ids, offsets = with_end(*encode_texts(texts), end_id)
                 held.append((ids, offsets))
                 held_ids.extend(numbers[at : at + len(texts)])

@@ -44,7 +44,7 @@ class ChunkEncoder:
     The table of chunks is emptied when it holds `most` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,6 +96,8 @@ class ChunkEncoder:
         if len(self.number) > self.most:
             self._clear()
         find, number = self.pattern.findall, self.number.__getitem__
+        if self.pattern is DROPPED:
+            texts = [t and _lowered(t) for t in texts]
         chunks = [np.fromiter(map(number, find(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         self._encode_fresh()
         which = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
@@ -109,6 +111,15 @@ class ChunkEncoder:
         return self.ids[at], offsets.astype(np.int64)
 
 
+def _lowered(text: str) -> str:
+    """text in lower case where the normalizer's steps would give no more than that: within Latin-1 nothing composes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class _Numbers(dict):
     """Numbers chunks as they come and notes the new ones."""
 
@@ -141,10 +152,10 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     return np.insert(ids, offsets[1:], np.uint32(end)), offsets + np.arange(len(offsets))
 
 
-def slices(texts: list[str | None], most: int = 1 << 20):
-    """Runs of texts of about `most` characters."""
+def slices(column, most: int = 1 << 20):
+    """Runs of about `most` characters of an Arrow column's texts; no more than that is held as Python strings."""
     run, size = [], 0
-    for text in texts:
+    for text in (x for k in range(0, len(column), 128) for x in column.slice(k, 128).to_pylist()):
         run.append(text)
         size += len(text or "") + 1
         if size >= most:
