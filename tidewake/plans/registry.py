@@ -6,6 +6,8 @@ then total, so the rows are the same on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -307,3 +309,64 @@ def merge_keys_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     rows = views.log_view(orders, {"priority": F.col("o_orderpriority")}, views.micros_ns(F.col("o_orderdate")), F.col("o_comment") if "o_comment" in orders.columns else F.lit(""), [], F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 5000))
     return merge.with_merge_key(rows).select("idx", "ts_ns", F.col(merge.KEY).alias("merge_key"))
+
+
+# The store and its streams. Each query writes a store of its own in the shared folder.
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidewake-shared"
+    return f"{shared.rstrip('/')}/tidewake/store-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, sf_dir: str, prepare: str | None = None, chunks: list[Column] | None = None) -> Engine:
+    """An engine whose store holds the events, one chunk for each condition; a statement may be run before they are written."""
+    out = Engine(spark, scratch(spark))
+    if prepare:
+        out.execute(prepare)
+    rows = views.events_view(table(spark, sf_dir, "events"))
+    for condition in chunks or [F.lit(True)]:
+        out.store.append(rows.filter(condition).orderBy("idx").select("tags", "ts_ns", "msg", "fields_kv"))
+    return out
+
+
+@query(f"WITH {_EVENTS} SELECT {_ROW} FROM e WHERE app IN ('click', 'error') AND k < '5' AND ts >= TIMESTAMP '2024-01-03'")
+def store_write_and_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).sql("SELECT FROM app=click OR app=error RANGE '2024-01-03' WHERE fields:k < 5", now=NOW)
+
+
+@query(f"WITH {_CHUNKS} SELECT tag_line, sum(bytes)::BIGINT AS size, sum(records)::BIGINT AS records FROM c GROUP BY tag_line")
+def store_show_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).execute("SHOW PARTITIONS").select("tag_line", "size", "records")
+
+
+@query(f"WITH {_EVENTS} SELECT {_ROW} FROM e WHERE ts >= TIMESTAMP '2024-01-10' OR app = 'view'")
+def store_truncate_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, last = F.col("ts_ns") < 1704844800000000000, F.col("ts_ns") >= 1705708800000000000
+    out = stored(spark, sf_dir, chunks=[first, ~first & ~last, last])
+    out.execute("TRUNCATE app != view BEFORE '2024-01-15 00:00:00'", now=NOW)
+    return out.sql("SELECT", now=NOW)
+
+
+@query(f"WITH {_EVENTS} SELECT ts_ns, msg, 'stream.pipe=sevens' AS tag_line, fields_line || ',app=' || app AS fields_line FROM e WHERE app <> 'view' AND contains(msg, '7')")
+def pipe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stored(spark, sf_dir, "CREATE PIPE sevens FROM app != view WHERE msg CONTAINS 7")
+    out.pipes.start("sevens").awaitTermination()
+    return out.sql("SELECT FROM {stream.pipe=sevens}", now=NOW)
+
+
+@query(f"WITH {_EVENTS} SELECT app || ' ' || msg AS line FROM e WHERE k >= '9'")
+def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stored(spark, sf_dir)
+    taken = out.store.path("taken")
+    out.tail("SELECT '{vars:app} {msg}' WHERE fields:k >= 9", lambda rows: rows.write.mode("append").parquet(taken), out.store.path("checkpoints/tail")).awaitTermination()
+    return spark.read.schema("line string").parquet(taken)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || chr(10) AS msg, (epoch_us(ts) // 1000000) * 1000000000 AS ts_ns, 'app=logs,kind=text' AS tag_line FROM events")
+def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Engine(spark, scratch(spark))
+    folder = out.store.path("incoming")
+    table(spark, sf_dir, "events").orderBy("event_id").coalesce(1).select(F.concat_ws(" ", _time_text("yyyy-MM-dd HH:mm:ss"), "event_type")).write.text(folder)
+    schemas = [PathSchema(r"/incoming/part-[^/]*(?P<kind>text|txt)?$", {"app": "logs", "kind": "text"}, {}, "text")]
+    out.collect(Collector([folder], schemas), out.store.path("checkpoints/collect")).awaitTermination()
+    return out.sql("SELECT", now=NOW).select("msg", "ts_ns", "tag_line")
