@@ -209,6 +209,21 @@ def test_decontamination_odd_cases(spark):
     assert decontam.matches(frame(spark, [(1, "x " * 50000 + "One, two three FOUR five six" + " y" * 50000), (None, "one two three four five six")]), bench).count() == 2
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "一个水池有两个进水管单开甲管需要六小时注满单开乙管需要八小时注满问"
+    edited = chinese[:10] + "丙" + chinese[11:]
+    bench = spark.createDataFrame([(1, "What is 12 + 30?"), (2, chinese), (3, "ประเทศไทยมีเมืองหลวงชื่อว่าอะไร"), (4, "Yes"), (5, "日本の首都"), (6, " ?! ")], "item_id long, text string")
+    docs = [
+        (1, "Q: what is 12+30? A: 42"), (2, "somewhat is 12 + 30"), (3, "what is 12 + 305"), (4, "题目" + edited + "，答"), (5, "ถามว่าประเทศไทยมีเมืองหลวงชื่อว่าอะไรครับ"),
+        (6, "yes."), (7, "yesterday, eyes"), (8, "質問：日本の首都はどこですか"), (9, "日本の古都"), (10, "?!"), (11, "what is 12 or 30"),
+    ]
+    expected = {(1, 1, 0), (4, 2, 1), (5, 3, 0), (6, 4, 0), (8, 5, 0)}
+    for limits in ({}, {"block_chars": 20}):
+        assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.matches(frame(spark, docs), bench, **limits).collect()} == expected
+        kept = decontam.decontaminate(frame(spark, docs), bench, **limits)
+        assert {r["doc_id"] for r in kept.collect()} == {2, 3, 7, 9, 10, 11}
+
+
 # Passages
 
 

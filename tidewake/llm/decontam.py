@@ -4,6 +4,7 @@ A test item may stand in a document with up to k edits, k a share of its length.
 pieces, at least one piece is then untouched: all pieces of all items are looked for at once, and
 each hit is verified by Myers' bit-parallel edit distance on the stretch of text around it. Texts
 are compared as lower-cased words (letters, digits and anything beyond ASCII) joined by one space.
+Items of a few words are looked for without edits, at the bounds of words.
 
 Items come to the documents in blocks of bounded size, so a test set of any size is matched by as
 many passes as it has blocks.
@@ -12,6 +13,8 @@ many passes as it has blocks.
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SPACED = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+#: Letters of scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 Item = tuple[object, str]
 
 
@@ -31,6 +36,21 @@ def plain(text: str | None) -> str:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split()).decode("utf-8")
 
 
+def words_in(text: str) -> int:
+    """Number of words of a plain text; each letter of a script without spaces counts as one."""
+    return max(text.count(" ") + 1, len(_UNSPACED.findall(text))) if text else 0
+
+
+def _joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word."""
+    return all(unicodedata.category(c)[0] in "LMN" and not _UNSPACED.match(c) for c in (a, b))
+
+
+def at_bounds(text: str, start: int, end: int) -> bool:
+    """Whether a stretch of a plain text starts and ends where words do; scripts without spaces have bounds everywhere."""
+    return not (start and _joined(text[start - 1], text[start]) or end < len(text) and _joined(text[end - 1], text[end]))
+
+
 def distance_within(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """Smallest edit distance of the pattern to any stretch of the text, and where the first such stretch ends.
 
@@ -72,13 +92,14 @@ def pieces(length: int, errors: int) -> list[tuple[int, int]]:
 
 
 class Matcher:
-    """Finds items in texts."""
+    """Finds items in texts; those of fewer than `least_words` words exactly and as whole words."""
 
-    def __init__(self, items: list[Item], share: float):
+    def __init__(self, items: list[Item], share: float, least_words: int):
         import ahocorasick
 
         self.items = items
-        self.errors = [int(len(text) * share) for _, text in items]
+        self.short = [words_in(text) < least_words for _, text in items]
+        self.errors = [0 if short else int(len(text) * share) for short, (_, text) in zip(self.short, items, strict=True)]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             for a, b in pieces(len(text), self.errors[k]):
@@ -97,6 +118,12 @@ class Matcher:
         for end, (size, where) in self.automaton.iter(text):
             for k, offset in where:
                 errors, at = self.errors[k], end + 1 - size - offset
+                if self.short[k]:  # its only piece is all of it
+                    if k not in best and at_bounds(text, at, end + 1):
+                        best[k] = (0, end + 1)
+                        if first_only:
+                            return best
+                    continue
                 # What was verified around a start covers every start within the budget of it.
                 if k in best and best[k][0] == 0 or any(abs(at - t) <= errors for t in tried.get(k, ())):
                     continue
@@ -114,22 +141,21 @@ class Matcher:
 
 
 @lru_cache(maxsize=2)
-def _matcher(key: str, items: tuple[Item, ...], share: float) -> Matcher:
-    return Matcher(list(items), share)
+def _matcher(key: str, items: tuple[Item, ...], share: float, least_words: int) -> Matcher:
+    return Matcher(list(items), share, least_words)
 
 
-def item_blocks(benchmark: DataFrame, least_words: int = 5, block_chars: int = 4 << 20) -> Iterator[tuple[Item, ...]]:
+def item_blocks(benchmark: DataFrame, block_chars: int = 4 << 20) -> Iterator[tuple[Item, ...]]:
     """Blocks of (item_id, plain text), each of about `block_chars` at most or one item.
 
-    Null items and items of fewer than `least_words` words match nothing: a few words stand
-    anywhere. Equal rows count once.
+    Null items and items without a word match nothing. Equal rows count once.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     block: list[Item] = []
     size = 0
     for row in rows.toLocalIterator():
         text = plain(row["text"])
-        if text.count(" ") + 1 < least_words:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield tuple(sorted(block, key=repr))
@@ -144,9 +170,11 @@ def _key(items: tuple[Item, ...]) -> str:
     return hashlib.sha256(repr(items).encode()).hexdigest()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, **limits) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, least_words: int = 5, **limits) -> DataFrame:
     """A row for each document and each test item that stands in it with at most share x length edits.
 
+    Items of fewer than `least_words` words must stand there without edits and as whole words: with
+    edits a few words would stand anywhere. Letters of scripts without spaces count as words.
     Returns doc_id, item_id, edits (the smallest distance) and match_end (where that stretch ends in
     the plain text). Null and empty texts hold nothing; rows that share a doc_id, or have none, are
     matched each on its own; an empty table on either side gives no rows; other columns are ignored.
@@ -157,7 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, **limits
     for items in item_blocks(benchmark, **limits):
 
         def match(batches: Iterator[pa.RecordBatch], items=items, key=_key(items)) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, items, share)
+            matcher = _matcher(key, items, share, least_words)
             for batch in batches:
                 got = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -175,14 +203,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, **limits
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, **limits) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, least_words: int = 5, **limits) -> DataFrame:
     """docs without the rows whose text holds a test item; all columns stay. Cases as in `matches`."""
     kept = docs
     schema = T.StructType([*docs.schema.fields, T.StructField("__text", T.StringType())])
     for items in item_blocks(benchmark, **limits):
 
         def clean(batches: Iterator[pa.RecordBatch], items=items, key=_key(items)) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, items, share)
+            matcher = _matcher(key, items, share, least_words)
             for batch in batches:
                 free = [not matcher.found(plain(text.as_py()), first_only=True) for text in batch.column("__text")]
                 yield batch.filter(pa.array(free, pa.bool_()))
