@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewake.errors import FormatError, StatementError
 from tidewake.functions import formatter
-from tidewake.functions.syslog import FACILITIES, facility, severity, syslog_line
+from tidewake.functions.syslog import FACILITIES, cut_bytes, facility, severity, syslog_line
 from tidewake.model.schema import LOG_SCHEMA
 from tidewake.operators import merge, sliding, truncate
 from tidewake.plans.engine import Engine, decode_token, encode_token
@@ -114,6 +114,26 @@ def test_json_escapes(spark):
         assert r["j"] == json.dumps(t, ensure_ascii=False).replace("\\b", "\\u0008").replace("\\f", "\\u000c")
 
 
+def test_cut_is_that_of_brute_force(spark):
+    texts = ["aé日😀" * k + "x" * j for k in range(0, 12, 3) for j in range(4)] + ["日" * 90, "😀" * 60, "", "é" * 101 + "a" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    limits = [1, 2, 3, 4, 5, 9, 30, 200]
+    got = {r["k"]: r for r in rows.select("k", *(cut_bytes(F.col("t"), n).alias(f"c{n}") for n in limits)).collect()}
+    for k, t in enumerate(texts):
+        for n in limits:
+            raw = t.encode()
+            assert got[k][f"c{n}"] == (t if len(raw) <= n else raw[:n].decode("utf-8", "ignore") + "... [truncated]\n"), (t, n)
+
+
+def test_syslog_documents_are_cut(spark, sf_dir):
+    from tidewake.plans import registry
+
+    texts = {r["doc_id"]: r["text"].replace("\n", "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    lines = {r["ts_ns"]: r["line"].split(" - - - ", 1)[1] for r in registry.QUERIES["syslog_documents"](spark, sf_dir).collect()}
+    assert lines == {d: t if len(t.encode()) <= 200 else t.encode()[:200].decode("utf-8", "ignore") + "... [truncated]\n" for d, t in texts.items()}
+    assert sum(x.endswith("... [truncated]\n") for x in lines.values()) > len(lines) / 2
+
+
 def test_syslog(spark):
     row = spark.createDataFrame([("s", "a=b", {"a": "b"}, 0, 0, 1_500_000, "line\nfeed äöü", [("sev", "crit")])], LOG_SCHEMA)
     line = lambda **k: row.select(syslog_line(**k)).first()[0]

@@ -243,6 +243,16 @@ def syslog_short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts_ns", F.lit(0).cast("long")).select(F.col("doc").alias("ts_ns"), syslog_line(tags="d", limit=200).alias("line"))
 
 
+#: Over 200 bytes, the most first characters that take no more: as many as the largest number of them that fits.
+_CUT = "CASE WHEN strlen(t) <= 200 THEN t ELSE left(t, (SELECT max(n) FROM range(0, 201) r(n) WHERE strlen(left(t, n)) <= 200)) || '... [truncated]' || chr(10) END"
+
+
+@query(f"WITH d AS (SELECT doc_id, replace(text, chr(10), '') AS t FROM documents) SELECT doc_id AS ts_ns, '<182>1 1970-01-01T00:00:00Z localhost d - - - ' || {_CUT} AS line FROM d")
+def syslog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.documents_view(table(spark, sf_dir, "documents")).withColumn("doc", F.col("ts_ns"))
+    return rows.withColumn("ts_ns", F.lit(0).cast("long")).select(F.col("doc").alias("ts_ns"), syslog_line(tags="d", limit=200).alias("line"))
+
+
 # Sources
 def _lines(df: DataFrame, line: Column, number: Column, file: Column | None = None) -> DataFrame:
     return df.select((file if file is not None else F.lit("/var/log/x.log")).alias("file"), number.alias("line_no"), line.alias("line"))
