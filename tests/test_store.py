@@ -1,6 +1,8 @@
 import io
+import os
 import socketserver
 import threading
+import time
 
 import pytest
 
@@ -151,6 +153,43 @@ def test_collector(spark, engine, tmp_path):
     assert "".join(r["line"] for r in long.lines(spark).orderBy("line_no").collect()) == (logs / "svc" / "one.log").read_text()
 
 
+def test_collecting_goes_on(spark, engine, tmp_path):
+    one, two = tmp_path / "a" / "one.log", tmp_path / "b[1]" / "two.txt"
+    for f in (one, two):
+        f.parent.mkdir()
+    collector = Collector([str(tmp_path / "a" / "*.log"), str(tmp_path / "b*" / "*.txt"), str(tmp_path / "none" / "*"), str(tmp_path / "*" / "one.log")], [PathSchema(r"/(?P<n>\w+)\.\w+$", {"f": "{n}"})], [r"gone"])
+
+    def taken():
+        engine.collect(collector, str(tmp_path / "cp")).awaitTermination()
+        return {t: "".join(lines(engine.sql(f"select from f={t}"))) for t in ("one", "two")}
+
+    one.write_text("1\n")
+    two.write_text("a\n")
+    assert taken() == {"one": "1\n", "two": "a\n"} == taken()
+    # Grown, in the middle of a line and of a character.
+    with one.open("ab") as f:
+        f.write("2\nthr日".encode()[:-1])
+    assert taken() == {"one": "1\n2\nthr", "two": "a\n"}
+    with one.open("ab") as f:
+        f.write("日".encode()[-1:] + b"ee\n")
+    assert taken() == {"one": "1\n2\nthr日ee\n", "two": "a\n"}
+    # Rewritten in place: shorter, of the same length, longer.
+    for text in ("b", "c", "dd\n"):
+        two.write_text(text)
+        os.utime(two, ns=(time.time_ns(), time.time_ns()))
+        before = taken()["two"]
+        assert before.endswith(text)
+    assert taken() == {"one": "1\n2\nthr日ee\n", "two": "a\nbcdd\n"}
+    # A batch that comes again takes the same bytes and replaces its chunk.
+    one.write_text("1\n2\nthr日ee\nlast\n")
+    append, engine.store.append = engine.store.append, lambda *a, **k: 1 / 0
+    with pytest.raises(Exception):  # noqa: B017
+        taken()
+    engine.store.append = append
+    one.write_text("1\n2\nthr日ee\nlast\nmore\n")
+    assert taken()["one"] == one.read_text()
+
+
 def test_logfmt(spark):
     def one(log, keys, time="2018-02-06T10:22:49Z"):
         import json
