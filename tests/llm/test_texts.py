@@ -382,3 +382,12 @@ def test_pii_odd_cases(spark):
     out = pii.pseudonymize(frame(spark, ODD), "k")
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, ODD)) and out.columns == ["doc_id", "text", "n", "g", "n_entities"]
     assert pii.pseudonymize(frame(spark, []), "k").count() == 0
+
+
+def test_what_patterns_find_is_hinted(spark):
+    secrets = ["sk-" + "aBcDeFgHiJkLmNoPqRsT", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "AKIA" + "ABCDEFGHIJKLMNOP", "abcdef" * 6, "ABCDEF" * 10]
+    others = ["a@b.xx", "1.2.3.4", "123-45-6789", "4111111111111111", "+12345", "Mr. Smith", "госпожа Иванова"]
+    rows = spark.createDataFrame([(x,) for x in secrets + others], "t string")
+    assert all(tuple(r) == (True, True) for r in rows.select(F.col("t").rlike(rf"\A(?:{pii.ANY})\z"), F.col("t").rlike(pii.HINT)).collect())
+    out = replaced(spark, [(k, f"key = {x};") for k, x in enumerate(secrets)])
+    assert all(out[k]["found"] == 1 and x not in out[k]["text"] for k, x in enumerate(secrets))
