@@ -406,3 +406,26 @@ def test_cards_of_tables_and_groups_of_phones(spark):
         if t not in stay:  # all of it: the last groups too
             assert sum(a != b for a, b in zip(t, new, strict=True)) > 3
     assert [r[0] for r in spark.createDataFrame([(p,) for p in phones], "t string").select(F.col("t").rlike(rf"\A(?:{pii.PATTERNS['phone']})\z")).collect()] == [True] * len(phones)
+
+
+def test_full_formats_are_widened(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    emails = [("email", "", f"{a}@{b}.xx") for a in letters for b in letters]
+    phones = [("phone", "", f"1{k:04d}") for k in range(6000)]
+    table = pii.assign(spark.createDataFrame([*emails, *phones, ("ip", "", "1.2.3.4")], "kind string, class string, norm string"), "k", attempts=3)
+    got = {(r["kind"], r["norm"]): r["drawn"] for r in table.collect()}
+    assert len(got) == len(emails) + len(phones) + 1 and len({(k, d) for (k, _), d in got.items()}) == len(got)
+    assert not {(k, d) for (k, _), d in got.items()} & set(got)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.example", d) if k == "email" else re.fullmatch(r"1[0-9]{4,12}", d) for (k, _), d in got.items() if k != "ip")
+    longer = next(d for (k, _), d in got.items() if k == "phone" and len(d) > 5)
+    rows = spark.createDataFrame([("+1 23 45", longer), ("+12345", "19876")], "m string, d string")
+    new = [r[0] for r in rows.select(pii.formatted(F.col("m"), F.lit("phone"), F.col("d"))).collect()]
+    assert re.sub("[^0-9]", "", new[0]) == longer and new[0][:3] == "+1 " and new[1] == "+19876"
+
+
+def test_wider_surrogates_of_each_kind(spark):
+    norms = {"email": "a@b.xx", "ip": "1.2.3.4", "ssn": "123456789", "card": "4111111111111111", "phone": "12345", "secret": "akia" + "a" * 16, "name": "Smith"}
+    rows = spark.createDataFrame([(k, n, "latin male" if k == "name" else "") for k, n in norms.items()], "kind string, norm string, class string")
+    got = {r["kind"]: r["d"] for r in rows.select("kind", pii.surrogate("k", F.col("kind"), F.col("norm"), F.col("class"), 3, 2).alias("d")).collect()}
+    assert re.fullmatch(r"2001:db8(:[0-9a-f]{4}){6}", got["ip"]) and [len(got[k]) for k in ("ssn", "card", "phone", "secret")] == [11, 18, 7, 22]
+    assert sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(got["card"][::-1])) % 10 == 0

@@ -13,6 +13,8 @@ where they are.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,8 +111,12 @@ def _draw(key: str, kind: Column, what: Column, attempt: int) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, what, F.lit(str(attempt))), 512)
 
 
-def surrogate(key: str, kind: Column, norm: Column, class_: Column, attempt: int) -> Column:
-    """The surrogate, in the form of norm_of, that an entity draws at an attempt."""
+def surrogate(key: str, kind: Column, norm: Column, class_: Column, attempt: int, wider: int = 0) -> Column:
+    """The surrogate, in the form of norm_of, that an entity draws at an attempt.
+
+    wider: characters that it has more than the entity, for formats without room; IPv4 addresses
+    then get an IPv6 address of the range for documentation.
+    """
     hexes = _draw(key, kind, norm, attempt)
     digits = F.translate(hexes, "abcdef", "012345")
     letters = F.translate(hexes, "0123456789abcdef", "bcdfghjklmnprstv")
@@ -122,13 +128,18 @@ def surrogate(key: str, kind: Column, norm: Column, class_: Column, attempt: int
     like = lambda text: F.array_join(F.transform(_chars(text), alike), "")
     n = F.char_length(norm)
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    email = F.concat(like(local), F.lit("@"), like(F.regexp_replace(domain, r"\.[^.]*\z", "")), F.lit(".example"))
+    # From the end of the draw, so that they do not repeat what short formats take from its start.
+    more = lambda text: F.substr(text, F.lit(129 - wider), F.lit(wider)) if wider else F.lit("")
+    email = F.concat(like(local), more(letters), F.lit("@"), like(F.regexp_replace(domain, r"\.[^.]*\z", "")), F.lit(".example"))
     body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(digits, F.lit(1), (n - 2).cast("int")))
+    body = F.concat(body, more(digits))
     card = F.concat(body, F.pmod(-luhn_sum(body, True), F.lit(10)).cast("string"))
-    phone = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.translate(F.substr(digits, F.lit(1), F.lit(1)), "01", "23"), F.substr(digits, F.lit(2), (n - 2).cast("int")))
-    ssn = F.concat(F.lit("9"), F.substr(digits, F.lit(1), F.lit(8)))
+    phone = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.translate(F.substr(digits, F.lit(1), F.lit(1)), "01", "23"), F.substr(digits, F.lit(2), (n - 2).cast("int")), more(digits))
+    ssn = F.concat(F.lit("9"), F.substr(digits, F.lit(1), F.lit(8)), more(digits))
     octet = lambda k: F.conv(F.substr(hexes, F.lit(2 * k + 1), F.lit(2)), 16, 10)
     ip = F.concat_ws(".", (F.conv(F.substr(hexes, F.lit(9), F.lit(1)), 16, 10).cast("int") + 240).cast("string"), octet(0), octet(1), octet(2))
+    if wider:
+        ip = F.concat_ws(":", F.lit("2001:db8"), *(F.substr(hexes, F.lit(4 * k + 1), F.lit(4)) for k in range(6)))
     secret = F.when(norm.rlike(r"\A[0-9a-f]+\z"), F.substr(hexes, F.lit(1), n)).otherwise(
         F.concat(F.regexp_extract(norm, r"\A(akia|ghp_|sk-)", 1), like(F.regexp_replace(norm, r"\A(akia|ghp_|sk-)", "")))
     )
@@ -148,6 +159,7 @@ def surrogate(key: str, kind: Column, norm: Column, class_: Column, attempt: int
         whole = F.when(norm.contains(" "), F.concat_ws(" ", pick(given, F.substring_index(norm, " ", 1), "given"), chosen)).otherwise(chosen)
         mine = class_ == f"{script} {gender}"
         name = F.when(mine, whole) if name is None else name.when(mine, whole)
+    secret = F.concat(secret, more(F.when(norm.rlike(r"\A[0-9a-f]+\z"), hexes).otherwise(letters))) if wider else secret
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "name", name)
     )
@@ -157,24 +169,27 @@ def assign(entities: DataFrame, key: str, attempts: int = 40) -> DataFrame:
     """kind, class, norm and a surrogate for each distinct entity; no two of a kind share one, and none is an entity itself.
 
     Each attempt is a round over the entities still without: of those that draw the same surrogate
-    the one with the smallest keyed hash gets it. Raises if some find none, which takes more
-    entities of a kind than its format has room for.
+    the one with the smallest keyed hash gets it. Entities that find none in so many attempts, as
+    their format has too little room, draw wider ones, by two characters more each time: the room
+    grows until all are served.
     """
     entities = common.materialize(entities.distinct(), "entities")
     taken = entities.select("kind", F.col("norm").alias("drawn"))
     pending, given = entities, None
-    for attempt in range(attempts):
-        drawn = pending.withColumn("drawn", surrogate(key, F.col("kind"), F.col("norm"), F.col("class"), attempt))
+    for attempt in itertools.count():
+        wider = min(max(0, attempt - attempts + 1) * 2, 64)
+        drawn = pending.withColumn("drawn", surrogate(key, F.col("kind"), F.col("norm"), F.col("class"), attempt, wider))
         free = drawn.join(taken, ["kind", "drawn"], "left_anti")
         if given is not None:
             free = free.join(given.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
         order = F.struct(F.sha2(F.concat_ws("\x1f", F.lit(key), "norm", "class"), 256).alias("order"), "norm", "class")
         won = free.groupBy("kind", "drawn").agg(F.min(order).alias("w")).select("kind", "w.class", "w.norm", "drawn")
-        given = common.materialize(won if given is None else given.unionByName(won), "surrogates")
+        before, given = given, common.materialize(won if given is None else given.unionByName(won), "surrogates")
+        if before is not None:
+            common.discard(before)
         pending = entities.join(given.select("kind", "class", "norm"), ["kind", "class", "norm"], "left_anti")
         if pending.limit(1).count() == 0:
             return given
-    raise ValueError("more entities than surrogates of their format")
 
 
 def _poured(mention: Column, digits: Column) -> Column:
@@ -190,8 +205,11 @@ def formatted(mention: Column, kind: Column, drawn: Column) -> Column:
     """The surrogate in the format of a mention: its separators, case and title."""
     cased = F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(drawn)).otherwise(drawn)
     title = F.regexp_extract(mention, rf"\A({_TITLE})", 1)
+    # A wider number goes on after the last digit that the mention has.
+    rest = F.substr(drawn, F.char_length(_digits(mention)) + 1, F.char_length(drawn))
+    number = F.concat(_poured(mention, drawn), rest)
     return (
-        F.when(kind.isin("card", "phone", "ssn"), _poured(mention, drawn)).when(kind.isin("email", "secret"), cased).when(kind == "name", F.concat(title, drawn)).otherwise(drawn)
+        F.when(kind.isin("card", "phone", "ssn"), number).when(kind.isin("email", "secret"), cased).when(kind == "name", F.concat(title, drawn)).otherwise(drawn)
     )
 
 
