@@ -1,5 +1,6 @@
 """Operators over texts, against brute force and on the odd cases."""
 
+import math
 import random
 import re
 
@@ -429,3 +430,11 @@ def test_wider_surrogates_of_each_kind(spark):
     got = {r["kind"]: r["d"] for r in rows.select("kind", pii.surrogate("k", F.col("kind"), F.col("norm"), F.col("class"), 3, 2).alias("d")).collect()}
     assert re.fullmatch(r"2001:db8(:[0-9a-f]{4}){6}", got["ip"]) and [len(got[k]) for k in ("ssn", "card", "phone", "secret")] == [11, 18, 7, 22]
     assert sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(got["card"][::-1])) % 10 == 0
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_sketches_rule_out_next_to_no_pair_at_the_threshold(threshold):
+    n = neardup.COORDINATES
+    counts = np.arange(n + 1)
+    lost = ~neardup._may_link(counts, np.int64(100), np.int64(100), threshold)
+    assert 0 < sum(math.comb(n, int(k)) * threshold**k * (1 - threshold) ** (n - k) for k in counts[lost].tolist()) < 1e-6

@@ -154,8 +154,8 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 
 def _may_link(matches: np.ndarray, n1: np.ndarray, n2: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether a pair is not ruled out: by its sizes for certain, by its sketches with a chance of under 1 in 10,000."""
-    spread = 4 * np.sqrt(threshold * (1 - threshold) / COORDINATES)
+    """Whether a pair is not ruled out: by its sizes for certain, by its sketches, six deviations off, with a chance of under 1 in 1,000,000."""
+    spread = 6 * np.sqrt(threshold * (1 - threshold) / COORDINATES)
     return (matches >= (threshold - spread) * COORDINATES) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9)
 
 
