@@ -7,6 +7,7 @@ follows the longest document and not the table.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -19,13 +20,49 @@ BLOCK_BYTES = 1 << 21
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may leave it unset."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it names the folder that driver and executors share")
     return (found or f"file://{tempfile.gettempdir()}/tidewake-shared").rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of the given ones that df does not have yet, whatever its own columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+_scopes: list[Scope] = []
+
+
+class Scope:
+    """Tables that `materialize` writes within a `with` of it are deleted at its end, but for those kept, which the scope around it takes over."""
+
+    def __enter__(self) -> Scope:
+        self.made: list[DataFrame] = []
+        _scopes.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made = [x for x in self.made if x is not df]
+        if self is not _scopes[0]:
+            _scopes[_scopes.index(self) - 1].made.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+        for df in self.made:
+            discard(df)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
@@ -35,6 +72,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _scopes:
+        _scopes[-1].made.append(out)
     return out
 
 
@@ -45,20 +84,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Beyond this Catalyst's estimate says nothing: it is that of a plan without statistics.
-UNKNOWN_BYTES = 1 << 50
-
-
 def text_bytes(rows: DataFrame, text: str = "text") -> int:
-    """About how many bytes the rows hold, for numbers of partitions only: no result depends on it.
+    """How many bytes the texts take, and some for each row: for numbers of partitions only, no result depends on it.
 
-    Catalyst's estimate for tables of files; counted where there is none.
+    Measured by a pass over the column: sizes of compressed files say little.
     """
     from pyspark.sql import functions as F
 
-    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate < UNKNOWN_BYTES:
-        return estimate
     return rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 16 * F.count("*")).first()[0]
 
 
@@ -141,25 +173,12 @@ def word_bounds(buffer: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), _BASE if kind == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind]
-
-
-def byte_codes(fold_case: bool, seed: int = 0x51ED) -> np.ndarray:
-    """A random 64-bit code for each byte; with fold_case A-Z share those of a-z."""
-    codes = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
-    if fold_case:
-        codes[0x41:0x5B] = codes[0x61:0x7B]
-    return codes
+#: Bytes by themselves, and with A-Z as a-z.
+_SAME = np.arange(256, dtype=np.uint8)
+_FOLDED = _SAME.copy()
+_FOLDED[0x41:0x5B] += 32
+#: Words up to this many bytes are hashed eight bytes at a time for all words at once; longer ones each on its own.
+_LANES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,15 +191,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from prefix sums of a polynomial over its bytes."""
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word; with fold_case A-Z count as a-z. Different seeds give independent hashes.
+
+    Eight bytes after the other are mixed into the hash of those before: no sum that like parts of
+    unlike words could cancel in. Longer words go through a keyed cryptographic hash.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.empty(len(buffer) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(codes[buffer] * _power("up", len(buffer))[: len(buffer)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", len(buffer))[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    folded = np.zeros(len(buffer) + 8, np.uint8)
+    np.take(_FOLDED if fold_case else _SAME, buffer, out=folded[: len(buffer)])
+    eight = np.ndarray((len(buffer) + 1,), "<u8", folded.data, strides=(1,))
+    lengths = ends - starts
+    first = np.uint64((0x243F6A8885A308D3 + seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+    out = mix(lengths.astype(np.uint64) + first)
+    live = np.flatnonzero(lengths <= _LANES)
+    for lane in range(0, _LANES, 8):
+        live = live[lengths[live] > lane]
+        if not len(live):
+            break
+        rest = np.minimum(lengths[live] - lane, 8).astype(np.uint64)
+        part = eight[starts[live] + lane] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[live] = mix((out[live] ^ part) + first)
+    for k in np.flatnonzero(lengths > _LANES).tolist():
+        digest = hashlib.blake2b(folded[starts[k] : ends[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[k] = np.frombuffer(digest, "<u8")[0]
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:

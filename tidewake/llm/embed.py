@@ -97,6 +97,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
     count as links of others; they have no component and are kept. Every pair is covered: the work
     is quadratic in the number of distinct vectors, in tiles of `tile_rows`, with two tiles a task.
     """
+    with common.Scope() as scope:
+        return scope.keep(common.materialize(_labelled(vectors, threshold, tile_rows), "near-vectors"))
+
+
+def _labelled(vectors: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
     spark = vectors.sparkSession
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Single precision holds vectors of floats as they are; anything else is kept in double.

@@ -26,14 +26,13 @@ from .graph import UnionFind
 
 COORDINATES = 64
 _FACTORS = np.random.default_rng(99).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CODES = common.byte_codes(fold_case=True)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, distinct shingle hashes by row and hash, and where each row's begin)."""
     for a, b, buffer, offsets in common.text_blocks(column):
         starts, ends, first = common.word_bounds(buffer, offsets, common.SPACES)
-        words = common.word_hashes(buffer, starts, ends, _CODES)
+        words = common.word_hashes(buffer, starts, ends, fold_case=True)
         n_words = np.diff(first)
         doc = np.repeat(np.arange(b - a), n_words)
         shingles = common.window_hashes(words, width, seed=3)
@@ -45,8 +44,12 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray,
                 hashes.append(common.window_hashes(words, n, seed=1000 + n)[first[few]])
                 owner.append(few)
         h, d = np.concatenate(hashes), np.concatenate(owner)
-        order = np.argsort((d.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
-        h, d = h[order], d[order]
+        key = (d.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+        order = np.argsort(key)
+        key, h, d = key[order], h[order], d[order]
+        if b - a > 1 << 20 or ((key[1:] == key[:-1]) & (h[1:] < h[:-1])).any():  # the upper bits alone don't tell some hashes apart
+            order = np.lexsort((h, d))
+            h, d = h[order], d[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[new], d[new]
@@ -296,13 +299,19 @@ def near_duplicates(
     words or text have empty sets and link with nothing. component_id is the smallest doc_id
     reachable by links and kept marks it. Rows that share a doc_id take part each with its own set;
     where two sets are represented by one doc_id their links are joined. Rows without doc_id link
-    with nothing, have no component and are kept. An empty table gives no rows.
+    with nothing, have no component and are kept. An empty table gives no rows. The rows are written
+    to the shared folder; what they were made of is deleted.
 
     A pair at the threshold shares the node of a tree's first level with a chance of `percent` in
     100 or more and one of the last level with its power of `depth` or more (second coordinates add
     to both), so `trees` independent trees miss it with less than (1 - share) to that power: 1e-7
     at the first level and 1e-3 for pairs that stay together in large nodes to the third.
     """
+    with common.Scope() as scope:
+        return scope.keep(common.materialize(_labelled(docs, width, percent, trees, depth, small, block, block_bytes), "near-duplicates"))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, trees: int, depth: int, small: int, block: int, block_bytes: int) -> DataFrame:
     threshold = percent / 100
     made = common.materialize(profiles(docs, width), "profiles")
     classes = (

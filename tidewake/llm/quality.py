@@ -44,7 +44,6 @@ STATISTICS = [
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of statistics for each text; a null or empty text gives zeros."""
     out = np.zeros((len(column), len(STATISTICS)), np.float64)
-    codes = common.byte_codes(fold_case=False)
     for a, b, buffer, offsets in common.text_blocks(column):
         rows = out[a:b]
         sizes = np.diff(offsets)
@@ -62,7 +61,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         doc = np.repeat(np.arange(b - a), n_words)
         per_doc = lambda x, doc=doc, n=b - a: np.bincount(doc, x, n)
         lengths = ends - starts
-        hashes = common.word_hashes(buffer, starts, ends, codes)
+        hashes = common.word_hashes(buffer, starts, ends)
         same = np.zeros(len(starts), bool)
         same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
         keys = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
@@ -160,19 +159,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """Fit trees on at most `most` labelled documents that are not held out.
 
     Where there are more, those with the smallest hashes of doc_id are taken, so the sample is the
-    same on every run and small enough to broadcast. Null ids and labels are ignored; without
-    labels of both kinds every score is the labels' share (0.5 without any).
+    same on every run and small enough to broadcast. Null ids and labels are ignored. Of rows that
+    share a doc_id, in either table, one is learnt from: that with the smallest label, then the
+    smallest statistics. Without labels of both kinds every score is the labels' share (0.5 without
+    any); an empty table of either gives such scores.
     """
     rows = labels.select("doc_id", F.col(label).cast("double").alias("_y")).filter(F.col("doc_id").isNotNull() & F.col("_y").isNotNull() & ~held_out())
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(most)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "_y")
+    sample = rows.groupBy("doc_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column("text"))
-            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column("_y")], ["x", "y"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), batch.column("_y")], ["doc_id", "x", "y"])
 
-    got = found.mapInArrow(measure, "x array<double>, y double").limit(2 * most).toArrow()
+    measured = found.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(measure, "doc_id long, x array<double>, y double")
+    got = measured.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     y = got.column("y").to_numpy()
     order = np.lexsort((*x.T, y))  # rows come in any order; sums of floats would differ
@@ -180,16 +182,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def score(docs: DataFrame, model: Trees, columns: list[str] | None = None, name: str = "score") -> DataFrame:
-    """docs (or `columns` of it) with the score of each whole text as a further column."""
+    """docs (or `columns` of it) with the score of each whole text as a further column `name`.
+
+    Every row gets a score, whatever its other columns hold: null and empty texts that of a text of
+    no bytes, equal texts equal scores. An empty table gives no rows. A column of docs that is called
+    `name` is an error; other names never clash.
+    """
     from pyspark.sql import types as T
 
     kept = columns if columns is not None else docs.columns
-    given = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    if name.lower() in {c.lower() for c in kept}:
+        raise ValueError(f"there is a column {name} already: give the score another name")
+    (text,) = common.fresh(docs, "text")
+    given = docs.select(*kept, F.col("text").cast("string").alias(text))
     schema = T.StructType([*given.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.score(statistics(batch.column("__text")))
+            scores = model.score(statistics(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*kept, name])
 
     return given.mapInArrow(run, schema)

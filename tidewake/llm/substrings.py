@@ -10,6 +10,9 @@ decides.
 Documents are dealt to groups of a few MB. A group sends each distinct hash once, packed by hash
 bucket, however often it occurs, so a passage that stands in a third of all documents is a few
 entries of its bucket. Answers are bit masks in the order of what was sent.
+
+Anchors only propose: chance matches of their 40 bits cost time and change nothing. Windows are
+compared by 96 bits of two independent hashes of their words.
 """
 
 from __future__ import annotations
@@ -34,11 +37,10 @@ class _Group:
         self.doc_ids = self.ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.text = table.column("text").combine_chunks()
         self.window, self.width = window, window - PERIOD + 1
-        codes = common.byte_codes(fold_case=False)
         hashes, counts = [], []
         for _, _, buffer, offsets in common.text_blocks(self.text):
             starts, ends, first = common.word_bounds(buffer, offsets, common.SPACES)
-            hashes.append(common.word_hashes(buffer, starts, ends, codes))
+            hashes.append(common.word_hashes(buffer, starts, ends))
             counts.append(np.diff(first))
         self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -54,8 +56,16 @@ class _Group:
         where = np.flatnonzero(residue[at % PERIOD] & fits)
         return where, common.window_hashes(self.words, self.width, seed=7)[where]
 
-    def candidates(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the windows that hold one of the anchors, and their hashes."""
+    def second_words(self) -> np.ndarray:
+        """Hashes of the words that are independent of the first ones."""
+        hashes = [np.zeros(0, np.uint64)]
+        for _, _, buffer, offsets in common.text_blocks(self.text):
+            starts, ends, _ = common.word_bounds(buffer, offsets, common.SPACES)
+            hashes.append(common.word_hashes(buffer, starts, ends, seed=1))
+        return np.concatenate(hashes)
+
+    def candidates(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the windows that hold one of the anchors, and 64 and 32 bits of their hashes."""
         marks = np.zeros(len(self.words) + PERIOD + 1, np.int32)
         marks[anchors + 1] = 1
         before = np.cumsum(marks)
@@ -63,7 +73,10 @@ class _Group:
         near = before[PERIOD : n + PERIOD] > before[:n]
         at = np.arange(n) - self.first[self.doc]
         where = np.flatnonzero(near & (at + self.window <= self.n_words[self.doc]) & self.known[self.doc])
-        return where, common.window_hashes(self.words, self.window, seed=13)[where]
+        if not len(where):
+            return where, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        more = common.window_hashes(self.second_words(), self.window, seed=17)[where] >> np.uint64(32)
+        return where, common.window_hashes(self.words, self.window, seed=13)[where], more.astype(np.uint32)
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -84,20 +97,27 @@ def _distinct_anchors(group: _Group, n_buckets: int):
 
 
 def _distinct_windows(group: _Group, anchors: np.ndarray, n_buckets: int):
-    """The group's candidate windows, each hash once with its smallest doc_id, in order of (bucket, doc_id, hash)."""
-    where, hashes = group.candidates(anchors)
+    """The group's candidate windows, each once with its smallest doc_id, in order of (bucket, doc_id, hashes)."""
+    where, hashes, more = group.candidates(anchors)
     owner = group.doc_ids[group.doc[where]]
-    order = np.lexsort((owner, hashes))
-    new = np.ones(len(order), bool)
-    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    order, new = _firsts(hashes, more, owner)
     entry_of = np.empty(len(order), np.int64)
     entry_of[order] = np.cumsum(new) - 1
-    hash_, least = hashes[order][new], owner[order][new]
+    hash_, more, least = hashes[order][new], more[order][new], owner[order][new]
     bucket = _buckets(hash_, n_buckets)
-    rank = np.lexsort((hash_, least, bucket))
+    rank = np.lexsort((more, hash_, least, bucket))
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank))
-    return where, owner, place[entry_of] if len(rank) else entry_of, bucket[rank], hash_[rank], least[rank]
+    return where, owner, place[entry_of] if len(rank) else entry_of, bucket[rank], hash_[rank], more[rank], least[rank]
+
+
+def _firsts(hashes: np.ndarray, more: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows by hashes and owner, and which of them are the first of equal hashes."""
+    order = np.lexsort((owner, more, hashes))
+    new = np.ones(len(order), bool)
+    h, m = hashes[order], more[order]
+    new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
+    return order, new
 
 
 def _parts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -124,25 +144,40 @@ _SENT = "g int, bucket int, payload binary"
 _ANSWER = "g int, bucket int, kind int, n int, payload binary"
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20) -> DataFrame:
+#: What the larger exchange sends for a byte of text, about.
+_SENT_SHARE = 0.6
+
+
+def plan(total: int, at_least: int, group_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20, payload_bytes: int = 512, most_bytes: int = 256 << 20) -> tuple[int, int, int]:
+    """Numbers of groups, of buckets and of tasks for so many bytes of text.
+
+    There is a payload for each group and bucket. Groups and buckets keep their sizes, so tables of
+    more bytes have more of both, up to where payloads would be smaller than `payload_bytes`; from
+    there on both grow alike, until a group takes `most_bytes`.
+    """
+    grown = (max(1.0, payload_bytes * total / (group_bytes * bucket_bytes))) ** 0.5
+    group, bucket = min(most_bytes, int(group_bytes * grown)), min(most_bytes, int(bucket_bytes * grown))
+    n_buckets = min(max(at_least, int(total * _SENT_SHARE) // bucket), 1 << 23)
+    return max(at_least, 2 * total // group), n_buckets, max(at_least, total // (32 << 20))
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, **sizes: int) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text; other columns are ignored. Words are runs of anything but ASCII white space.
     Returns doc_id, n_words, n_removed and text, the kept words joined by one space. Windows are
     judged on the input. Null and empty texts have no words; a row without doc_id neither loses
     words nor makes others lose them; rows with the same doc_id do not count against each other;
-    an empty table gives no rows. `window` is at least 7. Equal hashes of 64 bits and the bucket
-    count as equal windows. A group is held in memory: `group_bytes` or its longest document, and a
-    few times that in arrays; a bucket as well. There is a payload for each group and bucket, so on
-    executors with much memory larger groups mean fewer payloads.
+    an empty table gives no rows. `window` is at least 7. Windows with equal hashes count as equal:
+    among 10^13 of them any two unlike ones meet with a chance of 1 in 1,000. A group is held in
+    memory: its share of the text or its longest document, and a few times that in arrays; a bucket
+    as well. `sizes` are those of `plan`.
     """
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_parts = common.shuffle_partitions(spark)
-    n_groups = max(n_parts, 2 * common.text_bytes(rows) // group_bytes)
-    n_buckets = min(n_parts, 1 << 23)
+    n_groups, n_buckets, n_tasks = plan(common.text_bytes(rows), common.shuffle_partitions(spark), **sizes)
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int"))
 
     def send_anchors(table: pa.Table) -> pa.Table:
@@ -181,16 +216,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20
             return _rows(0, [])
         group = _Group(table, window)
         where, _, inverse = _distinct_anchors(group, n_buckets)
-        _, _, _, bucket, hashes, least = _distinct_windows(group, where[_masks(masks, 0)[inverse]], n_buckets)
+        _, _, _, bucket, hashes, more, least = _distinct_windows(group, where[_masks(masks, 0)[inverse]], n_buckets)
         sent = []
         for k, a, b in _parts(bucket):
             runs = _parts(least[a:b])
             head = np.array([len(runs), b - a], "<u4").tobytes()
-            sent.append((k, head + np.array([r[0] for r in runs], "<i8").tobytes() + np.array([r[2] - r[1] for r in runs], "<u4").tobytes() + hashes[a:b].astype("<u8").tobytes()))
+            sent.append((k, head + np.array([r[0] for r in runs], "<i8").tobytes() + np.array([r[2] - r[1] for r in runs], "<u4").tobytes() + hashes[a:b].astype("<u8").tobytes() + more[a:b].astype("<u4").tobytes()))
         return _rows(table.column("g")[0].as_py(), sent)
 
     def judge_windows(table: pa.Table) -> pa.Table:
-        hashes, owners = [], []
+        hashes, mores, owners = [], [], []
         for payload in table.column("payload"):
             data = payload.as_buffer().to_pybytes()
             n_runs, n = np.frombuffer(data, "<u4", 2)
@@ -198,10 +233,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20
             lengths = np.frombuffer(data, "<u4", n_runs, 8 + 8 * int(n_runs))
             owners.append(np.repeat(ids, lengths))
             hashes.append(np.frombuffer(data, "<u8", n, 8 + 12 * int(n_runs)))
+            mores.append(np.frombuffer(data, "<u4", n, 8 + 12 * int(n_runs) + 8 * int(n)))
         hash_, owner = np.concatenate(hashes), np.concatenate(owners)
-        order = np.lexsort((owner, hash_))
-        new = np.ones(len(order), bool)
-        new[1:] = hash_[order][1:] != hash_[order][:-1]
+        order, new = _firsts(hash_, np.concatenate(mores), owner)
         least = np.empty(len(order), np.int64)
         least[order] = owner[order][new][np.cumsum(new) - 1]
         return _answers(table, least < owner, [len(h) for h in hashes], 1)
@@ -225,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
         group = _Group(table, window)
         where, _, inverse = _distinct_anchors(group, n_buckets)
-        first, owner, entry, _, _, least = _distinct_windows(group, where[_masks(masks, 0)[inverse]], n_buckets)
+        first, owner, entry, _, _, _, least = _distinct_windows(group, where[_masks(masks, 0)[inverse]], n_buckets)
         earlier = _masks(masks, 1)
         taken = first[earlier[entry] | (owner > least[entry])]
         edges = np.zeros(len(group.words) + 1, np.int32)
@@ -249,10 +283,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 4 << 20
             }
         )
 
-    by_group = dealt.groupBy("g")
-    anchors = by_group.applyInArrow(send_anchors, _SENT).groupBy("bucket").applyInArrow(judge_anchors, _ANSWER)
-    windows = by_group.cogroup(anchors.groupBy("g")).applyInArrow(send_windows, _SENT).groupBy("bucket").applyInArrow(judge_windows, _ANSWER)
-    return by_group.cogroup(anchors.unionByName(windows).groupBy("g")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, text string")
+    # Numbers of tasks follow the bytes: what a task reads stays the same on a larger table.
+    def grouped(rows: DataFrame, key: str):
+        return rows.repartition(n_tasks, key).groupBy(key)
+
+    by_group = grouped(dealt, "g")
+    anchors = grouped(by_group.applyInArrow(send_anchors, _SENT), "bucket").applyInArrow(judge_anchors, _ANSWER)
+    windows = grouped(by_group.cogroup(grouped(anchors, "g")).applyInArrow(send_windows, _SENT), "bucket").applyInArrow(judge_windows, _ANSWER)
+    return by_group.cogroup(grouped(anchors.unionByName(windows), "g")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, text string")
 
 
 def _kept_texts(buffer: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
