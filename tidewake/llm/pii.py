@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from . import common
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Titles by gender, and given and family names to draw from by script.
+#: Titles by gender, titles of either, and given and family names to draw from by script.
 FEMALE = ["Mrs", "Ms", "Miss", "Madame", "Mme", "Frau", "Señora", "Sra", "госпожа", "г-жа"]
 MALE = ["Mr", "Monsieur", "Herr", "Señor", "Sr", "господин", "г-н"]
+EITHER = ["Dr", "Prof", "Professor", "Mx", "Rev", "д-р", "проф"]
 NAMES = {
     ("latin", "female"): ["Ada", "Clara", "Elena", "Greta", "Ines", "Julia", "Lena", "Marta", "Nora", "Olga", "Paula", "Rosa", "Sofia", "Vera"],
     ("latin", "male"): ["Adam", "Carl", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Marco", "Oscar", "Paul", "Simon", "Tomas", "Victor"],
@@ -32,7 +33,7 @@ NAMES = {
     ("cyrillic", "male"): ["Антон", "Борис", "Глеб", "Иван", "Лев", "Максим", "Олег", "Павел"],
     ("cyrillic", "family"): ["Белых", "Гончаренко", "Долгих", "Живаго", "Коваленко", "Лысенко", "Мельник", "Седых", "Черных", "Шевченко"],
 }
-_TITLE = "(?:" + "|".join(FEMALE + MALE) + r")\.? "
+_TITLE = "(?:(?:" + "|".join(EITHER) + r")\.? )*(?:" + "|".join(FEMALE + MALE + EITHER) + r")\.? "
 _NAME = r"\p{Lu}[\p{L}'-]{1,40}"
 
 #: Patterns by type; where several match at one place the first one counts.
@@ -47,7 +48,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to be looked at closer: a digit, an @, a secret of letters only, or a title before a capital. The lookahead turns most places away at once.
-HINT = "[0-9@]|sk-[A-Za-z]{20}|ghp_[A-Za-z]{36}|AKIA[A-Z]{16}|[a-fA-F]{32}|(?=[" + "".join(sorted({t[0] for t in FEMALE + MALE})) + rf"]){_TITLE}\p{{Lu}}"
+HINT = "[0-9@]|sk-[A-Za-z]{20}|ghp_[A-Za-z]{36}|AKIA[A-Z]{16}|[a-fA-F]{32}|(?=[" + "".join(sorted({t[0] for t in FEMALE + MALE + EITHER})) + rf"]){_TITLE}\p{{Lu}}"
 
 
 def _chars(text: Column) -> Column:
@@ -100,9 +101,11 @@ def norm_of(mention: Column, kind: Column) -> Column:
 
 
 def class_of(mention: Column, kind: Column) -> Column:
-    """For names, script and gender of the title."""
+    """For names, script and gender of the title; titles of either gender leave it to the name's hash."""
     title = F.regexp_extract(mention, rf"\A({_TITLE})", 1)
-    gender = F.when(title.rlike("|".join(rf"\A{t}\b" for t in FEMALE)), "female").otherwise("male")
+    says = lambda titles: title.rlike(r"(?:\A| )(?:" + "|".join(titles) + r")\.? ")
+    drawn = F.when(F.pmod(F.crc32(_name_of(mention).cast("binary")), F.lit(2)) == 0, "female").otherwise("male")
+    gender = F.when(says(FEMALE), "female").when(says(MALE), "male").otherwise(drawn)
     script = F.when(_name_of(mention).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     return F.when(kind == "name", F.concat_ws(" ", script, gender)).otherwise("")
 
@@ -165,7 +168,7 @@ def surrogate(key: str, kind: Column, norm: Column, class_: Column, attempt: int
     )
 
 
-def assign(entities: DataFrame, key: str, attempts: int = 40) -> DataFrame:
+def assign(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
     """kind, class, norm and a surrogate for each distinct entity; no two of a kind share one, and none is an entity itself.
 
     Each attempt is a round over the entities still without: of those that draw the same surrogate
@@ -218,29 +221,34 @@ def pseudonymize(docs: DataFrame, key: str, count: str = "n_entities") -> DataFr
 
     All other columns and rows stay as they are. A null text stays null and an empty one empty;
     texts without entities are unchanged; equal texts are treated once; an empty table gives no
-    rows. The same key gives the same surrogates for the same table.
+    rows. The same key gives the same surrogates for the same table. A column of docs that is called
+    `count` is an error; other names never clash.
     """
+    if count.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {count} already: give the count another name")
+    mark, n, new_ = common.fresh(docs.withColumn(count, F.lit(0)), "mark", "n", "new")
     text = F.col("text").cast("string")
     hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    mark = "__mark"
     given = docs.withColumn(mark, F.when(hinted, F.sha2(text, 256)))
     mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     # One row for each distinct text with mentions, however many documents share it.
     texts = given.filter(hinted).select(mark, mentions.alias("m")).filter(F.size("m") > 0).groupBy(mark).agg(F.first("m").alias("m"))
     spread = texts.select(mark, F.posexplode("m").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
     spread = spread.withColumn("norm", norm_of(F.col("mention"), F.col("kind"))).withColumn("class", class_of(F.col("mention"), F.col("kind")))
-    spread = common.materialize(spread, "mentions")
-    table = assign(spread.filter("kind IS NOT NULL").select("kind", "class", "norm"), key)
-    told = spread.join(table, ["kind", "class", "norm"], "left")
-    new = F.coalesce(formatted(F.col("mention"), F.col("kind"), F.col("drawn")), F.col("mention"))
-    # The mentions of one text: as many as it has.
-    answers = told.groupBy(mark).agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("new")))).alias("__new"), F.count("kind").alias("__n"))
+    with common.Scope() as scope:
+        spread = common.materialize(spread, "mentions")
+        table = assign(spread.filter("kind IS NOT NULL").select("kind", "class", "norm"), key)
+        told = spread.join(table, ["kind", "class", "norm"], "left")
+        new = F.coalesce(formatted(F.col("mention"), F.col("kind"), F.col("drawn")), F.col("mention"))
+        # The mentions of one text: as many as it has.
+        answers = told.groupBy(mark).agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("new")))).alias(new_), F.count("kind").alias(n))
+        answers = scope.keep(common.materialize(answers, "answers"))
     kept = [c for c in docs.columns if c != "text"]
-    news = F.transform("__new", lambda x: x["new"])
+    news = F.transform(new_, lambda x: x["new"])
     pieces = F.split(text, ANY, -1)
     rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(news, i), F.lit("")))), "")
     # Rows without a hint never meet the join, so their texts are not exchanged.
     untouched = given.filter(~hinted).select(*kept, text.alias("text"), F.lit(0).cast("long").alias(count))
     touched = given.filter(hinted).join(answers, mark, "left")
-    touched = touched.select(*kept, F.when(F.col("__new").isNull(), text).otherwise(rebuilt).alias("text"), F.coalesce("__n", F.lit(0)).cast("long").alias(count))
+    touched = touched.select(*kept, F.when(F.col(new_).isNull(), text).otherwise(rebuilt).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias(count))
     return untouched.unionByName(touched).select(*docs.columns, count)

@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: the session's spark.tidewake.surrogateKey. The default is public and for tests."""
+    return spark.conf.get("spark.tidewake.surrogateKey", "tidewake")
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -131,4 +136,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 @query
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs, key="tidewake").select("doc_id", "n_entities", "text")
+    return pii.pseudonymize(docs, surrogate_key(spark)).select("doc_id", "n_entities", "text")
