@@ -32,10 +32,40 @@ def test_words_and_hashes(texts):
     found = [bytes(buffer[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
     assert found == [w for t in texts for w in WORDS.findall(t)]
     assert np.diff(first).tolist() == [len(WORDS.findall(t)) for t in texts]
-    hashes = common.word_hashes(buffer, starts, ends, common.byte_codes(False))
+    hashes = common.word_hashes(buffer, starts, ends)
     assert len(set(hashes.tolist())) == len(set(found))
 
 
+def thue_morse(n, swap=False):
+    """A word of n letters whose like with a and b exchanged collides with it in every polynomial hash modulo a power of two."""
+    return "".join("ba"[(bin(k).count("1") + swap) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 64, 65, 1024, 4096])
+def test_words_that_polynomials_confuse(n):
+    a, b = thue_morse(n), thue_morse(n, True)
+    buffer, offsets = common.utf8(pa.array([f"{a} {b} {a.upper()} {a}b"], pa.string()))
+    starts, ends, _ = common.word_bounds(buffer, offsets, common.SPACES)
+    for seed in (0, 1):
+        h = common.word_hashes(buffer, starts, ends, fold_case=True, seed=seed)
+        assert h[0] == h[2] and len(set(h.tolist())) == 3
+    assert not set(common.word_hashes(buffer, starts, ends).tolist()) & set(common.word_hashes(buffer, starts, ends, seed=1).tolist())
+
+
+def test_scopes_delete_what_is_not_kept(spark):
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    with common.Scope():
+        with common.Scope() as inner:
+            a, b = common.materialize(spark.range(3).toDF("a"), "x"), common.materialize(spark.range(3).toDF("a"), "x")
+            inner.keep(a)
+        assert there(a) and not there(b)
+    assert not there(a)
+    assert common.fresh(spark.range(1).toDF("Text"), "text", "_text", "n") == ["_text", "__text", "n"]
+
+
 # Quality
 
 
@@ -78,6 +108,20 @@ def test_quality_odd_cases(spark):
     out = quality.score(docs, model).collect()
     assert len(out) == len(ODD) and all(r["score"] == 0.5 for r in out) and out[0].asDict().keys() == {"doc_id", "text", "n", "g", "score"}
     assert quality.score(frame(spark, []), model).count() == 0
+    with pytest.raises(ValueError):
+        quality.score(docs, model, name="N")
+    named = docs.withColumnRenamed("g", "_text")
+    assert quality.score(named, model).columns == ["doc_id", "text", "n", "_text", "score"]
+
+
+def test_quality_of_repeated_ids(spark):
+    rng = random.Random(4)
+    docs = [(d % 40, " ".join(rng.choice(["good", "text", "##", "!!"]) for _ in range(20))) for d in range(120)]
+    labels = spark.createDataFrame([(d % 40, d % 2, 0) for d in range(80)] + [(3, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    first = quality.train(frame(spark, docs), labels, most=30)
+    rng.shuffle(docs)
+    again = quality.train(frame(spark, docs).repartition(3), labels.repartition(5), most=30)
+    assert (first.leaf == again.leaf).all() and (first.threshold == again.threshold).all() and first.prior == again.prior
 
 
 # Licenses
@@ -96,13 +140,39 @@ def test_licenses(spark, text, labels):
     assert licenses.scan(frame(spark, [(1, text)]), ["doc_id"]).first()["labels"] == labels
 
 
+def test_license_texts_and_scores(spark):
+    texts = [re.sub("<<beginOptional>>.*?<<endOptional>>", "", t) for t in licenses.TEMPLATES.values()]
+    texts = [re.sub('<<var;.*?original="(.*?)".*?>>', r"\1", t) for t in texts]
+    rows = licenses.scan(frame(spark, [*enumerate(texts), (100, "mit license and MIT License"), (101, "Released under the MIT license")]), ["doc_id"]).collect()
+    got = {r["doc_id"]: r for r in rows}
+    for k, label in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"].split(","), label
+        assert got[k]["score"] == (1.0 if label.endswith("-text") else 0.9)
+    assert got[100]["score"] == 0.8 * (2 / 3) and got[101]["score"] == 0.9
+    for k, label in enumerate(licenses.TEMPLATES):
+        for word in ("permission", "software", "license"):  # mandatory wording
+            if f" {word} " in licenses.TEMPLATES[label].lower() and "<<" not in licenses.TEMPLATES[label]:
+                assert not licenses.Automaton(licenses.parse(licenses.TEMPLATES[label])).found(licenses.words_of(texts[k].lower().replace(f" {word} ", " other ", 1)))
+
+
+def test_hits_are_counted_in_one_walk(spark):
+    import time
+
+    docs = frame(spark, [(1, "mit license " * 80_000)])
+    start = time.time()
+    r = licenses.scan(docs, ["doc_id"]).first()
+    assert (r["n_base"], r["first_word"], r["last_word"], r["n_words"]) == (80_000, 0, 159_998, 160_000) and time.time() - start < 20
+    with pytest.raises(ValueError):
+        licenses.scan(docs.withColumnRenamed("n", "score"), ["doc_id", "score"])
+
+
 def test_license_markup():
     a = licenses.Automaton(licenses.parse('we <<var;name="gap";original="";match=".{0,2}">> grant <<beginOptional>>a <<beginOptional>>big<<endOptional>> right<<endOptional>> now'))
     accepted = ["we grant now", "we do grant now", "we do hereby grant a right now", "x we grant a big right now y"]
     refused = ["we do so hereby grant now", "we grant a now", "grant now", "we grant big right now", "we grant a big"]
     for text in accepted + refused:
         words = licenses.words_of(text)
-        regex = re.search(licenses.as_regex(licenses.parse('we <<var;name="gap";original="";match=".{0,2}">> grant <<beginOptional>>a <<beginOptional>>big<<endOptional>> right<<endOptional>> now')), " " + "  ".join(text.split()) + " ")
+        regex = re.search(licenses.pattern('we <<var;name="gap";original="";match=".{0,2}">> grant <<beginOptional>>a <<beginOptional>>big<<endOptional>> right<<endOptional>> now'), " " + "  ".join(text.split()) + " ")
         assert a.found(words) == (text in accepted) == bool(regex), text
     for bad in ("<<beginOptional>>x", "x<<endOptional>>", "<<other>>", '<<var;name="x">> y'):
         with pytest.raises(ValueError):
@@ -262,10 +332,29 @@ def test_repeats(spark, window):
             text += rng.choice(passages) if rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randint(1, 15))]
         docs.append((d, rng.choice([" ", "\n", " \t "]).join(text)))
     docs += [(docs[0][0], docs[1][1]), (2000, docs[2][1]), (2000, docs[2][1]), (None, docs[3][1]), (-5, docs[4][1]), *ODD]
-    got = substrings.remove_repeats(frame(spark, docs).repartition(5), window, group_bytes=500).collect()
+    got = substrings.remove_repeats(frame(spark, docs).repartition(5), window, group_bytes=500, bucket_bytes=300).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got), key=repr) == removed(docs, window)
 
 
+def test_windows_of_like_words_stay(spark):
+    rng = random.Random(1)
+    head = " ".join("w%d" % k for k in range(12))
+    docs = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        docs += [(2 * k, f"{head} {thue_morse(n)}"), (2 * k + 1, f"{head} {thue_morse(n, True)}")]
+    rng.shuffle(docs)
+    got = substrings.remove_repeats(frame(spark, docs)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got), key=repr) == removed(docs, 13)
+    assert all(r["n_removed"] == 0 for r in got)
+
+
+def test_plan_of_exchanges():
+    small, large, huge = (substrings.plan(x, 8) for x in (10**8, 3 * 10**10, 10**14))
+    assert small == (47, 8, 8) and large[1] > 500 and large[2] > 800
+    groups, buckets, tasks = huge
+    assert 2 * 10**14 / groups <= 257 << 20 and 0.6 * 10**14 / buckets <= 257 << 20 and tasks > 2 * 10**6
+
+
 def test_repeats_of_empty(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
@@ -321,6 +410,20 @@ def test_near_duplicates_odd_cases(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0 and neardup.near_duplicates(frame(spark, [(1, None)])).count() == 1
 
 
+def test_unlike_words_do_not_link(spark):
+    docs = [(k, thue_morse(n, swap)) for k, (n, swap) in enumerate((n, s) for n in (1024, 4096) for s in (False, True))] + [(9, thue_morse(1024).upper())]
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, docs), 3, 85).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
+
+
+def test_shingles_that_share_their_upper_bits(monkeypatch):
+    """Hashes that only differ in the lowest 20 bits still count once each."""
+    low = np.array([5, 7, 5, 7, 5, 9], np.uint64)
+    monkeypatch.setattr(common, "window_hashes", lambda words, width, seed=1: low[: len(words) - width + 1])
+    (_, _, h, at), *_ = neardup._sets(pa.array(["a b c d e f g h"], pa.string()), 3)
+    assert h.tolist() == [5, 7, 9] and at.tolist() == [0, 3]
+
+
 # Personal data
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The phrases of the base scan and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -29,6 +31,13 @@ TEMPLATES = {
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.',
     "isc-text": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
     "bsd-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+    "bsd-3-clause-text": 'this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <<beginOptional>>3<<endOptional>> Neither the name of <<var;name="organization";original="the copyright holder";match=".{0,12}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+    "apache-2.0-text": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;name="url";original="http";match="http|https">>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "gpl-text": 'is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<beginOptional>>; either<<endOptional>> version <<var;name="version";original="3";match="2|3">> of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>',
+    "lgpl-text": 'is free software: you can redistribute it and/or modify it under the terms of the GNU <<var;name="name";original="Lesser";match="lesser|library">> General Public License as published by the Free Software Foundation<<beginOptional>>; either<<endOptional>> version <<var;name="version";original="3";match="2|2 1|3">> of the License',
+    "mpl-2.0-text": 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;name="url";original="http";match="http|https">>://mozilla.org/MPL/2.0',
+    "unlicense-text": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -146,19 +155,27 @@ class Automaton:
         return any((anywhere or w in self.first) and self.accepts(words, i) for i, w in enumerate(words))
 
 
-def as_regex(sequence: list) -> str:
-    """The same language as a regular expression over words that each stand between spaces (for SQL)."""
-    parts = []
-    for x in sequence:
-        if isinstance(x, bytes):
-            parts.append(f" {x.decode()} ")
-        elif x[0] == "optional":
-            parts.append(f"(?:{as_regex(x[1])})?")
-        elif x[0] == "either":
-            parts.append("(?:" + "|".join(as_regex(list(o)) for o in x[1]) + ")")
-        else:
-            parts.append(f"(?: [^ ]+ ){{0,{x[1]}}}")
-    return "".join(parts)
+def pattern(template: str) -> str:
+    """Markup as a regular expression over words that each stand between spaces, by replacing its text part by part.
+
+    For SQL: it shares nothing with `parse` and the automata, so each checks the other.
+    """
+
+    def words(text: str) -> str:
+        return "".join(f" {w} " for w in re.split("[^0-9a-z]+", text.lower()) if w)
+
+    def part(m: re.Match) -> str:
+        markup = m[0]
+        if markup == "<<beginOptional>>":
+            return "(?:"
+        if markup == "<<endOptional>>":
+            return ")?"
+        if markup.startswith("<<var;"):
+            match = re.search('match="(.*?)"', markup)[1]
+            return f"(?: [^ ]+ ){match[1:]}" if match.startswith(".{") else "(?:" + "|".join(map(words, match.split("|"))) + ")"
+        return words(markup)
+
+    return re.sub("<<.*?>>|[^<]+", part, template)
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -168,12 +185,19 @@ def scan(docs: DataFrame, columns: list[str], templates: dict[str, str] = TEMPLA
     """The given columns of docs with the licenses found in each whole text.
 
     n_base places of base phrases, their smallest and largest first word, base labels, all labels
-    (those of accepted templates too) and a score: 1 where a template is accepted, 0.5 for base
-    phrases alone, else 0. A null text is empty; an empty table gives no rows.
+    (those of accepted templates too) and a score: 1 where the wording of a license (`..-text`) is
+    accepted, 0.9 for a notice alone, 0.8 n / (n + 1) for n base phrases alone, else 0. A null text
+    is empty; rows with equal texts or ids are scanned each on its own; an empty table gives no
+    rows. A text is walked once, however long it is. A column of `columns` that is called like one
+    of the results is an error; other names never clash.
     """
     from pyspark.sql import types as T
 
-    given = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    results = [x.split()[0] for x in SCHEMA.split(", ")]
+    if {c.lower() for c in columns} & set(results):
+        raise ValueError(f"columns are called like results: {columns}")
+    (name,) = common.fresh(docs, "text")
+    given = docs.select(*columns, F.col("text").cast("string").alias(name))
     schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string(SCHEMA).fields])
     parsed = {label: parse(t) for label, t in templates.items()}
 
@@ -183,25 +207,27 @@ def scan(docs: DataFrame, columns: list[str], templates: dict[str, str] = TEMPLA
         keys = {a.key for a in automata.values()}
         for batch in batches:
             rows = []
-            for text in batch.column("__text"):
+            for text in batch.column(name):
                 data = b"" if text.as_py() is None else text.as_buffer().to_pybytes().translate(_SPACED)
                 words = data.split()
                 places, base, labels = [], set(), set()
                 if b"license" in data:
                     joined = b" " + b"  ".join(words) + b" "
                     for phrase, label in phrases.items():
-                        at = joined.find(phrase)
+                        at, seen, number = joined.find(phrase), 0, 0
                         while at >= 0:
                             base.add(label)
-                            places.append(joined.count(b"  ", 0, at + 1))
+                            number += joined.count(b"  ", seen, at + 1)  # words since the place before
+                            seen = at + 1
+                            places.append(number)
                             at = joined.find(phrase, at + 1)
                 if any(k in data for k in keys):
                     labels = {label for label, a in automata.items() if a.key in data and a.found(words)}
-                score = 1.0 if labels else 0.5 if base else 0.0
+                score = 1.0 if any(x.endswith("-text") for x in labels) else 0.9 if labels else 0.8 * (len(places) / (len(places) + 1))
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *(x.split()[0] for x in SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *results])
 
     return given.mapInArrow(run, schema)
 
@@ -216,16 +242,17 @@ def oracle() -> str:
     last = {p: before.format(x=f"s[1:length(s) - strpos(reverse(s), '{q[::-1]}') - {len(q) - 2}]") for p, q in phrase.items()}
     has = {p: f"contains(s, '{q}')" for p, q in phrase.items()}
     base = ", ".join(f"CASE WHEN {has[p]} THEN '{label}' END" for p, label in PHRASES.items())
-    more = ", ".join(f"CASE WHEN regexp_matches(s, '{as_regex(parse(t))}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    more = ", ".join(f"CASE WHEN regexp_matches(s, '{pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    n_base = " + ".join(count.values())
     listed = lambda x: f"list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL)))"
     return f"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
 ), j AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM w),
 l AS (SELECT *, {listed(base)} AS b, {listed(base + ", " + more)} AS a, {listed(more)} AS m FROM j)
-SELECT doc_id, n_words, {" + ".join(count.values())} AS n_base,
+SELECT doc_id, n_words, {n_base} AS n_base,
   least({", ".join(f"CASE WHEN {has[p]} THEN {x} END" for p, x in first.items())}) AS first_word,
   greatest({", ".join(f"CASE WHEN {has[p]} THEN {x} END" for p, x in last.items())}) AS last_word,
   array_to_string(b, ',') AS base_labels, array_to_string(a, ',') AS labels,
-  CASE WHEN len(m) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+  CASE WHEN len(list_filter(m, lambda v: v LIKE '%-text')) > 0 THEN 1 WHEN len(m) > 0 THEN 0.9 ELSE 0.8::DOUBLE * (({n_base})::DOUBLE / ({n_base} + 1)::DOUBLE) END::DOUBLE AS score
 FROM l"""
