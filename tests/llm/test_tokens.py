@@ -15,7 +15,6 @@ def reference(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATHS[name])
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -23,7 +22,7 @@ def reference(name):
 def test_chunks_give_the_ids_of_whole_texts(name):
     ids_of, encoder = reference(name), ChunkEncoder(PATHS[name], most=300)
     rng = random.Random(3)
-    alphabet = list(" \n\t\r\x0b\x1c\x85\xa0'sStredDONm.,!?1²éÜ日本Σς\u200b\u0301") + ["<|endoftext|>", "  ", "'re", " word", "İ"]
+    alphabet = list(" \n\t\r\x0b\x1c\x85\xa0'sStredDONm.,!?1²éÜ日本Σς\u200b\u0301") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "  ", "'re", " word", "İ"]
     texts = ["", None, " ", "\n\n x"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16))) for _ in range(3000)]
     for k in range(0, len(texts), 500):
         part = texts[k : k + 500]
@@ -71,6 +70,35 @@ def test_token_table(spark, tmp_path):
     assert [g[0] for g in got] == [e[0] for e in expected] and [g[1] for g in got] == np.cumsum([0, *(g[2] for g in got[:-1])]).tolist()
 
 
+def test_single_tokens_by_small_reads(spark, tmp_path):
+    path, ids_of = str(tmp_path / "t"), reference("word_bpe_49k.json")
+    rng = random.Random(5)
+    rows = [(d, " ".join(rng.choice(["the", "naïve", "quixotic", "x", "1", "日本"]) for _ in range(rng.randint(0, 60)))) for d in rng.sample(range(10_000), 300)] + [(None, "none"), (20_000, "long " * 30_000)]
+    token_files.write_tokens(frame(spark, rows).repartition(3), path, PATHS["word_bpe_49k.json"], 2, partitions=3, block_tokens=500, file_blocks=4)
+    ids = [i for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for i in [*ids_of(t), 2]]
+    files = [str(x) for x in (tmp_path / "t").glob("part-*") if x.stat().st_size]
+    read = []
+
+    def read_at(file, place, n):
+        with open(file, "rb") as f:
+            f.seek(place, 0 if place >= 0 else 2)
+            data = f.read(n)
+        read.append(len(data))
+        return data
+
+    table = token_files.Table(files, read_at)
+    assert len(files) > 3 and len(table) == len(ids)
+    for i in [0, len(ids) - 1, *rng.sample(range(len(ids)), 300)]:
+        read.clear()
+        assert table.token_at(i) == ids[i]
+        assert sum(read) <= 8 + 2 * (4 + 1 + token_files.STRETCH // 8 + 4) and len(read) <= 10
+    with pytest.raises(IndexError):
+        table.token_at(len(ids))
+    assert [token_files.open_table(spark, path).token_at(i) for i in (0, 77, len(ids) - 1)] == [ids[0], ids[77], ids[-1]]
+    got = token_files.token_digests(token_files.read_tokens(spark, path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0)) and sum(r["n_tokens"] for r in got) == len(ids)
+
+
 def test_empty_tables(spark, tmp_path):
     token_files.write_tokens(frame(spark, []), str(tmp_path / "t"), PATHS["word_bpe_49k.json"], 2)
     assert token_files.token_digests(token_files.read_tokens(spark, str(tmp_path / "t"))).count() == 0

@@ -4,15 +4,19 @@ A block holds the ids of consecutive documents. Each id is split into 8-bit chun
 Level k stores the k-th chunk of the ids that have one, a bitmap that tells which of them go on to
 level k + 1, and a rank directory with the number of set bits before each 512-bit stretch. Token i
 is read by following its chunks: its place in level k + 1 is the rank of its place in level k. So
-any token is read without decoding the block. Blocks are the rows of a Parquet table, in ascending
-order of doc_id: Spark's commit protocol makes the files safe against lost executors.
+any token is read without decoding the block.
+
+A file is blocks one after the other, in ascending order of doc_id and not compressed, then a footer
+with where they begin, then where the footer begins; `token_at` reads a token of a table of any size
+by a few small reads at known places. Spark writes the bytes as lines of text files, so its commit
+protocol makes them safe against lost executors.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +27,11 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder, slices, with_end
 
-MAGIC = b"TWD1"
+MAGIC = b"TWD2"
+#: After a file's footer: its length, and how many bytes that takes with the mark and the line feed behind it.
+TRAILER, TRAILER_BYTES = "<Q4sc", 13
+#: A block in a footer: where it begins, and its tokens and those of the same range of doc_ids before it.
+ENTRY, ENTRY_BYTES = "<QQQ", 24
 CHUNK_BITS = 8
 STRETCH = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -45,6 +53,11 @@ def pack(ids: np.ndarray) -> bytes:
         level = rest[more]
 
 
+def rank_of(i: int, bits: np.ndarray, before: int) -> int:
+    """Set bits before place i, of its stretch's bytes up to its own and the number before the stretch."""
+    return before + int(_ONES[bits[:-1]].sum()) + bin(int(bits[-1]) & ((1 << i % 8) - 1)).count("1")
+
+
 class Codes:
     """Reader of packed ids."""
 
@@ -69,11 +82,9 @@ class Codes:
         value = shift = 0
         for chunk, bits, ranks in self.levels:
             value |= int(chunk[i]) << shift
-            byte, bit = divmod(i, 8)
-            if not bits[byte] >> bit & 1:
+            if not bits[i // 8] >> i % 8 & 1:
                 break
-            first = i // STRETCH * (STRETCH // 8)
-            i = int(ranks[i // STRETCH]) + int(_ONES[bits[first:byte]].sum()) + bin(int(bits[byte]) & ((1 << bit) - 1)).count("1")
+            i = rank_of(i, bits[i // STRETCH * (STRETCH // 8) : i // 8 + 1], int(ranks[i // STRETCH]))
             shift += CHUNK_BITS
         return value
 
@@ -123,17 +134,21 @@ def read_block(data: bytes) -> Block:
     return Block(numbers, known, offsets, Codes(data, 8 + 9 * n + 8 * (n + 1)))
 
 
-BLOCK_SCHEMA = "part int, block int, part_start long, n_docs int, n_tokens long, payload binary"
+def footer(places: list[tuple[int, int, int]], part: int, part_tokens: int) -> bytes:
+    """The end of a file: (begin, tokens, tokens before) of its blocks, its range of doc_ids and the tokens of that up to here."""
+    body = struct.pack("<IQI", part, part_tokens, len(places)) + b"".join(struct.pack(ENTRY, *p) for p in places)
+    return body + struct.pack(TRAILER, len(body), MAGIC, b"\n")[:-1]
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, block_tokens: int = 1 << 20
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, block_tokens: int = 1 << 20, file_blocks: int = 15
 ) -> None:
-    """Encode docs (doc_id, text; other columns are ignored) and write blocks of codes to `path`.
+    """Encode docs (doc_id, text; other columns are ignored) and write files of codes to `path`.
 
     A null text counts as empty and gives the end id alone; null doc_ids come first; rows with the
-    same doc_id stand in the order of their texts; an empty table gives no block. A document longer
-    than a block is a block of its own: memory follows the longest document.
+    same doc_id stand one after the other in no set order; an empty table gives no block. A document
+    longer than a block is a block of its own: memory follows the longest document. A file holds at
+    most `file_blocks` blocks, so that it can be a value of one row when all are read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -143,79 +158,160 @@ def write_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, done = TaskContext.get().partitionId(), 0, 0
+        part, done, at = TaskContext.get().partitionId(), 0, 0
         encode_texts = encoder(tokenizer).encode
-        held_ids: list = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        places: list[tuple[int, int, int]] = []
 
-        def flush() -> pa.RecordBatch:
-            nonlocal block, done, size
+        def rows_of(doc_ids: list, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            """A block, and the footer where it is the file's last: files are cut after so many rows."""
+            nonlocal done, at
             ids = np.concatenate([x for x, _ in held])
             offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in held]))])
-            out = pa.record_batch(
-                {
-                    "part": pa.array([part], pa.int32()),
-                    "block": pa.array([block], pa.int32()),
-                    "part_start": pa.array([done], pa.int64()),
-                    "n_docs": pa.array([len(held_ids)], pa.int32()),
-                    "n_tokens": pa.array([len(ids)], pa.int64()),
-                    "payload": pa.array([write_block(held_ids, offsets, ids)], pa.binary()),
-                }
-            )
-            done, block, size = done + len(ids), block + 1, 0
-            held.clear()
-            held_ids.clear()
-            return out
+            out = [write_block(doc_ids, offsets, ids)]
+            places.append((at, len(ids), done))
+            done, at = done + len(ids), at + len(out[0]) + 1
+            if len(places) == file_blocks:
+                out.append(close())
+            return pa.record_batch([pa.array(out, pa.binary())], ["value"])
+
+        def close() -> bytes:
+            nonlocal at
+            end = footer(places, part, done)
+            places.clear()
+            at = 0
+            return end
 
+        doc_ids: list = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            numbers = batch.column("doc_id").to_pylist()
-            at = 0
-            for texts in slices(batch.column("text")):
-                ids, offsets = with_end(*encode_texts(texts), end_id)
-                held.append((ids, offsets))
-                held_ids.extend(numbers[at : at + len(texts)])
-                at += len(texts)
-                size += len(ids)
-                if size >= block_tokens:
-                    yield flush()
-        if held_ids:
-            yield flush()
+            numbers, k = batch.column("doc_id").to_pylist(), 0
+            for texts in slices(batch.column("text"), min(1 << 20, 4 * block_tokens)):
+                held.append(with_end(*encode_texts(texts), end_id))
+                doc_ids += numbers[k : k + len(texts)]
+                k += len(texts)
+                if sum(len(x) for x, _ in held) >= block_tokens:
+                    yield rows_of(doc_ids, held)
+                    doc_ids, held = [], []
+        if held:
+            yield rows_of(doc_ids, held)
+        if places:
+            yield pa.record_batch([pa.array([close()], pa.binary())], ["value"])
+
+    written = dealt.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+    written.write.option("maxRecordsPerFile", file_blocks + 1).option("lineSep", "\n").option("compression", "none").text(path)
+
+
+def read_footer(data: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """Range of doc_ids, its tokens up to the end of the file, and the blocks, of the bytes of a footer."""
+    part, tokens, n = struct.unpack_from("<IQI", data)
+    return part, tokens, [struct.unpack_from(ENTRY, data, 16 + k * ENTRY_BYTES) for k in range(n)]
+
+
+class Table:
+    """Written files, for reading single tokens. read_at(file, place, n) gives n bytes; places below zero count from the end."""
+
+    def __init__(self, files: list[str], read_at: Callable[[str, int, int], bytes]):
+        self.read_at = read_at
+        found = []
+        for file in files:
+            length, magic, _ = struct.unpack(TRAILER, read_at(file, -TRAILER_BYTES, TRAILER_BYTES))
+            if magic != MAGIC:
+                raise ValueError(f"not a file of token ids: {file}")
+            part, tokens, blocks = read_footer(read_at(file, -TRAILER_BYTES - length, length))
+            found.append((part, blocks[0][2], tokens, file, blocks))
+        self.starts: list[int] = []
+        self.blocks: list[tuple[str, int]] = []
+        base, last, total = 0, -1, 0
+        for part, _, tokens, file, blocks in sorted(found):
+            if part != last:
+                base, last = base + total, part
+            total = tokens
+            self.starts += [base + before for _, _, before in blocks]
+            self.blocks += [(file, at) for at, _, _ in blocks]
+        self.n_tokens = base + total
 
-    dealt.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    def __len__(self) -> int:
+        return self.n_tokens
+
+    def token_at(self, i: int) -> int:
+        """Token i of all: of each level a byte of codes, a rank and a stretch of bits are read."""
+        if not 0 <= i < self.n_tokens:
+            raise IndexError(i)
+        k = int(np.searchsorted(self.starts, i, "right")) - 1
+        (file, at), i = self.blocks[k], i - self.starts[k]
+        (n,) = struct.unpack("<I", self.read_at(file, at + 4, 4))
+        at += 8 + 9 * n + 8 * (n + 1)
+        (levels,) = struct.unpack("<I", self.read_at(file, at, 4))
+        at, value = at + 4, 0
+        for level in range(levels):
+            (n,) = struct.unpack("<I", self.read_at(file, at, 4))
+            codes, bits, ranks = at + 4, at + 4 + n, at + 4 + n + -(-n // 8)
+            value |= self.read_at(file, codes + i, 1)[0] << CHUNK_BITS * level
+            first = i // STRETCH * (STRETCH // 8)
+            stretch = np.frombuffer(self.read_at(file, bits + first, i // 8 + 1 - first), np.uint8)
+            if not stretch[-1] >> i % 8 & 1:
+                break
+            i = rank_of(i, stretch, struct.unpack("<I", self.read_at(file, ranks + i // STRETCH * 4, 4))[0])
+            at = ranks + -(-n // STRETCH) * 4
+        return value
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks with `start`, the number of ids before the block.
+def open_table(spark: SparkSession, path: str) -> Table:
+    """The written table, read on the driver through the file system that Spark uses; its footers come to memory."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    sizes = {str(s.getPath().toString()): s.getLen() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen()}
 
-    Blocks carry their start within their range partition; only the totals of the partitions, one
-    row for each, are summed up and broadcast: their number is a parameter of the writer.
-    """
-    from pyspark.sql import Window
+    def read_at(file: str, place: int, n: int) -> bytes:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(file))
+        try:
+            stream.seek(place if place >= 0 else sizes[file] + place)
+            return bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+
+    return Table(list(sizes), read_at)
 
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return blocks.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("part_start"))
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The written files as rows of their bytes, `content`; a file is bounded by the writer's `file_blocks` and its longest document."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.filter("length > 0").select("content")
 
-def token_digests(blocks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, each read by its own addresses."""
+
+def token_digests(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, each read by its own addresses.
+
+    Files tell places within their range of doc_ids; the totals of the ranges, a row for each, are
+    summed up and broadcast: their number is a parameter of the writer. A row for each document is
+    written to the shared folder.
+    """
+    from pyspark.sql import Window
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, start in zip(batch.column("payload"), batch.column("start").to_pylist(), strict=True):
-                block = read_block(payload.as_buffer().to_pybytes())
-                at = block.offsets
-                crcs = [zlib.crc32(block.codes.read(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array(block.doc_ids, pa.int64(), mask=~block.known),
-                        "start": pa.array(start + at[:-1], pa.int64()),
-                        "n_tokens": pa.array(np.diff(at), pa.int64()),
-                        "ids_crc32": pa.array(crcs, pa.int64()),
-                    }
-                )
-
-    return blocks.select("payload", "start").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for content in batch.column("content"):
+                data = content.as_buffer()
+                length, _, _ = struct.unpack(TRAILER, data[len(data) - TRAILER_BYTES :].to_pybytes())
+                part, _, blocks = read_footer(data[len(data) - TRAILER_BYTES - length :].to_pybytes())
+                for k, (at, _, before) in enumerate(blocks):
+                    end = blocks[k + 1][0] if k + 1 < len(blocks) else len(data) - TRAILER_BYTES - length
+                    block = read_block(data[at:end].to_pybytes())
+                    o = block.offsets
+                    crcs = [zlib.crc32(block.codes.read(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(o[:-1], o[1:], strict=True)]
+                    yield pa.record_batch(
+                        {
+                            "part": pa.array([part] * len(crcs), pa.int32()),
+                            "doc_id": pa.array(block.doc_ids, pa.int64(), mask=~block.known),
+                            "place": pa.array(before + o[:-1], pa.int64()),
+                            "n_tokens": pa.array(np.diff(o), pa.int64()),
+                            "ids_crc32": pa.array(crcs, pa.int64()),
+                        }
+                    )
+
+    found = common.materialize(files.mapInArrow(digest, "part int, doc_id long, place long, n_tokens long, ids_crc32 long"), "token-digests")
+    totals = found.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -2,7 +2,8 @@
 
 A tokenizer whose pre-tokenizer never joins text across white space gives the same ids for a text
 as for its chunks one after the other. So texts are cut there, equal chunks share one encoding,
-and ids are gathered with numpy. Other tokenizers get whole texts.
+and ids are gathered with numpy. Other tokenizers get whole texts. Strings of special tokens within
+a text are those tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -38,8 +39,22 @@ def chunk_pattern(tokenizer_json: dict) -> re.Pattern | None:
     return None
 
 
+def special_pattern(tokenizer_json: dict) -> tuple[re.Pattern | None, bool]:
+    """A pattern of the added tokens' strings, and whether cutting a text at them is what the library does.
+
+    It is where they are looked for in the text as it stands, without the white space around them;
+    else texts that may hold one are encoded whole.
+    """
+    added = tokenizer_json.get("added_tokens") or []
+    if not added:
+        return None, True
+    plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    longest_first = sorted((t["content"] for t in added), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest_first)) + ")", 0 if plain else re.IGNORECASE), plain
+
+
 class ChunkEncoder:
-    """Encodes batches of texts. Strings of special tokens within a text count as ordinary text.
+    """Encodes batches of texts. Every added token is one chunk of its own.
 
     The table of chunks is emptied when it holds `most` entries, so memory is bounded.
     """
@@ -49,9 +64,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            self.pattern = chunk_pattern(json.load(file))
+            described = json.load(file)
+        self.pattern = chunk_pattern(described)
+        self.special, cuts = special_pattern(described)
+        if not cuts:
+            self.pattern = None
+        self.prefix = os.path.commonprefix([t["content"] for t in described.get("added_tokens") or [{"content": ""}]])
         self.most = most
         self._clear()
 
@@ -87,6 +106,20 @@ class ChunkEncoder:
         self.bounds[n + 1 : n + len(lists) + 1] = used + np.cumsum(lengths)
         self.filled = n + len(lists)
 
+    def _chunks(self, text: str) -> list[str]:
+        find = self.pattern.findall
+        lowered = _lowered if self.pattern is DROPPED else str
+        if self.special is None or self.prefix not in text:
+            return find(lowered(text))
+        out: list[str] = []
+        for k, part in enumerate(self.special.split(text)):
+            if k % 2:
+                out.append(part)  # an added token, which the library encodes as such
+            else:
+                low = lowered(part)  # unless that makes an added token of what is none
+                out += find(part if self.special.search(low) else low)
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of each text's (one more than texts)."""
         if self.pattern is None:
@@ -95,10 +128,8 @@ class ChunkEncoder:
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(offsets[-1])), offsets
         if len(self.number) > self.most:
             self._clear()
-        find, number = self.pattern.findall, self.number.__getitem__
-        if self.pattern is DROPPED:
-            texts = [t and _lowered(t) for t in texts]
-        chunks = [np.fromiter(map(number, find(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        number = self.number.__getitem__
+        chunks = [np.fromiter(map(number, self._chunks(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         self._encode_fresh()
         which = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
         starts = self.bounds[which]
