@@ -1,72 +1,75 @@
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewake.model import kvtext
 
-BRACES = [("aaa", "aaa"), ("   aaa", "aaa"), ("a  aa   ", "a  aa"), ("{aaa}", "aaa"), ("   {aaa}  ", "aaa"), ("{ {aaa}}", "aaa"), ("  { {aaa} } ", "aaa")]
+KEYS = st.text("klmNOP_9", min_size=1, max_size=6)
+BARE = st.text("uvwXYZ-./ 0", min_size=1, max_size=8).map(lambda v: v.strip(" ") or "u")
+SPACE = st.sampled_from(["", " ", "   "])
 
 
-@pytest.mark.parametrize("text,expected", BRACES)
-def test_braces(text, expected):
-    assert kvtext.strip_braces(text) == expected
+@given(st.text("ghij k", min_size=1, max_size=9).map(lambda t: t.strip(" ") or "g"), st.integers(0, 3), SPACE, SPACE, SPACE)
+def test_braces(body, depth, before, between, behind):
+    text = before + f"{{{between}" * depth + body + f"{between}}}" * depth + behind
+    assert kvtext.strip_braces(text) == body
+    for broken in ("{" + text, text + "}"):
+        with pytest.raises(ValueError):
+            kvtext.strip_braces(broken)
 
 
-@pytest.mark.parametrize("text", ["{aaa", "   aaa}", "{a  aa} }   ", "   {a{aa  "])
-def test_braces_must_pair(text):
-    with pytest.raises(ValueError):
-        kvtext.strip_braces(text)
-
-
-SPLITS = [("", [""]), ("=", ["", ""]), ("=name", ["", "name"]), ("name=", ["name", ""]), ("name=app1, name=app2", ["name", "app1", " name", "app2"]), ('name=ap"p1,="p', ["name", 'ap"p1,="p'])]
+@given(st.lists(st.tuples(KEYS, st.one_of(BARE, st.text(max_size=9))), min_size=1, max_size=5), SPACE)
+@settings(max_examples=300)
+def test_pairs_as_they_are_written(pairs, space):
+    """Quoted wherever a bare value would not read back."""
 
+    def written(value):
+        return value if value and set(value) <= set("uvwXYZ-./0 ") and value == value.strip(" ") else kvtext.quoted(value)
 
-@pytest.mark.parametrize("text,expected", SPLITS)
-def test_split(text, expected):
-    assert kvtext.split_pairs(text) == expected
+    text = f",{space}".join(f"{k}{space}={space}{written(v)}" for k, v in pairs)
+    assert kvtext.parse_pairs(text) == pairs == kvtext.parse_pairs("{ " + text + "}")
+    assert kvtext.parse_tags(text) == dict(pairs)
+    assert [x.strip(" ") for x in kvtext.split_pairs(text)] == [x for k, v in pairs for x in (k, written(v))]
+    with pytest.raises(ValueError):
+        kvtext.parse_pairs(text + ",loose")
+    with pytest.raises(ValueError):
+        kvtext.parse_pairs(text + ',k="open')
 
 
-@pytest.mark.parametrize("text", ['name=ap"p1,=p', '"name=app1,=p', "name-app", 'name=-a"pp', "=x", "a=b,=c"])
+@pytest.mark.parametrize("text", ["=v", "k=1,=2", "k", "k=1=2", "k,l=1", 'k="1', 'k=1"2', 'k="a"b"'])
 def test_bad_pairs(text):
     with pytest.raises(ValueError):
         kvtext.parse_pairs(text)
 
 
-TAGS = [
-    ("", {}), ("name=app", {"name": "app"}), (" { name = app}", {"name": "app"}), (' { name = "app"}', {"name": "app"}), (' { name = "a\\\\pp"}', {"name": "a\\pp"}),
-    (' { name = app, t2=  "tt"}', {"name": "app", "t2": "tt"}), ("name=", {"name": ""}), ('name=-"app"', {"name": '-"app"'}),
-]
-
+@pytest.mark.parametrize("text,pairs", [("", []), ("k=", [("k", "")]), ("k=`a\\b`", [("k", "a\\b")]), ('k="\\u00e9\\n"', [("k", "é\n")]), ("k=/'v'", [("k", "/'v'")]), ('k=x"y,z"', [("k", 'x"y,z"')])])
+def test_pairs(text, pairs):
+    assert kvtext.parse_pairs(text) == pairs
 
-@pytest.mark.parametrize("text,expected", TAGS)
-def test_tags(text, expected):
-    assert kvtext.parse_tags(text) == expected
 
-
-LINES = [
-    ("", ""), ("{name=app}", "name=app"), ('{ name="a\\"p\\"p" }', 'name=a"p"p'), ('{ name="a==b" }', 'name="a==b"'), ('{ name="a,b" }', 'name="a,b"'),
-    ("name=app,bbb=cc", "bbb=cc,name=app"), ("name=,bbb=cc", 'bbb=cc,name=""'), ("name=app,   a=asdf, bbb=cc", "a=asdf,bbb=cc,name=app"), ('name="app,   a=asdf", bbb=cc', 'bbb=cc,name="app,   a=asdf"'),
-]
-
-
-@pytest.mark.parametrize("text,line", LINES)
-def test_tag_line(text, line):
-    assert kvtext.tag_line(kvtext.parse_tags(text)) == line
+@given(st.dictionaries(KEYS, st.sampled_from(["plain", "", "w=1", "left,right", "two words"]), max_size=5))
+def test_tag_lines_are_sorted_and_quoted_where_needed(tags):
+    line = kvtext.tag_line(tags)
+    assert kvtext.parse_tags(line) == tags and line == kvtext.tag_line(dict(reversed(tags.items())))
+    assert line.count('"') == 2 * sum(v == "" or "=" in v or "," in v for v in tags.values())
+    assert [k for k, _ in kvtext.parse_pairs(line)] == sorted(tags)
 
 
 def test_fields_keep_order_and_duplicates():
-    assert kvtext.fields_line(kvtext.parse_fields('{aa=1234, name = "a=,pp12"}')) == 'aa=1234,name="a=,pp12"'
-    assert kvtext.parse_fields("a=1,b=2,a=3") == [("a", "1"), ("b", "2"), ("a", "3")]
-    assert kvtext.fields_line([("a", "")]) == "a="
-    with pytest.raises(ValueError):
-        kvtext.parse_fields("a=" + "x" * 256)
-
-
-def test_subset_and_merge():
-    a, b = kvtext.parse_tags("a=1,b=2"), kvtext.parse_tags("a=1,b=2, c=3")
-    assert kvtext.is_subset(a, b) and not kvtext.is_subset(b, a)
-    assert kvtext.merge([("a", "b"), ("b", "c")], {"c": "d"}) == [("a", "b"), ("b", "c"), ("c", "d")]
-    assert kvtext.merge([("a", "b")], {"a": "d"}) == [("a", "d")]
+    pairs = [("zeta", "9"), ("alpha", "x,y=z"), ("zeta", "8"), ("none", "")]
+    assert kvtext.fields_line(pairs) == 'zeta=9,alpha="x,y=z",zeta=8,none='
+    assert kvtext.parse_fields(kvtext.fields_line(pairs)) == pairs
+    assert kvtext.parse_fields("k=" + "é" * 127)[0][1] == "é" * 127
+    for over in ("k=" + "é" * 128, "k" * 256 + "=v"):
+        with pytest.raises(ValueError):
+            kvtext.parse_fields(over)
+
+
+@given(st.dictionaries(KEYS, BARE, max_size=4), st.dictionaries(KEYS, BARE, max_size=4))
+def test_subset_and_merge(a, b):
+    assert kvtext.is_subset(a, a | {}) and kvtext.is_subset(a, b | a) and kvtext.is_subset(a, b) == (set(a.items()) <= set(b.items()))
+    merged = kvtext.merge(list(a.items()), b)
+    assert dict(merged) == a | b and [k for k, _ in merged] == [*a, *(k for k in b if k not in a)]
 
 
 @given(st.dictionaries(st.text("abcXYZ_", min_size=1, max_size=5), st.text(max_size=8), max_size=4))

@@ -136,12 +136,12 @@ def test_collector(spark, engine, tmp_path):
     (logs / "svc").mkdir(parents=True)
     (logs / "svc" / "one.log").write_text("2024-01-02 03:04:05 first\n  more of it\nlast without end")
     (logs / "svc" / "skip.gz.log").write_text("x\n")
-    (logs / "k8.json").write_text('{"log":"hi\\n","stream":"stderr","time":"2018-02-06T10:22:49.201168034Z"}\nnot json\n')
+    (logs / "k8.json").write_text('{"log":"hi\\n","stream":"stderr","time":"2023-09-08T07:06:05.040302010Z"}\nnot json\n')
     schemas = [PathSchema(r"/(?P<dir>\w+)/(?P<name>\w+)\.log$", {"app": "{dir}", "file": "t-{name}"}, {"note": "n"}, "text"), PathSchema(r"k8\.json$", {"app": "k8"}, {}, "k8json")]
     collector = Collector([str(logs / "*" / "*.log"), str(logs / "*.json")], schemas, [r"\.gz\.log$"])
     rows = {r["msg"]: r for r in collector.read(collector.lines(spark)).collect() if r["msg"] is not None}
     assert set(rows) == {"2024-01-02 03:04:05 first\n", "  more of it\n", "last without end", "hi\n"}
-    assert len({rows[m]["ts_ns"] for m in rows if m != "hi\n"}) == 1 and rows["hi\n"]["ts_ns"] == 1517912569201168034
+    assert len({rows[m]["ts_ns"] for m in rows if m != "hi\n"}) == 1 and rows["hi\n"]["ts_ns"] == 1694156765040302010
     assert rows["  more of it\n"]["tag_line"] == "app=svc,file=t-one" and rows["hi\n"]["fields_kv"][0]["v"] == "stderr"
     bad = collector.read(collector.lines(spark)).filter("corrupt is not null").collect()
     assert [r["corrupt"] for r in bad] == ["not json\n"]
@@ -191,7 +191,7 @@ def test_collecting_goes_on(spark, engine, tmp_path):
 
 
 def test_logfmt(spark):
-    def one(log, keys, time="2018-02-06T10:22:49Z"):
+    def one(log, keys, time="2023-09-08T07:06:05Z"):
         import json
 
         rows = spark.createDataFrame([("f", 0, json.dumps({"log": log, "stream": "s", "time": time}))], "file string, line_no long, line string")
@@ -202,8 +202,8 @@ def test_logfmt(spark):
     assert one('a=1 b="x y" c', ["a", "b", "c"])[1] == [("stream", "s"), ("a", "1"), ("b", "x y"), ("c", "")]
     assert one('b="a=9" a=2 a=3', ["a"])[1] == [("stream", "s"), ("a", "3")]
     assert one('a="open', ["a"])[1] == [("stream", "s")]
-    assert one("time=2018-02-06T10:22:50.5Z", ["time"])[0] == 1517912570500000000
-    assert one("time=bad", ["time"]) == (1517912569000000000, [("stream", "s"), ("time", "bad")])
+    assert one("time=2023-09-08T07:06:06.5Z", ["time"])[0] == 1694156766500000000
+    assert one("time=bad", ["time"]) == (1694156765000000000, [("stream", "s"), ("time", "bad")])
 
 
 def test_parser_configuration():
