@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import socketserver
 import threading
 import time
@@ -126,7 +127,7 @@ def test_syslog_transport(spark, engine):
         engine.write("app=a", "", records(spark, [1, 2]))
         Syslog(Target("tcp", f"127.0.0.1:{server.server_address[1]}"))(engine.rows("select"))
         server.shutdown()
-    assert sorted(x.split(" - - - ")[1] for x in heard) == ["m1", "m2"]
+    assert [x.split(" - - - ")[1] for x in heard] == ["m1", "m2"]
     with pytest.raises(ValueError):
         Target("smtp")
 
@@ -148,7 +149,9 @@ def test_collector(spark, engine, tmp_path):
     stream = Collector([str(logs / "svc")], schemas, [r"\.gz\.log$"])
     for _ in range(2):
         engine.collect(stream, str(tmp_path / "cp")).awaitTermination()
-    assert "".join(lines(engine.sql("select"))) == (logs / "svc" / "one.log").read_text()
+    assert lines(engine.sql("select")) == ["2024-01-02 03:04:05 first\n", "  more of it\n"]  # the last line waits for its end
+    engine.collect(stream, str(tmp_path / "cp"), idle=0).awaitTermination()
+    assert lines(engine.sql("select"))[2] == "last without end"
     long = Collector([str(logs / "svc" / "one.log")], schemas, max_line=10)
     assert "".join(r["line"] for r in long.lines(spark).orderBy("line_no").collect()) == (logs / "svc" / "one.log").read_text()
 
@@ -166,28 +169,45 @@ def test_collecting_goes_on(spark, engine, tmp_path):
     one.write_text("1\n")
     two.write_text("a\n")
     assert taken() == {"one": "1\n", "two": "a\n"} == taken()
-    # Grown, in the middle of a line and of a character.
+    # Grown, in the middle of a line and of a character: whole lines are taken.
     with one.open("ab") as f:
         f.write("2\nthr日".encode()[:-1])
-    assert taken() == {"one": "1\n2\nthr", "two": "a\n"}
+    assert taken() == {"one": "1\n2\n", "two": "a\n"}
     with one.open("ab") as f:
         f.write("日".encode()[-1:] + b"ee\n")
     assert taken() == {"one": "1\n2\nthr日ee\n", "two": "a\n"}
-    # Rewritten in place: shorter, of the same length, longer.
-    for text in ("b", "c", "dd\n"):
+    # Rewritten in place: of the same length, longer; rotated; shorter.
+    for text in ("b\n", "cc\ndd\n"):
         two.write_text(text)
-        os.utime(two, ns=(time.time_ns(), time.time_ns()))
-        before = taken()["two"]
-        assert before.endswith(text)
-    assert taken() == {"one": "1\n2\nthr日ee\n", "two": "a\nbcdd\n"}
-    # A batch that comes again takes the same bytes and replaces its chunk.
-    one.write_text("1\n2\nthr日ee\nlast\n")
+        assert taken()["two"].endswith(text)
+    two.rename(two.with_suffix(".old"))
+    two.write_text("e\n")
+    assert taken() == {"one": "1\n2\nthr日ee\n", "two": "a\nb\ncc\ndd\ne\n"}
+    # A batch that comes again takes the same bytes and replaces its chunk; order is that of the batches, whoever else writes.
+    engine.write("f=one", "", spark.createDataFrame([(time.time_ns(), "between\n")], "ts_ns long, msg string"))
+    with one.open("a") as f:
+        f.write("last\n")
     append, engine.store.append = engine.store.append, lambda *a, **k: 1 / 0
     with pytest.raises(Exception):  # noqa: B017
         taken()
     engine.store.append = append
-    one.write_text("1\n2\nthr日ee\nlast\nmore\n")
-    assert taken()["one"] == one.read_text()
+    with one.open("a") as f:
+        f.write("more\n")
+    taken()
+    assert taken()["one"] == "1\n2\nthr日ee\nbetween\nlast\nmore\n"
+
+
+def test_lines_of_byte_ranges():
+    from tidewake.streaming import files
+
+    text = ("short\n" + "é" * 40 + "\n\n" + "x" * 25 + "\nno end").encode()
+    for limit in (10, 11, 16, 1000):
+        got = list(files.lines_of(io.BytesIO(text), 0, len(text), limit))
+        assert b"".join(x for _, x in got) == text and [at for at, _ in got] == [sum(len(x) for _, x in got[:k]) for k in range(len(got))]
+        assert all(0 < len(x) <= limit and x.decode() for _, x in got) and (limit < 1000 or len(got) == 5)
+    assert files.whole_lines(io.BytesIO(text), len(text), 1000) == len(text) - 6
+    assert files.whole_lines(io.BytesIO(b"y" * 50), 50, 20) == 50 and files.whole_lines(io.BytesIO(b"y" * 15), 15, 20) == 0
+    assert [files.local(p) for p in ("/a/b", "file:/a/b", "file:///a/b", "hdfs://h/a")] == ["/a/b", "/a/b", "/a/b", None]
 
 
 def test_logfmt(spark):
@@ -238,3 +258,76 @@ def test_shell(spark, engine, capsys):
     cli.run(engine, "show partitions", out)
     assert out.getvalue().startswith("a;src\ttag_line")
     assert cli.main([engine.store.root, "selec"]) == 1 and "error" in capsys.readouterr().err
+
+
+def test_writers_of_two_applications_take_turns(spark, tmp_path):
+    from tidewake.plans.store import Lock, Store
+
+    store, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    with store.lock, store.lock:
+        assert store.exists("lock")
+        waiting = Lock(other, patience=0.3)
+        with pytest.raises(TimeoutError), waiting:
+            pass
+    assert not store.exists("lock")
+    store.write_text("lock", "")  # left by an application that is gone
+    os.utime(tmp_path / "s" / "lock", (time.time() - 100, time.time() - 100))
+    with other.lock:
+        assert other.exists("lock")
+    assert not other.exists("lock")
+
+
+def test_range_prunes_chunks_and_src_overrides_from(spark, engine):
+    for t in ([1, 2], [30, 20], [50]):
+        engine.write("app=a", "", records(spark, t))
+    engine.write("app=b", "", records(spark, [21], "n"))
+    rows = engine.rows("select range ['20':'30']")
+    assert lines(rows) == ["n21", "m30", "m20"]
+    filters = rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("], PushedFilters")[0]
+    chunks = {(r["min_ts_ns"], str(r["chunk_id"])) for r in engine.store.chunks().collect()}
+    assert all((c in filters) == (t in (20, 21)) for t, c in chunks)
+    src = {r["tag_line"]: r["src"] for r in engine.store.partitions().collect()}
+    assert lines(engine.sql("select from app=a where msg contains 2", src=src["app=b"])) == ["n21"]
+    got, token = engine.page("select", None, 2, src=src["app=a"])
+    assert [r["msg"] for r in got] == ["m1", "m2"] and [r["msg"] for r in engine.page("select", token, 9, src=src["app=a"])[0]] == ["m30", "m20", "m50"]
+    assert engine.store.table("partitions", "src string").count() == 2  # noted once, not for each write
+
+
+def test_merge_over_blocks(spark):
+    from tidewake.operators import merge, stats
+
+    rng = random.Random(6)
+    rows = [("s", "a=1", c, (b << 16) + k, rng.randint(0, 1000)) for c in range(3) for b in range(3) for k in range(20)]
+    df = spark.createDataFrame(rows, "src string, tag_line string, chunk_id long, idx long, ts_ns long")
+    for backward, best, turn in ((False, max, 1), (True, min, -1)):
+        key, so_far = {}, None
+        for r in rows[::turn]:
+            so_far = r[4] if so_far is None else best(so_far, r[4])
+            key[r[2], r[3]] = so_far
+        assert {(r["chunk_id"], r["idx"]): r[merge.KEY] for r in merge.with_merge_key(df, False, backward).collect()} == key
+    assert [r["monotonic"] for r in stats.monotonic(df).collect()] == [False] * 3
+    rising = [("s", "a=1", 0, r[3], k) for k, r in enumerate(r for r in rows if r[2] == 0)]
+    assert stats.monotonic(spark.createDataFrame(rising, df.schema)).first()["monotonic"]
+    falling = [*rising[:20], *((*r[:4], 5) for r in rising[20:])]  # only from block to block
+    assert not stats.monotonic(spark.createDataFrame(falling, df.schema)).first()["monotonic"]
+
+
+def test_shell_collects_and_forwards(spark, engine, tmp_path):
+    import json
+
+    from tidewake import cli
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "x.log").write_text("one\ntwo\n")
+    workers = {"w": {"pipe": "twos", "source": "app=x", "where": "msg contains two", "sink": {"type": "stdout"}}}
+    collecting = {"include": [str(tmp_path / "logs" / "*.log")], "schemas": [{"path": r"(?P<n>\w+)\.log$", "tags": {"app": "{n}"}}], "checkpoint": str(tmp_path / "cp")}
+    forwarding = {"workers": workers, "checkpoints": str(tmp_path / "fwd")}
+    out = io.StringIO()
+    cli.forward(engine, forwarding | {"workers": {}}, out)
+    engine.pipes.ensure("twos", "app=x", "msg contains two")
+    (tmp_path / "c.json").write_text(json.dumps(collecting))
+    assert cli.main([engine.store.root, "--collect", str(tmp_path / "c.json")]) == 0 and lines(engine.sql("select")) == ["one\n", "two\n"]
+    cli.follow(engine, cli.forward(engine, forwarding, out))
+    assert out.getvalue() == "two\n"
+    assert cli.main([engine.store.root, "--stop"]) == 0 and engine.store.exists("stop")
+    cli.follow(engine, [])

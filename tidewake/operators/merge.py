@@ -14,24 +14,33 @@ from pyspark.sql import functions as F
 KEY = "__key"
 #: Positions of more partitions than this are joined, not spelled out in a condition.
 MOST_LITERALS = 100
+BLOCK = "__block"
+
+
+def block_of(idx: Column) -> Column:
+    """Number of a record's block within its chunk: blocks hold 65,536 places and keep their order."""
+    return F.shiftright(idx, 16)
 
 
 def with_merge_key(rows: DataFrame, monotonic: bool = False, backward: bool = False) -> DataFrame:
     """rows with the time at which a merge takes them.
 
-    The running maximum is taken chunk by chunk and joined to the maxima of the chunks before, so
-    no task holds more than a chunk of a partition. Backward it is a running minimum from the end.
+    The running maximum is taken block by block of 65,536 places of a chunk and joined to the maxima
+    of the blocks before, so no task holds more than a block, however large a chunk or a partition
+    is. Backward it is a running minimum from the end.
     """
     if monotonic:
         return rows.withColumn(KEY, F.col("ts_ns"))
     best, frame = (F.min, (0, Window.unboundedFollowing)) if backward else (F.max, (Window.unboundedPreceding, 0))
-    chunk = Window.partitionBy("src", "chunk_id").orderBy("idx").rowsBetween(*frame)
+    block = ["src", "chunk_id", BLOCK]
+    rows = rows.withColumn(BLOCK, block_of(F.col("idx")))
+    own = Window.partitionBy(*block).orderBy("idx").rowsBetween(*frame)
     others = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
-    chunks = rows.groupBy("src", "chunk_id").agg(best("ts_ns").alias("__m"))
-    carried = chunks.select("src", "chunk_id", best("__m").over(Window.partitionBy("src").orderBy("chunk_id").rowsBetween(*others)).alias("__carried"))
-    joined = rows.withColumn("__own", best("ts_ns").over(chunk)).join(carried, ["src", "chunk_id"])
+    blocks = rows.groupBy(*block).agg(best("ts_ns").alias("__m"))
+    carried = blocks.select(*block, best("__m").over(Window.partitionBy("src").orderBy("chunk_id", BLOCK).rowsBetween(*others)).alias("__carried"))
+    joined = rows.withColumn("__own", best("ts_ns").over(own)).join(carried, block)
     both = F.least("__own", "__carried") if backward else F.greatest("__own", "__carried")
-    return joined.withColumn(KEY, both).drop("__own", "__carried")
+    return joined.withColumn(KEY, both).drop("__own", "__carried", BLOCK)
 
 
 def order(backward: bool = False) -> list[Column]:

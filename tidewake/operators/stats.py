@@ -39,8 +39,15 @@ def describe_partition(chunks: DataFrame, tag_line: str) -> DataFrame:
 
 
 def monotonic(rows: DataFrame) -> DataFrame:
-    """src, chunk_id and whether the chunk's times never go back."""
+    """src, chunk_id and whether the chunk's times never go back: within blocks of bounded size, then from block to block."""
     from pyspark.sql import Window
 
-    earlier = F.lag("ts_ns").over(Window.partitionBy("src", "chunk_id").orderBy("idx"))
-    return rows.withColumn("__back", F.coalesce(F.col("ts_ns") < earlier, F.lit(False))).groupBy("src", "chunk_id").agg((~F.bool_or("__back")).alias("monotonic"))
+    from .merge import BLOCK, block_of
+
+    block = ["src", "chunk_id", BLOCK]
+    earlier = F.lag("ts_ns").over(Window.partitionBy(*block).orderBy("idx"))
+    marked = rows.withColumn(BLOCK, block_of(F.col("idx"))).withColumn("__back", F.coalesce(F.col("ts_ns") < earlier, F.lit(False)))
+    blocks = marked.groupBy(*block).agg(F.bool_or("__back").alias("__back"), F.min("ts_ns").alias("__min"), F.max("ts_ns").alias("__max"))
+    before = F.max("__max").over(Window.partitionBy("src", "chunk_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    back = F.col("__back") | F.coalesce(F.col("__min") < before, F.lit(False))
+    return blocks.withColumn("__back", back).groupBy("src", "chunk_id").agg((~F.bool_or("__back")).alias("monotonic"))

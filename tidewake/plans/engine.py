@@ -61,32 +61,40 @@ class Engine:
             self._pipes = Pipes(self)
         return self._pipes
 
-    def _rows(self, source: ast.Source | None, view: str | None) -> tuple[DataFrame, bool]:
+    def _rows(self, source: ast.Source | None, view: str | None, src: str | None = None, bounds: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, bool]:
         if view is not None:
             df, monotonic = self.views[view]
             condition = source_condition(source)
-            if source is not None:
+            if src is not None:
+                df = df.filter(F.col("src") == src)
+            elif source is not None:
                 if self.max_sources is not None and df.filter(condition).select("src").distinct().limit(self.max_sources).count() >= self.max_sources:
                     raise StatementError(f"{self.max_sources} partitions or more match")
                 df = df.filter(condition)
             return df, monotonic
         if self.store is None:
             raise StatementError("there is no store: give a root or a view")
-        srcs = self.store.resolve(source, self.max_sources)
-        return self.store.records(srcs), self.store.is_monotonic(srcs)
-
-    def rows(self, statement: ast.Select | str, view: str | None = None, now: datetime | None = None, position=None, offset: int | None = None, limit: int | None = None, backward: bool = False) -> DataFrame:
+        if src is None and self.max_sources is not None:
+            found = self.store.chosen(source).select("src").distinct().limit(self.max_sources).count()
+            if found >= self.max_sources:
+                raise StatementError(f"{self.max_sources} partitions or more match")
+        chunks = self.store.chosen(source, bounds, src)
+        return self.store.records(chunks), self.store.is_monotonic(chunks)
+
+    def rows(self, statement: ast.Select | str, view: str | None = None, now: datetime | None = None, position=None, offset: int | None = None, limit: int | None = None, backward: bool = False, src: str | None = None) -> DataFrame:
         """Records of a SELECT in merge order, with all columns of the log.
 
-        FROM prunes partitions, RANGE and WHERE reach the scan as far as Parquet takes them; the sort
-        comes after. Arguments go before the clauses of the text.
+        FROM prunes partitions and RANGE chunks; both and WHERE reach the scan as far as Parquet
+        takes them; the sort comes after. Arguments go before the clauses of the text: `src`, the id
+        of a partition, before FROM.
         """
         select = parse(statement) if isinstance(statement, str) else statement
         if not isinstance(select, ast.Select):
             raise StatementError(f"not a SELECT: {select}")
         now = now or datetime.now(UTC)  # once for the whole statement
-        df, monotonic = self._rows(select.source, view)
-        in_range = range_condition(range_bounds(select.range, now, self.zone))
+        bounds = range_bounds(select.range, now, self.zone)
+        df, monotonic = self._rows(select.source, view, src, bounds or (None, None))
+        in_range = range_condition(bounds)
         if in_range is not None:
             df = df.filter(in_range)
         # The merge sees what is in range; WHERE decides after it, by which only monotone partitions may be filtered first.
@@ -102,19 +110,19 @@ class Engine:
             most = None  # in a text a negative limit is none
         return merge.window(keyed, where_to, steps, most, backward).drop(merge.KEY)
 
-    def sql(self, statement: str, view: str | None = None, now: datetime | None = None, position=None, offset: int | None = None, limit: int | None = None, backward: bool = False) -> DataFrame:
+    def sql(self, statement: str, view: str | None = None, now: datetime | None = None, position=None, offset: int | None = None, limit: int | None = None, backward: bool = False, src: str | None = None) -> DataFrame:
         """A SELECT: the column `line` where it has a format, else ts_ns, msg, tag_line and fields_line. Other statements go to execute."""
         select = parse(statement)
         if not isinstance(select, ast.Select):
             return self.execute(statement, view=view, now=now)
-        return self.project(self.rows(select, view, now, position, offset, limit, backward), select.format)
+        return self.project(self.rows(select, view, now, position, offset, limit, backward, src), select.format)
 
     def project(self, rows: DataFrame, template: str | None) -> DataFrame:
         if template is not None:
             return rows.select(formatter.render(template, zone_name(self.zone)).alias("line"))
         return rows.select("ts_ns", "msg", "tag_line", fields_line_column(F.col("fields_kv")).alias("fields_line"))
 
-    def page(self, statement: str, token: str | None = None, limit: int = 100, view: str | None = None) -> tuple[list, str]:
+    def page(self, statement: str, token: str | None = None, limit: int = 100, view: str | None = None, src: str | None = None) -> tuple[list, str]:
         """The next rows of a SELECT and the token to go on with; new partitions start at their head.
 
         Rows of one page, `limit` of them, come to the driver; the token has an entry for each
@@ -123,10 +131,10 @@ class Engine:
         select = parse(statement)
         before = decode_token(token) if token else (decode_token(select.position) if select.position else "head")
         steps = 0 if token else select.offset
-        got = self.rows(select, view, None, before, steps, limit).collect()
+        got = self.rows(select, view, None, before, steps, limit, src=src).collect()
         nexts = dict(before) if isinstance(before, dict) else {}
         if before == "tail" and not got:
-            df, _ = self._rows(select.source, view)
+            df, _ = self._rows(select.source, view, src)
             ends = df.groupBy("src").agg(F.max(F.struct("chunk_id", "idx")).alias("e")).collect()
             nexts = {r["src"]: (r["e"]["chunk_id"], r["e"]["idx"] + 1) for r in ends}
         for r in got:
@@ -194,7 +202,7 @@ class Engine:
 
         return forward(self, pipe, sink, checkpoint, **trigger)
 
-    def collect(self, collector, checkpoint: str, **trigger):
+    def collect(self, collector, checkpoint: str, idle: float | None = None, **trigger):
         from ..streaming.collect import collect
 
-        return collect(self, collector, checkpoint, **trigger)
+        return collect(self, collector, checkpoint, idle, **trigger)

@@ -6,7 +6,10 @@ then total, so the rows are the same on both sides.
 
 from __future__ import annotations
 
+import io
+import socketserver
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -14,13 +17,21 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
+from ..errors import StatementError
 from ..functions.syslog import FACILITIES, SEVERITIES, syslog_line
 from ..model.kvtext import fields_line_column
+from ..language.compile import range_bounds
+from ..language.parser import parse
 from ..operators import merge, sliding, stats
+from ..sinks.stdout import Stdout
+from ..sinks.syslog import Syslog, Target
 from ..sources import parsers, views
 from ..sources.collector import Collector, PathSchema
+from ..streaming.forward import Forwarder
 from ..streaming.pipes import Pipe, piped
 from .engine import Engine
+from .store import src_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -237,12 +248,6 @@ def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(syslog_line(severity="{vars:sev}", hostname="host-{vars:user}").alias("line"))
 
 
-@query("SELECT doc_id AS ts_ns, '<182>1 1970-01-01T00:00:00Z localhost d - - - ' || replace(text, chr(10), '') AS line FROM documents WHERE strlen(replace(text, chr(10), '')) <= 200")
-def syslog_short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.documents_view(table(spark, sf_dir, "documents")).withColumn("doc", F.col("ts_ns")).filter(F.octet_length(F.replace("msg", F.lit("\n"), F.lit(""))) <= 200)
-    return rows.withColumn("ts_ns", F.lit(0).cast("long")).select(F.col("doc").alias("ts_ns"), syslog_line(tags="d", limit=200).alias("line"))
-
-
 #: Over 200 bytes, the most first characters that take no more: as many as the largest number of them that fits.
 _CUT = "CASE WHEN strlen(t) <= 200 THEN t ELSE left(t, (SELECT max(n) FROM range(0, 201) r(n) WHERE strlen(left(t, n)) <= 200)) || '... [truncated]' || chr(10) END"
 
@@ -324,15 +329,18 @@ def merge_keys_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The store and its streams. Each query writes a store of its own in the shared folder.
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidewake-shared"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it names the folder that driver and executors share")
+    shared = shared or f"file://{tempfile.gettempdir()}/tidewake-shared"
     return f"{shared.rstrip('/')}/tidewake/store-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, sf_dir: str, prepare: str | None = None, chunks: list[Column] | None = None) -> Engine:
-    """An engine whose store holds the events, one chunk for each condition; a statement may be run before they are written."""
+def stored(spark: SparkSession, sf_dir: str, *prepare: str, chunks: list[Column] | None = None) -> Engine:
+    """An engine whose store holds the events, one chunk for each condition; statements may be run before they are written."""
     out = Engine(spark, scratch(spark))
-    if prepare:
-        out.execute(prepare)
+    for text in prepare:
+        out.execute(text)
     rows = views.events_view(table(spark, sf_dir, "events"))
     for condition in chunks or [F.lit(True)]:
         out.store.append(rows.filter(condition).orderBy("idx").select("tags", "ts_ns", "msg", "fields_kv"))
@@ -372,11 +380,197 @@ def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("line string").parquet(taken)
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || chr(10) AS msg, (epoch_us(ts) // 1000000) * 1000000000 AS ts_ns, 'app=logs,kind=text' AS tag_line FROM events")
+def _put(spark: SparkSession, lines: DataFrame, path: str) -> None:
+    """Write one file of lines at a path, in the place of what is there."""
+    folder = f"{path}-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(folder)
+    jvm = spark._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    part = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if x.getPath().getName().startswith("part-"))
+    fs.mkdirs(to.getParent())
+    fs.delete(to, False)
+    fs.rename(part, to)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || chr(10) AS msg, (epoch_us(ts) // 1000000) * 1000000000 AS ts_ns, 'app=' || CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END || ',kind=text' AS tag_line FROM events")
 def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two globs: one grows between two runs, the other is rotated."""
     out = Engine(spark, scratch(spark))
-    folder = out.store.path("incoming")
-    table(spark, sf_dir, "events").orderBy("event_id").coalesce(1).select(F.concat_ws(" ", _time_text("yyyy-MM-dd HH:mm:ss"), "event_type")).write.text(folder)
-    schemas = [PathSchema(r"/incoming/part-[^/]*(?P<kind>text|txt)?$", {"app": "logs", "kind": "text"}, {}, "text")]
-    out.collect(Collector([folder], schemas), out.store.path("checkpoints/collect")).awaitTermination()
+    events = table(spark, sf_dir, "events").orderBy("event_id")
+    text = F.concat_ws(" ", _time_text("yyyy-MM-dd HH:mm:ss"), "event_type")
+    early, even = F.col("ts") < "2024-01-10", F.col("event_id") % 2 == 0
+    paths = [out.store.path("incoming/even/one.log"), out.store.path("incoming/odd/two.txt")]
+    collector = Collector([out.store.path("incoming/e*/*.log"), out.store.path("incoming/odd/*.txt")], [PathSchema(r"/incoming/(?P<app>\w+)/[^/]*$", {"app": "{app}", "kind": "text"}, {}, "text")])
+    for growing, rotated in ((even & early, ~even & early), (even, ~even & ~early)):
+        # Lines stand in order of (time came, event_id), so that the first run's file begins the second's.
+        _put(spark, events.filter(growing).orderBy(~early, "event_id").select(text), paths[0])
+        _put(spark, events.filter(rotated).select(text), paths[1])
+        out.collect(collector, out.store.path("checkpoints/collect")).awaitTermination()
     return out.sql("SELECT", now=NOW).select("msg", "ts_ns", "tag_line")
+
+
+@query(f"WITH {_EVENTS} SELECT {_ROW} FROM e WHERE app = 'click' AND k < '5'")
+def source_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stored(spark, sf_dir)
+    src = spark.range(1).select(src_of(F.lit("app=click"))).first()[0]
+    return out.sql("SELECT FROM app=error WHERE fields:k < 5", now=NOW, src=src)
+
+
+@query("SELECT 'app=' || event_type AS tag_line, event_id AS ts_ns, event_type || '!' AS msg, 'dc=1,user=' || user_id || ',note=\"a,b\"' AS fields_line FROM events WHERE event_type = 'click'")
+def write_with_field_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Engine(spark, scratch(spark))
+    fields = F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit(', note="a,b"'))
+    clicks = table(spark, sf_dir, "events").filter("event_type = 'click'")
+    out.write("app=click", "dc=1", clicks.select(F.col("event_id").alias("ts_ns"), F.concat("event_type", F.lit("!")).alias("msg"), fields.alias("fields")))
+    return out.sql("SELECT", now=NOW)
+
+
+_BY_DAY = "WITH d AS (SELECT 'app=' || event_type AS tag_line, epoch_us(ts) * 1000 AS ts_ns, date_diff('day', DATE '2024-01-01', ts::DATE) // 10 AS part FROM events)"
+
+
+@query(f"{_BY_DAY} SELECT tag_line, count(*) AS records, min(ts_ns) AS min_ts_ns, max(ts_ns) AS max_ts_ns FROM d GROUP BY tag_line, part HAVING max(ts_ns) >= epoch_us(TIMESTAMP '2024-01-12') * 1000 AND min(ts_ns) <= epoch_us(TIMESTAMP '2024-01-13') * 1000")
+def range_prunes_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that a RANGE reads."""
+    part = F.floor((F.col("ts_ns") / 86400000000000 - 19723) / 10)
+    parts = [r[0] for r in views.events_view(table(spark, sf_dir, "events")).select(part).distinct().collect()]  # one for each ten days
+    out = stored(spark, sf_dir, chunks=[part == p for p in sorted(parts)])
+    bounds = range_bounds(parse('SELECT RANGE ["2024-01-12":"2024-01-13"]').range, NOW)
+    return out.store.chosen(bounds=bounds).select("tag_line", "records", "min_ts_ns", "max_ts_ns")
+
+
+@query(f"{_ORDERED}, tag_line, event_id LIMIT 500")
+def pages_by_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages of a hundred rows, each from the token of the one before."""
+    out, token, rows = engine(spark, sf_dir), None, []
+    for _ in range(5):
+        got, token = out.page("SELECT", token, 100, "events")
+        rows += [(r["ts_ns"], r["msg"], r["tag_line"], r["fields_kv"]) for r in got]
+    frame = spark.createDataFrame(rows, "ts_ns long, msg string, tag_line string, fields_kv array<struct<k:string,v:string>>")
+    return frame.select("ts_ns", "msg", "tag_line", fields_line_column(F.col("fields_kv")).alias("fields_line"))
+
+
+@query("SELECT unnest(['all', 'late']) AS name")
+def pipes_show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made, made sure of, deleted and shown."""
+    out = Engine(spark, scratch(spark))
+    for text in ("CREATE PIPE all", "CREATE PIPE gone FROM app=view", "CREATE PIPE errors FROM app=error"):
+        out.execute(text)
+    out.pipes.ensure("late", "app=view", "msg CONTAINS x")
+    out.pipes.ensure("late", "app=click", recreate=True)
+    out.execute("DELETE PIPE gone")
+    out.execute("DELETE PIPE errors")
+    return out.execute("SHOW PIPES")
+
+
+@query("SELECT 'late' AS name, 'app=click' AS tags_cond, 'msg CONTAINS x' AS flt_cond, 'stream.pipe=late' AS dest_tag_line")
+def pipe_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Engine(spark, scratch(spark))
+    for _ in range(2):
+        out.pipes.ensure("late", "app = click", "msg contains x")
+    frame = out.execute("DESCRIBE PIPE late")
+    return frame.select("name", F.regexp_replace("tags_cond", '[" ]', "").alias("tags_cond"), F.replace("flt_cond", F.lit('"'), F.lit("")).alias("flt_cond"), "dest_tag_line")
+
+
+@query(f"WITH {_EVENTS} SELECT ts_ns, msg, 'stream.pipe=all' AS tag_line, fields_line || ',app=' || app AS fields_line FROM e")
+def pipe_takes_no_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipe of everything next to another pipe: what that one writes is not copied."""
+    out = stored(spark, sf_dir, "CREATE PIPE all", "CREATE PIPE views FROM app=view")
+    for name in ("views", "all", "all"):
+        out.pipes.start(name).awaitTermination()
+    return out.sql("SELECT FROM {stream.pipe=all}", now=NOW)
+
+
+@query(f"WITH {_EVENTS} SELECT msg, ts_ns FROM e WHERE app = 'error'")
+def forward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forwarder's worker, kept, replaced and stopped as its configuration says."""
+    out = stored(spark, sf_dir, "CREATE PIPE errors FROM app=error")
+    out.pipes.start("errors").awaitTermination()
+    taken = out.store.path("taken")
+    forwarder = Forwarder(out, out.store.path("checkpoints/forward"))
+    sink = lambda rows: rows.select("msg", "ts_ns").write.mode("append").parquet(taken)
+    for _ in range(2):
+        forwarder.sync({"worker": ("errors", sink)})
+        forwarder.running["worker"][1].awaitTermination()
+    forwarder.stop()
+    return spark.read.schema("msg string, ts_ns long").parquet(taken)
+
+
+@query(f"WITH {_EVENTS} SELECT row_number() OVER (ORDER BY ts_ns, event_id) - 1 AS n, msg AS line FROM e WHERE app = 'error'")
+def stdout_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = io.StringIO()
+    Stdout(written)(engine(spark, sf_dir).rows("SELECT FROM app=error", "events", NOW))
+    return spark.createDataFrame(list(enumerate(written.getvalue().splitlines())), "n long, line string")
+
+
+@query(f"WITH {_EVENTS} SELECT row_number() OVER (ORDER BY ts_ns, event_id) - 1 AS n, msg FROM e WHERE app = 'click'")
+def syslog_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a server of this process hears them, in order."""
+    heard: list[str] = []
+
+    class Hear(socketserver.StreamRequestHandler):
+        def handle(self):
+            heard.extend(x.decode().rstrip("\n") for x in self.rfile)
+
+    with socketserver.TCPServer(("0.0.0.0", 0), Hear) as server:
+        server.timeout = 60
+        listener = threading.Thread(target=server.handle_request)
+        listener.start()
+        address = f"{spark.conf.get('spark.driver.host', '127.0.0.1')}:{server.server_address[1]}"
+        Syslog(Target("tcp", address))(engine(spark, sf_dir).rows("SELECT FROM app=click", "events", NOW))
+        listener.join()
+    return spark.createDataFrame([(k, x.split(" - - - ", 1)[1]) for k, x in enumerate(heard)], "n long, msg string")
+
+
+@query("SELECT '/var/log/' || event_type AS file, count(*) AS total, count(*) FILTER (event_id % 7 <> 0) AS successful, count(*) FILTER (event_id % 7 = 0) AS failed, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 = 0) AS undated FROM events GROUP BY event_type")
+def parse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the registry's parser of container logs: one line in seven is no JSON, one in five has no time."""
+    events = table(spark, sf_dir, "events")
+    time = F.when(F.col("event_id") % 5 != 0, F.concat(_time_text("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    record = F.to_json(F.struct(F.col("props").alias("log"), F.lit("stdout").alias("stream"), time.alias("time")))
+    line = F.when(F.col("event_id") % 7 == 0, "no json").otherwise(record)
+    lines = _lines(events, line, F.col("event_id"), F.concat(F.lit("/var/log/"), "event_type"))
+    return parsers.parse_statistics(parsers.parser("k8json")(lines))
+
+
+@query("SELECT unnest(['YYYY-MM-DD HH:mm:ss', '']) AS pattern, unnest([count(*) FILTER (event_id % 3 <> 1), count(*) FILTER (event_id % 3 = 1)]) AS hits FROM events")
+def date_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    dated = F.when(F.col("event_id") % 3 != 1, F.concat(_time_text("yyyy-MM-dd HH:mm:ss"), F.lit(" msg"))).otherwise("no date here")
+    return parsers.date_statistics(_lines(events, dated, F.col("event_id"), F.concat(F.lit("/var/log/u"), F.col("user_id").cast("string"))))
+
+
+@query(f"WITH {_CHUNKS} SELECT tag_line, sum(records)::BIGINT AS records, false AS left_behind FROM c WHERE tag_line <> 'app=view' GROUP BY tag_line")
+def store_drop_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition that is truncated whole: neither its entry nor its folder stays."""
+    out = stored(spark, sf_dir)
+    out.execute("TRUNCATE app=view BEFORE '2030-01-01'", now=NOW)
+    src = spark.range(1).select(src_of(F.lit("app=view"))).first()[0]
+    return out.execute("SHOW PARTITIONS").select("tag_line", "records", F.lit(out.store.exists(f"events/src={src}")).alias("left_behind"))
+
+
+@query(f"WITH {_EVENTS} SELECT row_number() OVER (ORDER BY ts_ns, tag_line, event_id) - 1 AS n, msg AS line FROM e ORDER BY n LIMIT 50")
+def shell_default_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shell prints for a SELECT without a format and a limit."""
+    written = io.StringIO()
+    cli.run(stored(spark, sf_dir), "SELECT", written)
+    return spark.createDataFrame(list(enumerate(written.getvalue().splitlines())), "n long, line string")
+
+
+_ERRORS = {
+    "SELECT WHERE ts = 5": "UnsupportedOperatorError", "SELECT WHERE msg = x": "UnsupportedOperatorError", "SELECT WHERE size > 5": "UnknownOperandError", "SELECT WHERE fields: = x": "UnknownOperandError",
+    "SELECT WHERE trim(msg) CONTAINS x": "UnknownOperandError", "SELECT WHERE ts < someday": "DateTimeError", "SELECT WHERE msg LIKE '[x'": "PatternError", "SELECT FROM": "StatementSyntaxError", "SELECT POSITION 'none'": "StatementError",
+}
+
+
+@query("SELECT unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t in _ERRORS) + "]) AS statement, unnest([" + ", ".join(f"'{e}'" for e in _ERRORS.values()) + "]) AS error")
+def statement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors show before a job runs."""
+    out, rows = engine(spark, sf_dir), []
+    for text in _ERRORS:
+        try:
+            out.sql(text, "events", NOW)
+        except StatementError as e:
+            rows.append((text, type(e).__name__))
+    return spark.createDataFrame(rows, "statement string, error string")

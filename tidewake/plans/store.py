@@ -2,13 +2,15 @@
 
 Records are Parquet files under events/src=../chunk_id=..; a write is one chunk for each partition it
 touches. Partitions and chunks are noted in tables that are only appended to; what was dropped is
-noted as well, and its files are deleted. Writers take a lock, so there is one at a time.
+noted as well, and its files are deleted. Writers take a lock, in the process and as a file of the
+store, so there is one at a time whichever application it belongs to.
 """
 
 from __future__ import annotations
 
 import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -39,11 +41,77 @@ def _fields_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: [{"k": k, "v": v} for k, v in field_texts(text)] if text else [])
 
 
+#: Chunks up to this many are spelled out in a condition, which prunes their folders; beyond it they are joined.
+MOST_CHUNKS = 1000
+
+
+class Lock:
+    """The writers' lock: reentrant within a thread, and a file that only one application can create.
+
+    Its holder touches the file; one that was not touched for `stale` seconds was left by an
+    application that is gone, and is taken over.
+    """
+
+    def __init__(self, store: Store, stale: float = 60, patience: float = 3600):
+        self.store, self.stale, self.patience = store, stale, patience
+        self.own, self.depth, self.token = threading.RLock(), 0, uuid.uuid4().hex
+
+    def __enter__(self) -> None:
+        self.own.acquire()
+        self.depth += 1
+        if self.depth > 1:
+            return
+        try:
+            self._create()
+        except BaseException:
+            self.depth -= 1
+            self.own.release()
+            raise
+        self.done = threading.Event()
+        self.keeper = threading.Thread(target=self._keep, args=(self.done,), daemon=True)
+        self.keeper.start()
+
+    def _create(self) -> None:
+        from py4j.protocol import Py4JJavaError
+
+        fs, path = self.store._fs(self.store.path("lock"))
+        until = time.monotonic() + self.patience
+        while True:
+            try:
+                fs.create(path, False).close()
+                return
+            except Py4JJavaError:
+                if not fs.exists(path):
+                    if time.monotonic() > until:
+                        raise
+                elif time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > self.stale:
+                    fs.delete(path, False)
+                elif time.monotonic() > until:
+                    raise TimeoutError(f"another application holds {path}") from None
+            time.sleep(0.2)
+
+    def _keep(self, done: threading.Event) -> None:
+        fs, path = self.store._fs(self.store.path("lock"))
+        while not done.wait(self.stale / 4):
+            fs.setTimes(path, int(time.time() * 1000), -1)
+
+    def __exit__(self, *_) -> None:
+        self.depth -= 1
+        if not self.depth:
+            self.done.set()
+            self.keeper.join()
+            self.store.delete("lock")
+        self.own.release()
+
+
 @dataclass
 class Store:
     spark: SparkSession
     root: str
-    lock: threading.RLock = field(default_factory=threading.RLock)
+    lock: Lock = field(init=False)
+
+    def __post_init__(self):
+        self.lock = Lock(self)
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -94,29 +162,37 @@ class Store:
         rows = self.table("partitions", PARTITIONS).groupBy("src", "tag_line").agg(F.first("tags").alias("tags"), F.min("created_ns").alias("created_ns"), F.bool_or("by_pipe").alias("by_pipe"))
         return rows.join(self.chunks().select("src").distinct(), "src", "left_semi")
 
-    def resolve(self, source: ast.Source | None, max_sources: int | None = None) -> list[str]:
-        """Ids of the partitions of a source: one row for each, from the catalog alone."""
-        found = [r["src"] for r in self.partitions().filter(source_condition(source)).select("src").collect()]
-        if max_sources is not None and len(found) >= max_sources:
-            raise ValueError(f"{len(found)} partitions match; fewer than {max_sources} are allowed")
-        return found
+    def chosen(self, source: ast.Source | None = None, bounds: tuple[int | None, int | None] = (None, None), src: str | None = None) -> DataFrame:
+        """Chunks of the partitions of a source, or of one by its id, that may hold times within inclusive bounds."""
+        out = self.chunks()
+        if src is not None:
+            out = out.filter(F.col("src") == src)
+        elif source is not None:
+            out = out.join(self.partitions().filter(source_condition(source)).select("src"), "src", "left_semi")
+        low, high = bounds
+        if low is not None:
+            out = out.filter(F.col("max_ts_ns") >= low)
+        return out.filter(F.col("min_ts_ns") <= high) if high is not None else out
 
-    def records(self, srcs: list[str] | None = None) -> DataFrame:
-        """Records of partitions (None: all) in the columns of the log; only their directories are listed."""
-        if not self.exists("events") or srcs == []:
+    def records(self, chunks: DataFrame | None = None) -> DataFrame:
+        """Records of chunks (None: all there are) in the columns of the log; only their folders are listed."""
+        chunks = (self.chunks() if chunks is None else chunks).select("src", "chunk_id")
+        listed = chunks.limit(MOST_CHUNKS + 1).collect() if self.exists("events") else []
+        if not listed:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         rows = self.spark.read.schema(STORED).parquet(self.path("events"))
-        if srcs is not None:
-            rows = rows.filter(F.col("src").isin(*srcs))
+        if len(listed) <= MOST_CHUNKS:
+            rows = rows.filter(F.col("src").isin(*{r["src"] for r in listed}) & F.col("chunk_id").isin(*{r["chunk_id"] for r in listed}))
+            chunks = F.broadcast(self.spark.createDataFrame(listed, "src string, chunk_id bigint"))
+        rows = rows.join(chunks, ["src", "chunk_id"], "left_semi")
         names = self.table("partitions", PARTITIONS).groupBy("src").agg(F.first("tag_line").alias("tag_line"), F.first("tags").alias("tags"))
-        rows = rows.join(self.table("dropped", DROPPED), ["src", "chunk_id"], "left_anti")
         return rows.join(names, "src").select(*[c.split()[0] for c in LOG_SCHEMA.replace("<k:string,v:string>", "").replace("<string,string>", "").split(", ")])
 
-    def is_monotonic(self, srcs: list[str] | None = None) -> bool:
-        """Whether times never go back in these partitions, within chunks and from one to the next."""
+    def is_monotonic(self, chunks: DataFrame | None = None) -> bool:
+        """Whether times never go back in these chunks, within them and from one to the next of their partition."""
         from pyspark.sql import Window
 
-        chunks = self.chunks() if srcs is None else self.chunks().filter(F.col("src").isin(*srcs))
+        chunks = self.chunks() if chunks is None else chunks
         earlier = F.max("max_ts_ns").over(Window.partitionBy("src").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1))
         row = chunks.withColumn("fine", F.col("monotonic") & F.coalesce(F.col("min_ts_ns") >= earlier, F.lit(True))).agg(F.bool_and("fine").alias("fine")).first()
         return row["fine"] is not False
@@ -144,9 +220,10 @@ class Store:
             columns = [c.split()[0] for c in STORED.split(", ")]
             kept.select(*columns[:5], "fields_kv").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("src", "chunk_id").parquet(self.path("events"))
             now = time.time_ns()
-            kept.groupBy("src", "tag_line").agg(F.first("tags").alias("tags")).select(
-                "src", "tags", "tag_line", F.lit(now).cast("bigint").alias("created_ns"), F.lit(by_pipe).alias("by_pipe")
-            ).write.mode("append").parquet(self.path("partitions"))
+            named = kept.groupBy("src", "tag_line").agg(F.first("tags").alias("tags")).select("src", "tags", "tag_line", F.lit(now).cast("bigint").alias("created_ns"), F.lit(by_pipe).alias("by_pipe"))
+            # A partition is noted once: the catalog grows with partitions, not with writes.
+            new = named.join(self.table("partitions", PARTITIONS).select("src"), "src", "left_anti") if self.exists("partitions") else named
+            new.write.mode("append").parquet(self.path("partitions"))
             new = stats.chunk_stats(kept).join(stats.monotonic(kept), ["src", "chunk_id"]).select(*[c.split()[0] for c in CHUNKS.split(", ")])
             known = self.table("chunks", CHUNKS).filter(F.col("chunk_id") == chunk_id).select("src", "chunk_id")
             new = new.join(known, ["src", "chunk_id"], "left_anti") if self.exists("chunks") else new
@@ -175,3 +252,6 @@ class Store:
             self.spark.createDataFrame(doomed, DROPPED).write.mode("append").parquet(self.path("dropped"))
             for src, chunk_id in doomed:
                 self.delete(f"events/src={src}/chunk_id={chunk_id}")
+            held = {r["src"] for r in self.chunks().filter(F.col("src").isin(*{src for src, _ in doomed})).select("src").distinct().collect()}
+            for src in {src for src, _ in doomed} - held:
+                self.delete(f"events/src={src}")  # nothing is left of the partition

@@ -66,20 +66,24 @@ class Target:
 
 @dataclass(frozen=True)
 class Syslog:
-    """Sends each record as a syslog line; templates as for syslog_line. A failure fails the batch, which then comes again."""
+    """Sends each record as a syslog line; templates as for syslog_line. A failure fails the batch, which then comes again.
+
+    One task sends all lines over one connection in the order of the rows, reading one sorted
+    partition after the other. With `ordered` off each partition has a connection of its own.
+    """
 
     target: Target = field(default_factory=Target)
     templates: tuple[tuple[str, str], ...] = ()
     replace_newlines: bool = True
     limit: int = 1024
+    ordered: bool = True
 
     def __call__(self, rows: DataFrame) -> None:
         target = self.target
         lines = rows.select(syslog_line(**dict(self.templates), replace_newlines=self.replace_newlines, limit=self.limit).alias("line"))
 
         def send(batches):
-            for batch in batches:
-                target.send(batch["line"])
-                yield batch[:0]
+            target.send(line for batch in batches for line in batch["line"])
+            yield from ()
 
-        lines.mapInPandas(send, "line string").count()
+        (lines.coalesce(1) if self.ordered else lines).mapInPandas(send, "line string").count()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,23 +39,6 @@ class PathSchema:
         return out
 
 
-def _binary(spark: SparkSession, paths) -> DataFrame:
-    """Path and content of files by their exact names, which may hold characters of globs."""
-    exact = [re.sub(r"([\\*?{}\[\]])", r"\\\1", p) for p in sorted(paths)]
-    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(exact).select("path", "content")
-
-
-def _ranges(spark: SparkSession, ranges: dict[str, tuple[int, int]]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(p, a, b) for p, (a, b) in ranges.items()], "path string, `from` long, `to` long"))
-
-
-def _whole(content: Column, at: Column) -> Column:
-    """The position, or that of the character before it where the bytes before the position do not complete it."""
-    at = at.cast("int")
-    before = F.hex(F.substring(content, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))))
-    return at - (F.length(F.regexp_extract(before, r"^(?:..)*?([C-F].|E.[89AB].|F.[89AB].(?:[89AB].)?)$", 1)) / 2).cast("int")
-
-
 @dataclass
 class Collector:
     """Which files are read; the first schema that matches a path counts."""
@@ -69,46 +51,16 @@ class Collector:
     def lines(self, spark: SparkSession) -> DataFrame:
         """file, line_no and line, its line feed kept; lines over max_line are split there.
 
-        Whole files are read, where they are small enough for a value of Spark.
+        Whole files are read, where they are small enough for a value of Spark; `collect` reads files
+        of any size by ranges.
         """
-        return self._split(spark.read.format("binaryFile").load(self.include), F.col("content"))
-
-    def _split(self, files: DataFrame, content: Column) -> DataFrame:
         path = F.regexp_replace("path", r"\A[a-z]+:/+", "/")
+        files = spark.read.format("binaryFile").load(self.include)
         for pattern in self.exclude:
             files = files.filter(~path.rlike(pattern))
-        parts = F.regexp_extract_all(F.decode(content, "UTF-8"), F.lit(rf"(?s)[^\n]{{0,{self.max_line - 1}}}\n|[^\n]{{1,{self.max_line}}}"), F.lit(0))
+        parts = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(rf"(?s)[^\n]{{0,{self.max_line - 1}}}\n|[^\n]{{1,{self.max_line}}}"), F.lit(0))
         return files.select(path.alias("file"), F.posexplode(parts).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
-    def listed(self, spark: SparkSession) -> dict[str, tuple[float, int]]:
-        """Time of change and length of each file of any include glob that is not excluded, by path."""
-        out: dict[str, tuple[float, int]] = {}
-        for pattern in self.include:
-            try:
-                files = spark.read.format("binaryFile").load(pattern)
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                continue
-            for x in self.exclude:
-                files = files.filter(~F.regexp_replace("path", r"\A[a-z]+:/+", "/").rlike(x))
-            out |= {r["path"]: (r["modificationTime"].timestamp(), r["length"]) for r in files.select("path", "modificationTime", "length").collect()}
-        return out
-
-    def grown(self, spark: SparkSession, taken: dict[str, int]) -> list[tuple[str, int, int, str, str]]:
-        """Of files of which so many bytes were taken: path, that number, length, hashes of what was taken and of all."""
-        if not taken:
-            return []
-        files = _binary(spark, taken).join(_ranges(spark, {p: (n, n) for p, n in taken.items()}), "path")
-        head = F.substring("content", F.lit(1), F.col("from").cast("int"))
-        return [tuple(r) for r in files.select("path", "from", F.length("content").cast("long"), F.sha2(head, 256), F.sha2("content", 256)).collect()]
-
-    def tails(self, spark: SparkSession, ranges: dict[str, tuple[int, int]]) -> DataFrame:
-        """As `lines`, for bytes from and to of each file. A character that is not complete yet is left to the next range."""
-        files = _binary(spark, ranges).join(_ranges(spark, ranges), "path")
-        start, end = _whole(F.col("content"), F.col("from")), _whole(F.col("content"), F.col("to"))
-        return self._split(files.filter(end > start), F.substring("content", start + 1, end - start))
-
     def split_lines(self, spark: SparkSession) -> DataFrame:
         """As `lines` for a batch, with large files split among tasks.
 

@@ -193,6 +193,14 @@ def date_statistics(lines: DataFrame, patterns: list[str] | None = None) -> Data
     return ordered.mapInPandas(counts, "pattern string, hits long").groupBy("pattern").agg(F.sum("hits").alias("hits"))
 
 
+def parse_statistics(parsed: DataFrame) -> DataFrame:
+    """Lines of each file: all, those read, and those that could not be; and of those read how many have no time."""
+    failed = F.col("corrupt").isNotNull()
+    return parsed.groupBy("file").agg(
+        F.count("*").alias("total"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"), F.count_if(~failed & F.col("ts_ns").isNull()).alias("undated")
+    )
+
+
 #: Parsers by the name of their format.
 FORMATS: dict[str, Callable[..., DataFrame]] = {"pure": parse_pure, "text": parse_text, "k8json": parse_k8json, "logfmt": parse_logfmt}
 

@@ -9,51 +9,39 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import LogFiles
 
-def _plan(engine, collector, note: str, number: int) -> dict[str, tuple[int, int]]:
-    """The bytes of each file that a batch takes, noted before it takes them: a batch that comes again takes the same."""
-    noted = json.loads(engine.store.read_text(note) or '{"number": -1, "files": {}, "ranges": {}}')
-    if noted["number"] > number:  # the checkpoint began anew
-        noted = {"number": -1, "files": {}, "ranges": {}}
-    listed = collector.listed(engine.spark)
-    if noted["number"] != number:
-        files = {p: v for p, v in noted["files"].items() if p in listed}
-        changed = {p: files[p][2] if p in files else 0 for p, v in listed.items() if p not in files or list(v) != files[p][:2]}
-        ranges = {}
-        for path, taken, length, head, whole in collector.grown(engine.spark, changed):
-            # What was taken is no longer what the file begins with: it is another file by now, or was written anew.
-            start = taken if path in files and taken <= length and head == files[path][3] else 0
-            files[path] = [*listed[path], length, whole]
-            if start < length:
-                ranges[path] = [start, length]
-        noted = {"number": number, "files": files, "ranges": ranges}
-        engine.store.write_text(note, json.dumps(noted))
-    return {p: tuple(r) for p, r in noted["ranges"].items() if p in listed}
-
-
-def collect(engine, collector, checkpoint: str, **trigger):
+
+def collect(engine, collector, checkpoint: str, idle: float | None = None, **trigger):
     """Read what is new in the files of a collector and append its records; lines that can't be read are left out.
 
-    Each batch looks at all files of all include globs: of those that grew the new bytes are taken,
-    those that no longer begin with what was taken of them are taken from their start. After a
-    failure a batch comes again, takes the same bytes and replaces its own chunk. Without a trigger
-    what there is is taken once. Lines without a date get the time of the first use of the
-    checkpoint; dates are not carried on from one batch to the next.
+    Of all files of all include globs the whole lines behind those taken before are taken; rotated
+    and rewritten files from their start. A last line without a line feed waits for it, or until its
+    file has not changed for `idle` seconds. After a failure a batch comes again, takes the same bytes
+    and replaces its own chunk. Without a trigger what there is is taken once. Lines without a date
+    get the time of their batch; dates are not carried on from one batch to the next. Offsets and
+    fingerprints of the files are in the checkpoint.
     """
-    # Chunks are numbered from when the checkpoint was first used, so a batch has the same chunk after a restart.
+    spark = engine.spark
+    spark.dataSource.register(LogFiles)
+    options = {"include": json.dumps(collector.include), "exclude": json.dumps(collector.exclude), "max_line": str(collector.max_line)}
+    if idle is not None:
+        options["idle"] = str(idle)
+    lines = spark.readStream.format(LogFiles.name()).options(**options).load()
     note = f"collectors/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
-    if engine.store.read_text(note) is None:
-        engine.store.write_text(note, str(time.time_ns()))
-    first = int(engine.store.read_text(note))
-
-    def take(_: DataFrame, number: int) -> None:
-        ranges = _plan(engine, collector, f"{note}-files", number)
-        if not ranges:
-            return
-        rows = collector.read(collector.tails(engine.spark, ranges)).filter("corrupt IS NULL").orderBy("file", "line_no")
-        stamped = rows.select("tags", F.coalesce("ts_ns", F.lit(first)).alias("ts_ns"), "msg", "fields_kv")
-        engine.store.append(stamped, chunk_id=first + number)
-
-    # Files are not a source of the stream, which knows them by their names alone: its source only counts batches.
-    batches = engine.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    return batches.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(take).start()
+
+    def time_of(number: int) -> int:
+        """When the batch was first tried: the id of its chunk, also where it comes again."""
+        noted = json.loads(engine.store.read_text(note) or "{}")
+        if noted.get("number") != number:
+            noted = {"number": number, "time": time.time_ns()}
+            engine.store.write_text(note, json.dumps(noted))
+        return noted["time"]
+
+    def take(batch: DataFrame, number: int) -> None:
+        now = time_of(number)
+        rows = collector.read(batch).filter("corrupt IS NULL").orderBy("file", "line_no")
+        stamped = rows.select("tags", F.coalesce("ts_ns", F.lit(now)).alias("ts_ns"), "msg", "fields_kv")
+        engine.store.append(stamped, chunk_id=now)
+
+    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(take).start()

@@ -19,7 +19,7 @@ def forward(engine, pipe: str, sink, checkpoint: str, **trigger):
 
     def send(batch: DataFrame, number: int) -> None:
         listed = batch.select("src", "chunk_id").distinct()
-        rows = store.records().filter(where).join(listed, ["src", "chunk_id"], "left_semi")
+        rows = store.records(store.chunks().join(listed, ["src", "chunk_id"], "left_semi")).filter(where)
         sink(merge.with_merge_key(rows).orderBy(*merge.order()).drop(merge.KEY))
 
     return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(send).start()

@@ -113,10 +113,11 @@ class Pipes:
     def describe(self, name: str) -> DataFrame:
         return self._frame([self.get(name)])
 
-    def sources(self, pipe: Pipe) -> DataFrame:
-        """Stored records that a pipe listens to: written after it was made, and not by a pipe."""
+    def sources(self, pipe: Pipe, listed: DataFrame) -> DataFrame:
+        """Those of the listed chunks' records that a pipe listens to: written after it was made, and not by a pipe."""
         own = self.store.partitions().filter(~F.col("by_pipe")).select("src")
-        return self.store.records().filter(F.col("chunk_id") >= pipe.created_ns).join(own, "src", "left_semi")
+        chunks = self.store.chunks().filter(F.col("chunk_id") >= pipe.created_ns)
+        return self.store.records(chunks.join(own, "src", "left_semi").join(listed, ["src", "chunk_id"], "left_semi"))
 
     def start(self, name: str, **trigger):
         """Run a pipe as a streaming query over the list of chunks; by default it takes what there is and ends.
@@ -134,8 +135,7 @@ class Pipes:
 
         def copy(batch: DataFrame, number: int) -> None:
             listed = batch.select("src", "chunk_id").distinct()
-            rows = self.sources(pipe).join(listed, ["src", "chunk_id"], "left_semi")
-            ordered = piped(rows, pipe).orderBy("tag_line", "chunk_id", "idx")
+            ordered = piped(self.sources(pipe, listed), pipe).orderBy("tag_line", "chunk_id", "idx")
             self.store.append(ordered.select("tags", "ts_ns", "msg", "fields_kv"), by_pipe=True, chunk_id=pipe.created_ns + 1 + number)
 
         query = (

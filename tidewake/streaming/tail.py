@@ -25,7 +25,7 @@ def tail(engine, statement: str, handler, checkpoint: str, **trigger):
 
     def handle(batch: DataFrame, number: int) -> None:
         listed = batch.select("src", "chunk_id").distinct()
-        rows = store.records().join(listed, ["src", "chunk_id"], "left_semi").filter(source_condition(select.source))
+        rows = store.records(store.chunks().join(listed, ["src", "chunk_id"], "left_semi")).filter(source_condition(select.source))
         in_range = range_condition(range_bounds(select.range, zone=engine.zone))
         if in_range is not None:
             rows = rows.filter(in_range)
