@@ -141,7 +141,7 @@ def footer(places: list[tuple[int, int, int]], part: int, part_tokens: int) -> b
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, block_tokens: int = 1 << 20, file_blocks: int = 15
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, block_tokens: int = 1 << 20, file_blocks: int = 12
 ) -> None:
     """Encode docs (doc_id, text; other columns are ignored) and write files of codes to `path`.
 
@@ -310,7 +310,9 @@ def token_digests(files: DataFrame) -> DataFrame:
                         }
                     )
 
-    found = common.materialize(files.mapInArrow(digest, "part int, doc_id long, place long, n_tokens long, ids_crc32 long"), "token-digests")
+    digests = files.mapInArrow(digest, "part int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    with common.setting(files.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # a file at a time
+        found = common.materialize(digests, "token-digests")
     totals = found.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
