@@ -47,6 +47,24 @@ def test_near_duplicates(spark):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embed.near_duplicates(doubles).collect()), key=repr) == brute(rows, 0.95)
 
 
+def test_cells_spare_tiles_and_no_link(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 16)) * 4
+    rows = [(k, [float(np.float32(x)) for x in centres[k % 6] + rng.normal(size=16) * rng.choice([0.1, 0.6])], 0, 1) for k in range(360)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    expected = brute([(i, v) for i, v, _, _ in rows], 0.95)
+    vec = [np.array(v, "<f4").tobytes() for _, v, _, _ in rows]
+    classes = spark.createDataFrame([(v, 1, i, v, 16) for i, v in enumerate(vec)], "fp binary, n long, rep long, vec binary, dim int")
+    cells, dealt = embed.find_cells(classes, {16: 18}, "<f4", 256)
+    met = cells.may_meet(16, 0.95)
+    own = {r["rep"]: r["cell"] for r in dealt.collect()}
+    unit = embed._units(vec, "<f4")
+    p, q = np.nonzero(unit @ unit.T >= 0.95)
+    assert all(met[own[a], own[b]] for a, b in zip(p.tolist(), q.tolist(), strict=True)) and cells.spared(16, 0.95) > 0.5
+    out = embed.near_duplicates(frame, 0.95, 20).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=repr) == expected
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     raw = rng.normal(size=(300, 40)) * np.exp(rng.normal(size=(300, 1)) * 5)

@@ -6,12 +6,18 @@ pair lies within (e1 + e2 + e1 e2) of the scaled product, e being those norms. P
 below the threshold are settled so; only the rest is computed in double precision. A pair of tiles
 returns counts and a spanning forest of its links, never the links themselves. Equal vectors are
 one class and take part once.
+
+Where there are many tiles, vectors are dealt to cells by their nearest pivot. Angles obey the
+triangle inequality, so two cells whose pivots are further apart than both radii and the threshold's
+angle hold no link, and none of their tiles meet. Where that would spare little, as for vectors that
+fill all directions alike, tiles are dealt by hash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +61,12 @@ class _Tile:
     """Unit vectors of one dimension, their int8 codes, scales and error norms."""
 
     def __init__(self, vectors: list[bytes], dtype: str = "<f8"):
-        raw = np.frombuffer(b"".join(vectors), dtype).astype(np.float64).reshape(len(vectors), -1)
-        scaled = raw / np.abs(raw).max(1, keepdims=True)
-        self.unit = scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
+        self.unit = _units(vectors, dtype)
         self.scale = np.abs(self.unit).max(1) / 127
         codes = np.rint(self.unit / self.scale[:, None]).astype(np.int8)
         self.error = np.sqrt(((self.unit - codes * self.scale[:, None]) ** 2).sum(1)) + _SLACK
         # BLAS has no int8 products: as floats of integers below 2^24 they are exact up to 1,040 dimensions, in double beyond.
-        self.codes = codes.astype(np.float32 if raw.shape[1] <= 1040 else np.float64)
+        self.codes = codes.astype(np.float32 if codes.shape[1] <= 1040 else np.float64)
 
 
 def linked(a: _Tile, b: _Tile, threshold: float, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,21 +91,110 @@ def linked(a: _Tile, b: _Tile, threshold: float, rows: int = 256) -> Iterator[tu
         yield at, maybe
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int = 4096) -> DataFrame:
+@dataclass
+class Cells:
+    """Pivots of the dimensions with many vectors, and which cells of them may hold links of each other."""
+
+    pivots: dict[int, np.ndarray]  # unit rows by dimension
+    radius: dict[int, np.ndarray]  # the largest angle of each cell, -1 for an empty one
+    count: dict[int, np.ndarray]
+
+    def may_meet(self, dim: int, threshold: float) -> np.ndarray:
+        """Boolean matrix over the cells of a dimension."""
+        pivots, radius = self.pivots[dim], self.radius[dim]
+        apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+        return (apart - radius[:, None] - radius[None, :] <= np.arccos(threshold) + 1e-5) & (radius >= 0)[:, None] & (radius >= 0)[None, :]
+
+    def spared(self, dim: int, threshold: float) -> float:
+        """Share of the pairs of vectors that never meet."""
+        weight = self.count[dim].astype(float)
+        return 1 - float(weight @ self.may_meet(dim, threshold) @ weight) / weight.sum() ** 2
+
+
+def _units(vectors: list[bytes], dtype: str) -> np.ndarray:
+    raw = np.frombuffer(b"".join(vectors), dtype).astype(np.float64).reshape(len(vectors), -1)
+    scaled = raw / np.abs(raw).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
+
+
+def find_cells(classes: DataFrame, dims: dict[int, int], dtype: str, most_pivots: int, most_dims: int = 16) -> tuple[Cells, DataFrame]:
+    """Cells of the dimensions in dims (dimension -> tiles) that have the most tiles, and classes with their `cell`.
+
+    Pivots are the vectors with the smallest hashes, one for each tile and `most_pivots` at most.
+    """
+    chosen = sorted((d for d, tiles in dims.items() if tiles > 1), key=lambda d: (-dims[d], d))[:most_dims]
+    pivots = {}
+    for d in chosen:
+        rows = classes.filter(F.col("dim") == d).orderBy("fp").limit(min(most_pivots, dims[d])).select("vec").collect()
+        pivots[d] = _units([bytes(r["vec"]) for r in rows], dtype)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim = np.asarray(batch.column("dim"))
+            cell, angle = np.zeros(len(dim), np.int32), np.full(len(dim), np.pi)
+            vec = batch.column("vec")
+            for d, p in pivots.items():
+                where = np.flatnonzero(dim == d)
+                for k in range(0, len(where), 4096):
+                    at = where[k : k + 4096]
+                    near = _units([vec[int(i)].as_py() for i in at], dtype) @ p.T
+                    cell[at] = near.argmax(1)
+                    angle[at] = np.arccos(np.clip(near.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
+
+    dealt = classes.select("fp", "n", "rep", "vec", "dim").mapInArrow(nearest, "fp binary, n long, rep long, vec binary, dim int, cell int, angle double")
+    dealt = common.materialize(dealt, "cells")
+    cells = Cells(pivots, {d: np.full(len(p), -1.0) for d, p in pivots.items()}, {d: np.zeros(len(p), np.int64) for d, p in pivots.items()})
+    # A row for each cell: their number is bounded by the two parameters.
+    for r in dealt.filter(F.col("dim").isin(*chosen)).groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
+        cells.radius[r["dim"]][r["cell"]], cells.count[r["dim"]][r["cell"]] = r["radius"], r["n"]
+    return cells, dealt
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int = 4096, most_pivots: int = 256) -> DataFrame:
     """Compare all vectors by cosine; a row for each: vec_id, n_links, component_id, kept.
 
     vectors: vec_id, embedding (array of numbers); other columns are ignored. Vectors that are null,
     empty, zero, or hold null or non-finite components link with nothing, nor do vectors of unlike
     dimensions. n_links counts the other vectors at or above the threshold, equal ones included;
     component_id is the smallest vec_id reachable by links and kept marks it. Rows without vec_id
-    count as links of others; they have no component and are kept. Every pair is covered: the work
-    is quadratic in the number of distinct vectors, in tiles of `tile_rows`, with two tiles a task.
+    count as links of others; they have no component and are kept. An empty table gives no rows.
+    Every pair that the cells don't rule out is covered: at worst the work is quadratic in the number
+    of distinct vectors, in tiles of `tile_rows`, with two tiles a task.
     """
     with common.Scope() as scope:
-        return scope.keep(common.materialize(_labelled(vectors, threshold, tile_rows), "near-vectors"))
+        return scope.keep(common.materialize(_labelled(vectors, threshold, tile_rows, most_pivots), "near-vectors"))
+
 
+def _copies(classes: DataFrame, threshold: float, tile_rows: int, most_pivots: int, dtype: str) -> tuple[DataFrame, int]:
+    """A copy of each vector for each pair of tiles that meets: dim, i, j, tile, fp, n, rep, vec; and the number of pairs."""
+    spark = classes.sparkSession
+    counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each dimension that occurs
+    dims = {d: -(-n // tile_rows) for d, n in counts.items()}
+    cells, dealt = find_cells(classes, dims, dtype, most_pivots) if any(t > 1 for t in dims.values()) else (Cells({}, {}, {}), classes.withColumn("cell", F.lit(0)))
+    pairs, plan = 0, []
+    for d, tiles in dims.items():
+        spares = d in cells.pivots and cells.spared(d, threshold) > 0.1
+        if not spares:
+            plan.append((d, None, 0, tiles, [(0, tiles)]))
+            pairs += tiles * (tiles + 1) // 2
+            continue
+        meets, own = cells.may_meet(d, threshold), -(-cells.count[d] // tile_rows)
+        first = np.cumsum(own) - own
+        for c in np.flatnonzero(own).tolist():
+            plan.append((d, c, int(first[c]), int(own[c]), [(int(first[o]), int(own[o])) for o in np.flatnonzero(meets[c] & (own > 0)).tolist()]))
+        pairs += int(own @ meets @ own + own.sum()) // 2
+    table = spark.createDataFrame(plan, "pdim int, pcell int, first int, own int, others array<struct<first:int,own:int>>")
+    # A row for each dimension or cell: bounded as the cells are.
+    met = (F.col("dim") == F.col("pdim")) & (F.col("pcell").isNull() | (F.col("cell") == F.col("pcell")))
+    placed = dealt.join(F.broadcast(table), met)
+    tile = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("own")).cast("int")
+    other = F.explode(F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["own"] - 1), lambda t: o["first"] + t.cast("int")))))
+    copies = placed.withColumn("tile", tile).withColumn("other", other)
+    return copies.select("dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "n", "rep", "vec"), pairs
 
-def _labelled(vectors: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+
+def _labelled(vectors: DataFrame, threshold: float, tile_rows: int, most_pivots: int) -> DataFrame:
     spark = vectors.sparkSession
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Single precision holds vectors of floats as they are; anything else is kept in double.
@@ -111,17 +204,10 @@ def _labelled(vectors: DataFrame, threshold: float, tile_rows: int) -> DataFrame
         prints.filter("fp IS NOT NULL")
         .groupBy("fp")
         .agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"), F.first("vec").alias("vec"))
-        .withColumn("dim", F.expr(f"length(vec) div {dtype[-1]}"))
+        .withColumn("dim", F.expr(f"cast(length(vec) div {dtype[-1]} as int)"))
     )
     classes = common.materialize(classes, "classes")
-    # A row for each dimension that occurs.
-    tiles = classes.groupBy("dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = classes.join(tiles, "dim").withColumn("tile", tile)
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t.cast("int")))
-    copies = dealt.withColumn("other", other).select(
-        "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "n", "rep", "vec"
-    )
+    copies, pairs = _copies(classes, threshold, tile_rows, most_pivots, dtype)
 
     def products(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -169,8 +255,7 @@ def _labelled(vectors: DataFrame, threshold: float, tile_rows: int) -> DataFrame
         )
 
     # Tasks by work, not by bytes: small tiles would be gathered into few tasks, and a pair of tiles takes long.
-    pairs = tiles.agg(F.sum(F.col("tiles").cast("long") * (F.col("tiles") + 1) / 2)).first()[0] or 0
-    copies = copies.repartition(max(common.shuffle_partitions(spark), min(2 * int(pairs), 20_000)), "dim", "i", "j")
+    copies = copies.repartition(max(common.shuffle_partitions(spark), min(2 * pairs, 20_000)), "dim", "i", "j")
     found = copies.groupBy("dim", "i", "j").applyInArrow(products, "fp binary, links long, a long, b long")
     found = common.materialize(found, "tile-links")
     direct = found.groupBy("fp").agg(F.sum("links").alias("links"))
