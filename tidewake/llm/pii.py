@@ -46,9 +46,10 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+1 ?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]|[ .-]?\([0-9]{1,4}\)[ .-]?)[0-9](?:[ .-][0-9]{2,4}){2,4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?: {_NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No entity starts behind a letter but those that start with a digit: what stands before the patterns turns most places away at once.
+ANY = r"(?:(?<!\p{L})|(?=[0-9]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What a text must hold to be looked at closer: a digit, an @, a secret of letters only, or a title before a capital. The lookahead turns most places away at once.
-HINT = "[0-9@]|sk-[A-Za-z]{20}|ghp_[A-Za-z]{36}|AKIA[A-Z]{16}|[a-fA-F]{32}|(?=[" + "".join(sorted({t[0] for t in FEMALE + MALE + EITHER})) + rf"]){_TITLE}\p{{Lu}}"
+HINT = r"[0-9@]|(?<!\p{L})(?:sk-[A-Za-z]{20}|ghp_[A-Za-z]{36}|AKIA[A-Z]{16}|[a-fA-F]{32}|(?=[" + "".join(sorted({t[0] for t in FEMALE + MALE + EITHER})) + rf"]){_TITLE}\p{{Lu}})"
 
 
 def _chars(text: Column) -> Column:
