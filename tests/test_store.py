@@ -198,7 +198,7 @@ def test_collecting_goes_on(spark, engine, tmp_path):
 
 
 def test_lines_of_byte_ranges():
-    from tidewake.streaming import files
+    from tidewake.sources import files
 
     text = ("short\n" + "é" * 40 + "\n\n" + "x" * 25 + "\nno end").encode()
     for limit in (10, 11, 16, 1000):

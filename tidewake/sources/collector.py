@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model.kvtext import tag_line_column
+from .files import LogFiles
 from .parsers import parser
 
 
@@ -48,18 +50,13 @@ class Collector:
     exclude: list[str] = field(default_factory=list)
     max_line: int = 16384
 
-    def lines(self, spark: SparkSession) -> DataFrame:
-        """file, line_no and line, its line feed kept; lines over max_line are split there.
+    def options(self) -> dict[str, str]:
+        return {"include": json.dumps(self.include), "exclude": json.dumps(self.exclude), "max_line": str(self.max_line)}
 
-        Whole files are read, where they are small enough for a value of Spark; `collect` reads files
-        of any size by ranges.
-        """
-        path = F.regexp_replace("path", r"\A[a-z]+:/+", "/")
-        files = spark.read.format("binaryFile").load(self.include)
-        for pattern in self.exclude:
-            files = files.filter(~path.rlike(pattern))
-        parts = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(rf"(?s)[^\n]{{0,{self.max_line - 1}}}\n|[^\n]{{1,{self.max_line}}}"), F.lit(0))
-        return files.select(path.alias("file"), F.posexplode(parts).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    def lines(self, spark: SparkSession) -> DataFrame:
+        """file, line_no (where the line begins in its file) and line, its line feed kept; lines over max_line are split there."""
+        spark.dataSource.register(LogFiles)
+        return spark.read.format(LogFiles.name()).options(**self.options()).load()
 
     def split_lines(self, spark: SparkSession) -> DataFrame:
         """As `lines` for a batch, with large files split among tasks.

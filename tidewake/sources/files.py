@@ -1,4 +1,4 @@
-"""Growing log files as a streaming source: lines by byte ranges of files, offsets by file.
+"""Growing log files as a source: lines by byte ranges of files, offsets by file where it streams.
 
 A file is told by its path and by a fingerprint, the hash of its first bytes and of those before the
 place up to which it was taken. One that no longer has the fingerprint of what was taken, or is
@@ -18,7 +18,7 @@ import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, line_no long, line string"
 _PIECE, _EDGE = 1 << 20, 256
@@ -156,27 +156,44 @@ class _Reader(DataSourceStreamReader):
         return out
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        columns: tuple[list, list, list] = ([], [], [])
-        size = 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["file", "line_no", "line"])
-
-        try:
-            with open_file(partition.path) as f:
-                for at, line in lines_of(f, partition.start, partition.end, self.max_line):
-                    for column, x in zip(columns, (partition.path, at, line.decode("utf-8", "replace")), strict=True):
-                        column.append(x)
-                    size += len(line)
-                    if size > _PIECE:
-                        yield batch()
-                        size = 0
-                        for column in columns:
-                            column.clear()
-        except FileNotFoundError:  # it went away since it was listed
-            pass
-        if columns[0]:
-            yield batch()
+        return read_range(partition, self.max_line)
+
+
+class _Whole(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.files = listed(json.loads(options["include"]), json.loads(options.get("exclude", "[]")))
+        self.max_line = int(options.get("max_line", "16384"))
+
+    def partitions(self) -> list[_Range]:
+        return [_Range(path, 0, size) for path, (size, _) in sorted(self.files.items())] or [_Range("", 0, 0)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        return read_range(partition, self.max_line) if partition.path else iter(())
+
+
+def read_range(partition: _Range, max_line: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about a MB of lines."""
+    columns: tuple[list, list, list] = ([], [], [])
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["file", "line_no", "line"])
+
+    try:
+        with open_file(partition.path) as f:
+            for at, line in lines_of(f, partition.start, partition.end, max_line):
+                for column, x in zip(columns, (partition.path, at, line.decode("utf-8", "replace")), strict=True):
+                    column.append(x)
+                size += len(line)
+                if size > _PIECE:
+                    yield batch()
+                    size = 0
+                    for column in columns:
+                        column.clear()
+    except FileNotFoundError:  # it went away since it was listed
+        pass
+    if columns[0]:
+        yield batch()
 
 
 class LogFiles(DataSource):
@@ -189,5 +206,8 @@ class LogFiles(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def reader(self, schema) -> DataSourceReader:
+        return _Whole(dict(self.options))
+
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Reader(dict(self.options))

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import LogFiles
+from ..sources.files import LogFiles
 
 
 def collect(engine, collector, checkpoint: str, idle: float | None = None, **trigger):
@@ -24,9 +24,7 @@ def collect(engine, collector, checkpoint: str, idle: float | None = None, **tri
     """
     spark = engine.spark
     spark.dataSource.register(LogFiles)
-    options = {"include": json.dumps(collector.include), "exclude": json.dumps(collector.exclude), "max_line": str(collector.max_line)}
-    if idle is not None:
-        options["idle"] = str(idle)
+    options = collector.options() | ({} if idle is None else {"idle": str(idle)})
     lines = spark.readStream.format(LogFiles.name()).options(**options).load()
     note = f"collectors/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
 
