@@ -289,7 +289,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, bl
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, small: int = 256, block: int = 2048, block_bytes: int = 32 << 20
+    docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, small: int = 256, block: int = 1024, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept.
 
