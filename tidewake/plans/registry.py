@@ -89,6 +89,18 @@ def events_where(name: str, text: str, condition: str, view: str = "events") ->
     statement(name, text, f"WITH {_EVENTS} SELECT {row} FROM e WHERE {condition}", view)
 
 
+def events_counts(name: str, text: str) -> None:
+    """How many of all rows a statement gives that gives none, and in which columns."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = engine(spark, sf_dir)
+        none, every = out.sql(text, view="events", now=NOW), out.sql("SELECT", view="events", now=NOW)
+        return none.agg(F.count("*").alias("rows"), F.lit(",".join(none.columns)).alias("columns")).crossJoin(every.agg(F.count("*").alias("all_rows")))
+
+    run.__name__ = name
+    query(f"SELECT 0 AS rows, '{_ROW.replace(' ', '')}' AS columns, count(*) AS all_rows FROM events")(run)
+
+
 # FROM
 events_where("scan_api_projection", "SELECT", "true")
 events_where("from_tags_subset", "SELECT FROM {app=error}", "app = 'error'")
@@ -99,8 +111,8 @@ events_where("from_like", "SELECT FROM app LIKE '[^a-d]*r?*'", "regexp_full_matc
 events_where("from_contains_prefix_suffix", "SELECT FROM app CONTAINS i OR app PREFIX 'er' OR app SUFFIX 'se'", "contains(app, 'i') OR starts_with(app, 'er') OR ends_with(app, 'se')")
 events_where("from_upper", "SELECT FROM upper(app) = ERROR OR lower(Upper(app)) = click", "upper(app) = 'ERROR' OR app = 'click'")
 events_where("from_missing_tag_empty", "SELECT FROM c = '' AND NOT d != ''", "true")
-events_where("from_missing_tag_braces", "SELECT FROM {c=\"\"}", "false")
-events_where("from_no_match_is_empty", "SELECT FROM app = nothing_like_it", "false")
+events_counts("from_missing_tag_braces", "SELECT FROM {c=\"\"}")
+events_counts("from_no_match_is_empty", "SELECT FROM app = nothing_like_it")
 events_where("from_user_like_number", "SELECT FROM user LIKE '1?' AND NOT app = view", "regexp_full_match(usr, '1[^/]', 's') AND app <> 'view'", "user_events")
 
 # WHERE
@@ -132,7 +144,7 @@ _ORDERED = f"WITH {_EVENTS} SELECT {_ROW} FROM e ORDER BY ts_ns"
 statement("merge_order_limit", "SELECT LIMIT 500", f"{_ORDERED}, tag_line, event_id LIMIT 500")
 statement("offset_limit", "SELECT OFFSET 250 LIMIT 100", f"{_ORDERED}, tag_line, event_id LIMIT 100 OFFSET 250")
 statement("tail_negative_offset", "SELECT POSITION tail OFFSET -75 LIMIT 50", f"WITH {_EVENTS}, l AS (SELECT * FROM e ORDER BY ts_ns DESC, tag_line DESC, event_id DESC LIMIT 75) SELECT {_ROW} FROM l ORDER BY ts_ns, tag_line, event_id LIMIT 50")
-statement("position_tail_is_end", "SELECT POSITION tail", f"WITH {_EVENTS} SELECT {_ROW} FROM e WHERE false")
+events_counts("position_tail_is_end", "SELECT POSITION tail")
 statement("head_negative_offset", "SELECT POSITION head OFFSET -10 LIMIT 20", f"{_ORDERED}, tag_line, event_id LIMIT 20")
 statement("position_token", "SELECT LIMIT 200", f"WITH {_EVENTS} SELECT {_ROW} FROM e WHERE (app <> 'error' OR event_id >= 300) AND (app <> 'click' OR event_id >= 500) ORDER BY ts_ns, tag_line, event_id LIMIT 200", position={"app=error": (0, 300), "app=click": (0, 500), "app=unknown": (7, 7)})
 statement("position_token_step_back", "SELECT OFFSET -40 LIMIT 60", f"""WITH {_EVENTS}, p AS (SELECT *, (app <> 'error' OR event_id >= 300) AS later FROM e),
@@ -182,7 +194,7 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 statement("documents_like_spans_lines", "SELECT '{vars:n_chars}' FROM {lang=en} WHERE msg LIKE '*The*.*'", "SELECT n_chars::VARCHAR AS line FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[^/]*The[^/]*\\.[^/]*', 's')", "documents")
-statement("pages_like_stops_at_slash", "SELECT WHERE msg LIKE 'https:/*/*' AND NOT msg LIKE 'https:*'", "SELECT page_id AS ts_ns, url AS msg, 'kind=page' AS tag_line, 'page=' || page_id AS fields_line FROM pages WHERE regexp_full_match(url, 'https:/[^/]*/[^/]*', 's') AND NOT regexp_full_match(url, 'https:[^/]*', 's')", "pages")
+statement("pages_like_stops_at_slash", "SELECT WHERE msg LIKE 'https://*/??/*' AND NOT msg LIKE 'https://*'", "SELECT page_id AS ts_ns, url AS msg, 'kind=page' AS tag_line, 'page=' || page_id AS fields_line FROM pages WHERE regexp_full_match(url, 'https://[^/]*/[^/][^/]/[^/]*', 's') AND NOT regexp_full_match(url, 'https://[^/]*', 's')", "pages")
 statement("conversations_by_role", "SELECT '{vars:conv} {vars:role} {msg}' FROM conv < 5 WHERE fields:role != user", "SELECT conv_id || ' ' || role || ' ' || text AS line FROM conversations WHERE conv_id::VARCHAR < '5' AND role <> 'user'", "conversations")
 
 # Catalog and truncation. The size of a record: eight bytes, its message and the text of its fields.
