@@ -385,8 +385,8 @@ def components(docs, width, percent):
     return sorted(((d, len(s), None if d is None else find(d)) for d, s in sets), key=repr)
 
 
-@pytest.mark.parametrize("small,block,block_bytes", [(256, 2048, 32 << 20), (4, 3, 4000)])
-def test_near_duplicates(spark, small, block, block_bytes):
+@pytest.mark.parametrize("small,block,block_bytes,star", [(256, 2048, 32 << 20, 512), (4, 3, 4000, 512), (4, 3, 32 << 20, 3)])
+def test_near_duplicates(spark, small, block, block_bytes, star):
     rng = random.Random(9)
     words = ["v%d" % k for k in range(400)]
     docs, d = [], 0
@@ -400,7 +400,7 @@ def test_near_duplicates(spark, small, block, block_bytes):
             d += 1
     rng.shuffle(docs)
     docs += [(9001, None), (9002, ""), (None, docs[0][1]), (-3, docs[1][1])]
-    out = neardup.near_duplicates(frame(spark, docs), 3, 85, small=small, block=block, block_bytes=block_bytes).collect()
+    out = neardup.near_duplicates(frame(spark, docs), 3, 85, small=small, block=block, block_bytes=block_bytes, star=star).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=repr) == components(docs, 3, 85)
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in out)
 

@@ -8,8 +8,9 @@ and what is still large at the last level is compared in blocks, so no node is d
 
 Within a node pairs are ruled out by sizes and sketches; of what may link only a spanning forest
 leaves the task, so a group of very many near copies costs no row for each pair. The forests of all
-trees make clusters, and each member's full set, read again from its text, goes to its cluster once.
-There every pair that is not ruled out and not joined already is settled on the full sets.
+trees make clusters, whose members' full sets are read again from their texts. Each is compared with
+the first of its cluster; what that does not join meets every other member by pairs of blocks, and
+every pair that is not ruled out and not joined already is settled on the full sets.
 """
 
 from __future__ import annotations
@@ -231,65 +232,121 @@ def candidates(members_: DataFrame, threshold: float, block: int) -> DataFrame:
     return _by_key(dealt, ["node", "i", "j"], compare, "a long, b long")
 
 
-def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, block_bytes: int) -> DataFrame:
-    """Links a, b on the full sets, that keep together whatever links within a cluster.
+def _with_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """clusters (rep, cluster, n, s and more) with the full set of each member, read again from its text.
 
-    clusters: rep, cluster, n, s. The texts of their members are read again and each set goes to its
-    cluster; a cluster whose sets take more than block_bytes is compared by pairs of blocks. Members
-    already joined are not compared again, all others are: nothing is left out.
+    A doc_id with several texts takes part with each of them; a cluster's text may also stand under it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    threshold = percent / 100
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    held = rows.join(clusters, "rep")
+    kept = held.drop("text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = [k for k, c in enumerate(batch.schema.names) if c != "text"]
             for a, b, h, at in _sets(batch.column("text"), width):
                 sets = [np.sort(h[x:y]).astype("<u8").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                kept = [batch.column(k).slice(a, b - a) for k in others]
-                yield pa.record_batch([*kept, pa.array(sets, pa.binary())], [*(batch.schema.names[k] for k in others), "set"])
+                parts = [batch.column(k).slice(a, b - a) for k in others]
+                yield pa.record_batch([*parts, pa.array(sets, pa.binary())], [*(batch.schema.names[k] for k in others), "set"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return held.select(*kept.columns, "text").mapInArrow(gather, f"{schema}, `set` binary").filter("length(`set`) > 0")
+
+
+def _linker(table: pa.Table, percent: int):
+    """Number of members, and a function that gives which of some members link with one."""
+    s = _bytes(table.column("s").combine_chunks())
+    raw = table.column("set").combine_chunks()
+    _, ends = common.utf8(raw)
+    ends //= 8
+    n = np.diff(ends)
+    _, codes = np.unique(np.frombuffer(b"".join(raw.to_pylist()), "<u8"), return_inverse=True)
+    flags = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+
+    def linked(x: int, ys: np.ndarray) -> np.ndarray:
+        ys = ys[_may_link((s[x] == s[ys]).sum(1), n[x], n[ys], percent / 100)]
+        if not len(ys):
+            return ys
+        mine_codes = codes[ends[x] : ends[x + 1]]
+        flags[mine_codes] = 1
+        firsts = np.cumsum(n[ys]) - n[ys]
+        both = np.add.reduceat(flags[codes[common.ranges(ends[ys], n[ys])]], firsts)
+        flags[mine_codes] = 0
+        return ys[100 * both >= percent * (n[x] + n[ys] - both)]
+
+    return len(n), linked
+
+
+def first_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, star: int) -> DataFrame:
+    """rep, cluster, linked: whether a member links with its cluster's first one, whose set goes to every `star` members."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    found = common.join_skewed(_with_sets(docs, clusters, width), sizes, "cluster")
+    blocks = F.ceil(F.col("size") / star).cast("int")
+    mine = F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    dealt = found.withColumn("i", F.explode(F.when(F.col("rep") == F.col("cluster"), every).otherwise(mine))).select("cluster", "i", "rep", "s", "set")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        rep, cluster = _one(table, "rep"), table.column("cluster")[0].as_py()
+        n, linked = _linker(table, percent)
+        met = np.zeros(n, bool)
+        others = np.flatnonzero(rep != cluster)
+        for x in np.flatnonzero(rep == cluster).tolist():
+            met[linked(x, others)] = True
+        return pa.record_batch([pa.array(rep[others], pa.int64()), pa.array([cluster] * len(others), pa.int64()), pa.array(met[others])], ["rep", "cluster", "linked"])
+
+    rows = _by_key(dealt, ["cluster", "i"], compare, "rep long, cluster long, linked boolean")
+    return common.materialize(rows.groupBy("rep", "cluster").agg(F.bool_or("linked").alias("linked")), "first-links")
 
-    loads = clusters.groupBy("cluster").agg((8 * F.sum("n")).alias("load"))
-    found = rows.join(clusters.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(gather, "doc_id long, cluster long, n long, s binary, set binary")
-    # A doc_id with several texts takes part with each of them; a cluster's text may also stand under it.
-    found = common.join_skewed(found.filter("length(set) > 0").withColumnRenamed("doc_id", "rep"), loads, "cluster")
-    dealt = _pairs_of_blocks(found, "cluster", F.ceil(F.col("load") / block_bytes)).select("cluster", "i", "j", "mine", "rep", "s", "set")
+
+def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, block_bytes: int, star: int) -> DataFrame:
+    """Links a, b on the full sets, that keep together whatever links within a cluster.
+
+    clusters: rep, cluster, n, s. First every member is compared with the first one of its cluster,
+    which joins most near copies at a cost in proportion to them. The rest of each cluster is then
+    compared with each other and with all that were joined, by pairs of blocks of at most `star`
+    members or block_bytes of sets. Members already joined are not compared again, all others are:
+    nothing is left out.
+    """
+    first = first_links(docs, clusters, width, percent, star)
+    links = first.filter("linked").select(F.col("rep").alias("a"), F.col("cluster").alias("b"))
+    # Clusters of two are settled by the first comparison.
+    rest = first.filter("not linked").select("rep", "cluster", F.lit(True).alias("rest"))
+    loads = clusters.join(rest, ["rep", "cluster"], "left").groupBy("cluster").agg(
+        F.count("*").alias("size"), F.count("rest").alias("n_rest"), (8 * F.sum(F.when(F.col("rest"), F.col("n")))).alias("load_rest"), (8 * F.sum(F.when(F.col("rest").isNull(), F.col("n")))).alias("load")
+    )
+    blocks = lambda n, load: F.greatest(F.ceil(n / star), F.ceil(F.coalesce(load, F.lit(0)) / block_bytes), F.lit(1)).cast("int")
+    loads = loads.filter("size > 2 and n_rest > 0").select("cluster", blocks(F.col("n_rest"), F.col("load_rest")).alias("r"), blocks(F.col("size") - F.col("n_rest"), F.col("load")).alias("j"))
+    open_ = clusters.join(loads, "cluster").join(rest, ["rep", "cluster"], "left")
+    found = _with_sets(docs, open_.select("rep", "cluster", "n", "s", "r", "j", F.coalesce("rest", F.lit(False)).alias("rest")), width)
+    # Blocks of the rest come first, those of joined members after them; two of the latter never meet.
+    mine = F.when(F.col("rest"), F.pmod(F.xxhash64("rep"), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("rep"), F.col("j"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("r") + F.col("j")).otherwise(F.col("r")) - 1))
+    dealt = found.withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "rest", "s", "set")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        rep, mine = _one(table, "rep"), _one(table, "mine")
-        s = _bytes(table.column("s").combine_chunks())
-        raw = table.column("set").combine_chunks()
-        _, ends = common.utf8(raw)
-        ends //= 8
-        n = np.diff(ends)
-        _, codes = np.unique(np.frombuffer(b"".join(raw.to_pylist()), "<u8"), return_inverse=True)
-        flags = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+        rep, mine, is_rest = _one(table, "rep"), _one(table, "mine"), np.array(table.column("rest").combine_chunks())
+        n, linked = _linker(table, percent)
         within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        sets = UnionFind(len(rep))
-        for x in range(len(rep)):
+        sets = UnionFind(n)
+        joined = np.flatnonzero(~is_rest)
+        sets.join(joined[1:], np.repeat(joined[:1], max(len(joined) - 1, 0)))
+        for x in np.flatnonzero(is_rest).tolist():
             apart = sets.root != sets.root[x]
             if not within:
                 apart &= mine != mine[x]
             ys = np.flatnonzero(apart)
-            if not len(ys):
-                continue
-            ys = ys[_may_link((s[x] == s[ys]).sum(1), n[x], n[ys], threshold)]
-            if not len(ys):
-                continue
-            mine_codes = codes[ends[x] : ends[x + 1]]
-            flags[mine_codes] = 1
-            firsts = np.cumsum(n[ys]) - n[ys]
-            both = np.add.reduceat(flags[codes[common.ranges(ends[ys], n[ys])]], firsts)
-            flags[mine_codes] = 0
-            linked = ys[100 * both >= percent * (n[x] + n[ys] - both)]
-            sets.join(np.full(len(linked), x), linked)
+            if len(ys):
+                ys = linked(x, ys)
+                sets.join(np.full(len(ys), x), ys)
         return _forest(rep, sets.root)
 
-    return _by_key(dealt, ["cluster", "i", "j"], compare, "a long, b long")
+    return links.unionByName(_by_key(dealt, ["cluster", "i", "j"], compare, "a long, b long"))
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, small: int = 256, block: int = 1024, block_bytes: int = 32 << 20
+    docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, small: int = 256, block: int = 1024, block_bytes: int = 32 << 20, star: int = 512
 ) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -308,10 +365,10 @@ def near_duplicates(
     at the first level and 1e-3 for pairs that stay together in large nodes to the third.
     """
     with common.Scope() as scope:
-        return scope.keep(common.materialize(_labelled(docs, width, percent, trees, depth, small, block, block_bytes), "near-duplicates"))
+        return scope.keep(common.materialize(_labelled(docs, width, percent, trees, depth, small, block, block_bytes, star), "near-duplicates"))
 
 
-def _labelled(docs: DataFrame, width: int, percent: int, trees: int, depth: int, small: int, block: int, block_bytes: int) -> DataFrame:
+def _labelled(docs: DataFrame, width: int, percent: int, trees: int, depth: int, small: int, block: int, block_bytes: int, star: int) -> DataFrame:
     threshold = percent / 100
     made = common.materialize(profiles(docs, width), "profiles")
     classes = (
@@ -333,7 +390,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, trees: int, depth: int,
 
     together = graph.components(candidates(held, threshold, block))
     clusters = common.materialize(together.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(slim, "rep"), "clusters")
-    final = graph.components(confirmed(docs, clusters, width, percent, block_bytes))
+    final = graph.components(confirmed(docs, clusters, width, percent, block_bytes, star))
 
     reps = classes.select("n_shingles", "f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left")
     reps = reps.select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
