@@ -118,25 +118,63 @@ def best_fit_decreasing(lengths, capacity):
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_runs_are_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    capacity = rng.choice([7, 20, 100])
-    lengths = [min(capacity, 1 + int(rng.paretovariate(0.7))) for _ in range(rng.randint(0, 300))]
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    runs, opened = packing.best_fit(counts, capacity)
-    assert opened == best_fit_decreasing(lengths, capacity)
+def test_brackets_give_each_gap_the_longest_free_piece(seed):
+    rng = np.random.default_rng(seed)
+    rows = sorted((int(n), bool(g)) for n, g in zip(rng.integers(1, 30, 60), rng.random(60) < rng.random(), strict=True))
+    mate, _ = packing.brackets(np.array([g for _, g in rows]))
+    free, expected = [], [-1] * len(rows)
+    for k, (_, is_gap) in enumerate(rows):
+        if not is_gap:
+            free.append(k)
+        elif free:
+            expected[k] = free.pop()
+            expected[expected[k]] = k
+    assert mate.tolist() == expected and all(rows[k][0] <= rows[m][0] for k, m in enumerate(expected) if m >= 0 and rows[m][1])
+
+
+def packed(spark, lengths, capacity):
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long").repartition(3)
+    rows = packing.places_of(pieces, capacity).collect()
+    assert sorted(r["pid"] for r in rows) == list(range(len(lengths)))
     held = {}
-    for k, (length, rank, first, each, offset) in enumerate(runs.tolist()):
-        after = runs[k + 1][1] if k + 1 < len(runs) and runs[k + 1][0] == length else counts[length]
-        for r in range(rank, after):
-            held.setdefault(first + (r - rank) // each, []).append((offset + (r - rank) % each * length, length))
-    assert sum(map(len, held.values())) == len(lengths)
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], lengths[r["pid"]]))
     for placed in held.values():
         at = 0
         for offset, length in sorted(placed):
             assert offset == at
             at += length
         assert at <= capacity
+    return len(held)
+
+
+@pytest.mark.parametrize("task_rows", [packing.TASK_ROWS, 40])
+def test_rounds_are_near_best_fit_decreasing(spark, monkeypatch, task_rows):
+    """Over one range and over many, where what is open in one meets what is open in another."""
+    monkeypatch.setattr(packing, "TASK_ROWS", task_rows)
+    rng = random.Random(task_rows)
+    capacity = 30
+    for lengths in ([min(capacity, 1 + int(rng.paretovariate(0.5))) for _ in range(300)], [3] * 100 + [15] * 30 + [16] * 20):
+        assert packed(spark, lengths, capacity) <= best_fit_decreasing(lengths, capacity) + 2
+
+
+def test_one_round_over_many_ranges_is_the_sweep_over_one(spark, monkeypatch):
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 40) for _ in range(300)], [rng.randint(1, 40) for _ in range(200)]
+    pieces, gaps = (spark.createDataFrame(list(enumerate(x)), "id long, size long") for x in sizes)
+    found = []
+    for task_rows in (1000, 25):
+        monkeypatch.setattr(packing, "TASK_ROWS", task_rows)
+        rows = packing.one_round(pieces, gaps, 1, 41, 1, 500, 100).collect()
+        found.append(sorted((r["kind"], r["id"], r["size"], -1 if r["sid"] is None else r["sid"]) for r in rows))
+    assert found[0] == found[1] and sum(r[0] == 2 for r in found[0]) > 100
+
+
+def test_packing_of_few_or_equal_pieces(spark):
+    assert packed(spark, [1] * 80, 8) == 10
+    assert packed(spark, [10] * 5 + [6] * 4 + [4] * 4, 10) == 9
+    assert packed(spark, [3], 8) == packed(spark, [3, 5], 8) == 1
+    assert packed(spark, [1, 1, 1], 1) == 3
 
 
 def test_packing(spark):

@@ -1,11 +1,12 @@
-"""Best-fit packing of token sequences in bulk-synchronous steps.
-
-Pieces and gaps are put in order of size, and each superstep takes all pieces of one length, the
-longest first: each looks up its successor among the gaps (the smallest that holds it), the r-th
-piece takes the r-th place where several meet, gaps shrink, and the next length follows. Lengths
-are at most the capacity, so equal pieces and equal gaps are kept as runs: the sweep is over runs,
-whose number is bounded by the capacity and not by the documents, while the pieces themselves are
-ranked and find their place in distributed passes. The outcome is that of best-fit decreasing.
+"""Best-fit packing of token sequences in bulk-synchronous rounds.
+
+A round takes the documents' pieces of a class of lengths (a half of the longest to the longest) and
+the gaps of sequences. Both are sorted together by range of size, and a sweep from small to large
+matches them as brackets: each gap takes the longest piece before it that is still free, which is
+each piece's successor among the gaps with conflicts resolved by rank. A task sweeps its own range;
+what stays open there gets the depth of its bracket over all ranges, and pieces and gaps of one
+depth meet in an exchange. Then gaps shrink and the next round follows, with the next class once
+nine in ten pieces have their place.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder, slices, with_end
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long"
+SWEPT_SCHEMA = "id long, size long, gap boolean, slot long, sid long, part int, level long"
+#: Rows of pieces and gaps that a task of a round sweeps.
+TASK_ROWS = 1 << 18
+#: Of each class the last pieces, at most one in LATE, go on with the next class.
+LATE = 10
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -31,14 +37,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Pieces of all documents, with the task that made them and their number among its pieces of that length."""
+    """Pieces of all documents, each with a number of its own: that of its task and of the piece there."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        pid = TaskContext.get().partitionId() << 40
         encode_texts = encoder(tokenizer).encode
-        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             numbers, at = batch.column("doc_id").to_pylist(), 0
             for texts in slices(batch.column("text")):
@@ -47,10 +52,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
                 for doc_id, a, b in zip(numbers[at : at + len(texts)], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     for k, (start, length) in enumerate(cut(b - a, capacity)):
                         crc = zlib.crc32(ids[a + start : a + start + length].astype("<u4").tobytes())
-                        rows.append((doc_id, k, start, length, crc, part, int(seen[length])))
-                        seen[length] += 1
+                        rows.append((doc_id, k, start, length, crc, pid))
+                        pid += 1
                 at += len(texts)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -58,48 +63,134 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     return rows.mapInArrow(encode, PIECE_SCHEMA)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """The supersteps over runs of equal pieces.
+def brackets(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Match pieces (False, opening) with gaps (True, closing) in order of size.
 
-    counts: pieces by length. Returns runs (length, first rank, first sequence, pieces a sequence,
-    offset in the sequence), sorted by length and rank, and the number of sequences. Piece `rank`
-    of a run goes to sequence first + (rank - first rank) // pieces a sequence.
+    Returns for each row the row it is matched with, or -1, and its level: the depth of its bracket.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    runs: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        shrunk: list[tuple[int, int, int]] = []
-        for gap in sorted(g for g in gaps if g >= length):
-            if not left:
-                break
-            fit, rest = gap // length, []
-            for first, n in gaps[gap]:
-                full = min(n, left // fit)
-                if full:
-                    runs.append((length, rank, first, fit, capacity - gap))
-                    shrunk.append((gap - fit * length, first, full))
-                    rank, left, first, n = rank + full * fit, left - full * fit, first + full, n - full
-                if n and left and left < fit:
-                    runs.append((length, rank, first, left, capacity - gap))
-                    shrunk.append((gap - left * length, first, 1))
-                    rank, left, first, n = rank + left, 0, first + 1, n - 1
-                if n:
-                    rest.append((first, n))
-            gaps[gap] = rest
-            if not rest:
-                del gaps[gap]
-        fit = capacity // length
-        for each, n in ((fit, left // fit), (left % fit, 1)):
-            if each and n:
-                runs.append((length, rank, opened, each, 0))
-                shrunk.append((capacity - each * length, opened, n))
-                rank, opened = rank + each * n, opened + n
-        for gap, first, n in shrunk:
-            if gap:
-                gaps.setdefault(gap, []).append((first, n))
-    return np.array(sorted(runs), np.int64).reshape(-1, 5), opened
+    depth = np.cumsum(np.where(gap, -1, 1))
+    level = np.where(gap, depth + 1, depth)
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    pairs = (level[a] == level[b]) & ~gap[a] & gap[b]
+    mate = np.full(len(gap), -1)
+    mate[a[pairs]], mate[b[pairs]] = b[pairs], a[pairs]
+    return mate, level
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sweep of a task over its range of sizes: matched pieces, and what stays open with its level within the task."""
+    from pyspark import TaskContext
+
+    rows = list(batches)
+    if not rows:
+        return
+    size, gap, ids, slot = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("size", "gap", "id", "slot"))
+    mate, level = brackets(gap)
+    done, free = np.flatnonzero((mate >= 0) & ~gap), np.flatnonzero(mate < 0)
+    part = TaskContext.get().partitionId()
+    out = np.concatenate([done, free])
+    sid = pa.array(np.concatenate([ids[mate[done]], np.zeros(len(free), np.int64)]), mask=np.arange(len(out)) >= len(done))
+    slots = np.concatenate([slot[mate[done]], slot[free]])
+    columns = [ids[out], size[out], gap[out], slots, sid, np.full(len(out), part, np.int32), level[out]]
+    yield pa.record_batch([pa.array(c) for c in columns], [x.split()[0] for x in SWEPT_SCHEMA.split(", ")])
+
+
+def tasks_for(rows: int) -> int:
+    return -(-rows // TASK_ROWS) or 1
+
+
+def one_round(pieces: DataFrame, gaps: DataFrame, shortest: int, longest: int, slots: int, rows: int, capacity: int) -> DataFrame:
+    """Match pieces (id, size) with gaps (id, size), at most one piece for each slot.
+
+    A gap of twice the longest piece or more offers several slots, at most `slots`, so that each holds
+    any piece. Returns a table of pieces left (kind 0), gaps left (1; id, size) and places (2; id of
+    the piece, sid, at).
+    """
+    spark = pieces.sparkSession
+    roomy = gaps.filter(F.col("size") >= shortest)
+    zero = F.lit(0).cast("long")
+    number = F.greatest(F.lit(1), F.least(F.lit(slots), F.floor(F.col("size") / longest))).cast("long")
+    offers = roomy.withColumn("n", number).select(F.floor(F.col("size") / F.col("n")).alias("size"), F.lit(True).alias("gap"), "id", F.explode(F.sequence(zero, F.col("n") - 1)).alias("slot"))
+    events = pieces.select("size", F.lit(False).alias("gap"), "id", zero.alias("slot")).unionByName(offers)
+    by_range = events.repartitionByRange(tasks_for(rows), "size", "gap", "id", "slot").sortWithinPartitions("size", "gap", "id", "slot")
+    swept = common.materialize(by_range.mapInArrow(sweep, SWEPT_SCHEMA), "swept")
+
+    # The depth at which each task's range begins: a row for each task, of TASK_ROWS rows each.
+    free = swept.filter("sid IS NULL")
+    sums = free.groupBy("part").agg(F.sum(F.when(F.col("gap"), -1).otherwise(1)).alias("n")).collect()
+    before, depth = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in sums):
+        before.append((part, depth))
+        depth += n
+    free = free.join(spark.createDataFrame(before, "part int, depth long"), "part").withColumn("level", F.col("level") + F.col("depth")) if len(before) > 1 else free
+    following = F.lead(F.struct("gap", "id", "slot")).over(Window.partitionBy("level").orderBy("part", F.col("gap").desc()))
+    met = free.withColumn("next", following).filter(~F.col("gap"))
+    met = met.select("id", "size", F.when(F.col("next.gap"), F.col("next.id")).alias("sid"), F.when(F.col("next.gap"), F.col("next.slot")).alias("slot"))
+
+    places = swept.filter("sid IS NOT NULL").select("id", "size", "sid", "slot").unionByName(met.filter("sid IS NOT NULL"))
+    none = F.lit(None).cast("long")
+    held = roomy.select(none.alias("id"), F.col("size").alias("room"), F.col("id").alias("sid"), F.lit(-1).cast("long").alias("slot"), zero.alias("size"))
+    held = held.unionByName(places.withColumn("room", none))
+    sequence = Window.partitionBy("sid")
+    earlier = F.sum("size").over(sequence.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    held = held.withColumn("earlier", earlier).withColumn("all", F.sum("size").over(sequence)).withColumn("room", F.max("room").over(sequence))
+    is_gap = F.col("slot") < 0
+    held = held.select(
+        F.when(is_gap, 1).otherwise(2).alias("kind"),
+        F.when(is_gap, F.col("sid")).otherwise(F.col("id")).alias("id"),
+        F.when(is_gap, F.col("room") - F.col("all")).otherwise(F.col("size")).alias("size"),
+        "sid",
+        (F.lit(capacity) - F.col("room") + F.col("earlier")).alias("at"),
+    ).filter("kind = 2 OR size > 0")
+    small = gaps.filter(F.col("size") < shortest).select(F.lit(1).alias("kind"), "id", "size", none.alias("sid"), none.alias("at"))
+    left = met.filter("sid IS NULL").select(F.lit(0).alias("kind"), "id", "size", none.alias("sid"), none.alias("at"))
+    out = common.materialize(held.unionByName(small).unionByName(left).coalesce(tasks_for(rows)), "round")
+    common.discard(swept)
+    return out
+
+
+def places_of(pieces: DataFrame, capacity: int) -> DataFrame:
+    """The rounds over pieces (pid, length): pid, sequence_id, offset.
+
+    The driver sees counts by length and room alone, at most two for each length up to the capacity.
+    """
+    spark = pieces.sparkSession
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # No two pieces of more than half of the capacity share a sequence: each begins its own, named by its number.
+    large = pieces.filter(2 * F.col("length") > capacity)
+    placed = [large.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    gaps = large.filter(F.col("length") < capacity).select(F.col("pid").alias("id"), (F.lit(capacity) - F.col("length")).alias("size"))
+    rooms = {capacity - n: k for n, k in lengths.items() if capacity < 2 * n < 2 * capacity}
+    left, waiting, opened = None, {}, 0
+    longest = capacity // 2
+    while longest:
+        lowest = longest // 2
+        entering = {n: k for n, k in lengths.items() if lowest < n <= longest}
+        of_class = pieces.filter((F.col("length") > lowest) & (F.col("length") <= longest)).select(F.col("pid").alias("id"), F.col("length").alias("size"))
+        if entering:
+            left = of_class if left is None else left.unionByName(of_class)
+            waiting = {n: waiting.get(n, 0) + entering.get(n, 0) for n in {*waiting, *entering}}
+        late = sum(waiting.values()) // LATE if lowest else 0
+        while (n_pieces := sum(waiting.values())) > late:
+            unfit = sum(n * k for n, k in waiting.items() if n > max(rooms, default=0))
+            if new := -(-unfit // capacity):
+                more = spark.range(-opened - new, -opened, numPartitions=tasks_for(new)).select("id", F.lit(capacity).cast("long").alias("size"))
+                gaps, opened = gaps.unionByName(more), opened + new
+                rooms = {**rooms, capacity: rooms.get(capacity, 0) + new}
+            shortest = min(waiting)
+            n_gaps = sum(k for room, k in rooms.items() if room >= shortest)
+            slots = -(-2 * n_pieces // n_gaps)
+            state = one_round(left, gaps, shortest, max(waiting), slots, n_gaps + 3 * n_pieces, capacity)
+            seen = state.filter("kind < 2").groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
+            waiting, rooms = ({r["size"]: r["n"] for r in seen if r["kind"] == kind} for kind in (0, 1))
+            left, gaps = (state.filter(F.col("kind") == kind).select("id", "size") for kind in (0, 1))
+            placed.append(state.filter("kind = 2").select(F.col("id").alias("pid"), F.col("sid").alias("sequence_id"), F.col("at").alias("offset")))
+        longest = lowest
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
@@ -110,28 +201,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     a doc_id, or have none, are packed each on its own; an empty table gives no rows.
     """
     pieces = common.materialize(pieces_of(docs, tokenizer, end_id, capacity), "pieces")
-    by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    # At most `capacity` rows, whatever the number of documents.
-    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs, _ = best_fit(counts, capacity)
-    keys = (runs[:, 0] << 44) | runs[:, 1]
-
-    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = by_task.select("part", "length", F.coalesce(earlier, F.lit(0)).alias("base"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            run = runs[np.searchsorted(keys, (length << 44) | rank, "right") - 1]
-            nth, within = np.divmod(rank - run[:, 1], run[:, 3])
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.record_batch(
-                [*kept, pa.array(run[:, 2] + nth, pa.int64()), pa.array(run[:, 4] + within * length, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("local"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    return pieces.join(places_of(pieces, capacity), "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
