@@ -123,7 +123,10 @@ def one_round(pieces: DataFrame, gaps: DataFrame, shortest: int, longest: int, s
     for part, n in sorted((r["part"], r["n"]) for r in sums):
         before.append((part, depth))
         depth += n
-    free = free.join(spark.createDataFrame(before, "part int, depth long"), "part").withColumn("level", F.col("level") + F.col("depth")) if len(before) > 1 else free
+    if len(before) > 1:
+        parts, depths = zip(*before, strict=True)
+        depths = spark.createDataFrame(pa.table({"part": pa.array(parts, pa.int32()), "depth": pa.array(depths, pa.int64())}))
+        free = free.join(depths, "part").withColumn("level", F.col("level") + F.col("depth"))
     following = F.lead(F.struct("gap", "id", "slot")).over(Window.partitionBy("level").orderBy("part", F.col("gap").desc()))
     met = free.withColumn("next", following).filter(~F.col("gap"))
     met = met.select("id", "size", F.when(F.col("next.gap"), F.col("next.id")).alias("sid"), F.when(F.col("next.gap"), F.col("next.slot")).alias("slot"))
@@ -159,7 +162,8 @@ def places_of(pieces: DataFrame, capacity: int) -> DataFrame:
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # No two pieces of more than half of the capacity share a sequence: each begins its own, named by its number.
     large = pieces.filter(2 * F.col("length") > capacity)
-    placed = [large.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    placed = large.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    written = []
     gaps = large.filter(F.col("length") < capacity).select(F.col("pid").alias("id"), (F.lit(capacity) - F.col("length")).alias("size"))
     rooms = {capacity - n: k for n, k in lengths.items() if capacity < 2 * n < 2 * capacity}
     left, waiting, opened = None, {}, 0
@@ -185,12 +189,12 @@ def places_of(pieces: DataFrame, capacity: int) -> DataFrame:
             seen = state.filter("kind < 2").groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
             waiting, rooms = ({r["size"]: r["n"] for r in seen if r["kind"] == kind} for kind in (0, 1))
             left, gaps = (state.filter(F.col("kind") == kind).select("id", "size") for kind in (0, 1))
-            placed.append(state.filter("kind = 2").select(F.col("id").alias("pid"), F.col("sid").alias("sequence_id"), F.col("at").alias("offset")))
+            written.append(state)
         longest = lowest
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out
+    if not written:
+        return placed
+    rounds = spark.read.schema(written[0].schema).parquet(*[state._written_to for state in written])
+    return placed.unionByName(rounds.filter("kind = 2").select(F.col("id").alias("pid"), F.col("sid").alias("sequence_id"), F.col("at").alias("offset")))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
