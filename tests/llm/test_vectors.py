@@ -78,6 +78,51 @@ def test_bounds_hold():
         assert (found == (exact >= threshold))[np.abs(exact - threshold) > 1e-12].all()
 
 
+def _disk_files(spark):
+    return {f.getPath(): f.length() for f in _items(spark, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+
+
+def _items(spark, seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_shuffles_grow_with_vectors_not_with_tiles(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=64)], 0, 1) for k in range(1200)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    before = _disk_files(spark)
+    assert embed.near_duplicates(frame, 0.95, 20).count() == 1200  # 60 tiles
+    written = sum(n for path, n in _disk_files(spark).items() if path not in before)
+    assert written < 4 * 1200 * 64 * 4, written
+
+
+def test_projections_miss_no_link(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=64) * 3
+    # Loose vectors, a dense cluster with links among most, and a common direction that brings all cosines near to the threshold.
+    base = [rng.normal(size=64) for _ in range(120)] + [centre + rng.normal(size=64) * s for s in (0.2, 0.7) for _ in range(60)]
+    vectors = [v + rng.normal(size=64) * s for v in base for s in (0, 0.2)]
+    rows = [(k, [float(np.float32(x)) for x in v], 0, 1) for k, v in enumerate(vectors)]
+    tile = embed._Tile([np.array(v, "<f4").tobytes() for _, v, _, _ in rows], "<f4")
+    exact = tile.unit @ tile.unit.T
+    assert tile.low.shape[1] < 32 and (tile.low.astype(float) @ tile.low.T.astype(float) >= exact - 1e-6).all()
+    for threshold in (0.5, 0.8, 0.95):
+        found = np.concatenate([m for _, m in embed.linked(tile, tile, threshold, 32)])
+        assert (found == (exact >= threshold))[np.abs(exact - threshold) > 1e-12].all()
+    out = embed.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 0.95, 50).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=repr) == brute([(i, v) for i, v, _, _ in rows], 0.95)
+
+
+def test_rows_without_id_link_but_lead_nowhere(spark):
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    # 1 and 2 meet only through the row without id; 3 and 4 link, and both with one that comes first by any order of theirs.
+    rows = [(1, turn(0.0)), (None, turn(0.3)), (2, turn(0.6)), (3, turn(2.0)), (4, turn(2.1)), *((None, turn(2.0 + k / 100)) for k in range(1, 10))]
+    for tile in (4096, 2):
+        out = embed.near_duplicates(spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA), 0.95, tile).collect()
+        single = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=repr) == brute(single, 0.95)
+
+
 def _brute_components(links):
     root = {x: x for e in links for x in e}
     changed = True

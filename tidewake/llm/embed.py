@@ -3,21 +3,29 @@
 Unit vectors are rounded to int8 multiples of a scale of their own; the norm of what rounding took
 away is kept. For tiles of vectors the int8 products are exact integers, and the true cosine of a
 pair lies within (e1 + e2 + e1 e2) of the scaled product, e being those norms. Pairs surely above or
-below the threshold are settled so; only the rest is computed in double precision. A pair of tiles
-returns counts and a spanning forest of its links, never the links themselves. Equal vectors are
-one class and take part once.
+below the threshold are settled so; only the rest is computed in double precision. Before that, a
+product of the projections on a few directions plus that of the norms of the rest bounds the cosine
+from above; where it leaves few pairs, only those get int8 products. Equal vectors are one class and
+take part once.
+
+A tile is a row of one table, written once. Pairs of tiles are a Cartesian product of that table's
+partitions, each of which is read from the shared folder by the tasks that need it, so no vector is
+copied for the tiles it meets. A task returns counts and a spanning forest of its links, never the
+links themselves.
 
 Where there are many tiles, vectors are dealt to cells by their nearest pivot. Angles obey the
 triangle inequality, so two cells whose pivots are further apart than both radii and the threshold's
 angle hold no link, and none of their tiles meet. Where that would spare little, as for vectors that
-fill all directions alike, tiles are dealt by hash.
+fill all directions alike, tiles are cut from the rows as they stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,8 @@ from . import common, graph
 from .graph import UnionFind
 
 _SLACK = 1e-6  # covers the rounding of the bounds themselves
+#: Bytes of vectors in a tile, of tiles in a partition of theirs (a task reads two), and of prepared tiles that a worker keeps.
+_TILE_BYTES, _PART_BYTES, _KEPT_BYTES = 8 << 20, 24 << 20, 96 << 20
 
 
 def _vectors(column: pa.Array) -> tuple[list[np.ndarray | None]]:
@@ -57,8 +67,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.
         )
 
 
+@cache
+def _directions(dim: int) -> np.ndarray | None:
+    """Orthonormal columns to project on; None where these would not be far fewer than the dimensions."""
+    few = max(24, dim // 8)
+    return np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, few)))[0] if 2 * few <= dim else None
+
+
 class _Tile:
-    """Unit vectors of one dimension, their int8 codes, scales and error norms."""
+    """Unit vectors of one dimension, their int8 codes, scales and error norms.
+
+    The products of `low` are no smaller than the cosines: projections on a few directions, and the norm of the rest.
+    """
 
     def __init__(self, vectors: list[bytes], dtype: str = "<f8"):
         self.unit = _units(vectors, dtype)
@@ -67,28 +87,54 @@ class _Tile:
         self.error = np.sqrt(((self.unit - codes * self.scale[:, None]) ** 2).sum(1)) + _SLACK
         # BLAS has no int8 products: as floats of integers below 2^24 they are exact up to 1,040 dimensions, in double beyond.
         self.codes = codes.astype(np.float32 if codes.shape[1] <= 1040 else np.float64)
+        directions = _directions(codes.shape[1])
+        self.low = None
+        if directions is not None:
+            part = self.unit @ directions
+            rest = np.sqrt(np.maximum(1 - (part**2).sum(1, keepdims=True), 0) + 1e-12)
+            self.low = np.hstack([part, rest]).astype(np.float32)
 
+    def nbytes(self) -> int:
+        return self.unit.nbytes + self.codes.nbytes + (0 if self.low is None else self.low.nbytes)
 
-def linked(a: _Tile, b: _Tile, threshold: float, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """For runs of rows of tile a: the first row and a boolean matrix of links to the rows of b."""
+
+def _near(a: _Tile, b: _Tile, threshold: float, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows of tile a: the first row, and the links as rows from it and rows of b."""
+    sparse = a.low is not None and b.low is not None
+    low = np.ascontiguousarray(b.low.T) if sparse else None
     for at in range(0, len(a.unit), rows):
         end = min(at + rows, len(a.unit))
-        near = a.codes[at:end] @ b.codes.T
-        near *= b.scale.astype(near.dtype)[None, :]
         scale, error = a.scale[at:end], a.error[at:end]
-        # For all rows of b at once, with the largest of their errors: no pair that may link is missed.
-        bound = error + b.error.max() * (1 + error) + 2e-6
-        maybe = near >= ((threshold - bound) / scale).astype(near.dtype)[:, None] * (1 - 1e-6)
-        i, j = np.nonzero(maybe)
-        if len(i):
+        if sparse:
+            # Rounding in single precision stays below (directions + 4) 2^-23 for products of unit vectors.
+            maybe = np.flatnonzero(a.low[at:end] @ low >= np.float32(threshold - 2e-6 - (len(low) + 4) * 2.0**-23))
+            # Many left, as in one dense cluster: whole products for what is left of this pair of tiles.
+            sparse = len(maybe) <= (end - at) * len(b.unit) // 64
+            if sparse:
+                i, j = np.divmod(maybe, len(b.unit))
+                product = np.einsum("ij,ij->i", a.codes[at + i], b.codes[j]) * b.scale[j] * scale[i]
+        if not sparse:
+            near = a.codes[at:end] @ b.codes.T
+            near *= b.scale.astype(near.dtype)[None, :]
+            # For all rows of b at once, with the largest of their errors: no pair that may link is missed.
+            bound = error + b.error.max() * (1 + error) + 2e-6
+            i, j = np.divmod(np.flatnonzero(near >= ((threshold - bound) / scale).astype(near.dtype)[:, None] * (1 - 1e-6)), len(b.unit))
             product = near[i, j].astype(np.float64) * scale[i]
-            own = error[i] + b.error[j] * (1 + error[i]) + 2e-6
-            doubt = np.flatnonzero((product - own < threshold) & (product + own >= threshold))
-            maybe[i, j] = product - own >= threshold
-            for k in range(0, len(doubt), 65536):
-                p, q = i[doubt[k : k + 65536]], j[doubt[k : k + 65536]]
-                maybe[p, q] = np.einsum("ij,ij->i", a.unit[at + p], b.unit[q]) >= threshold
-        yield at, maybe
+        own = error[i] + b.error[j] * (1 + error[i]) + 2e-6
+        sure = product - own >= threshold
+        doubt = np.flatnonzero(~sure & (product + own >= threshold))
+        for k in range(0, len(doubt), 65536):
+            part = doubt[k : k + 65536]
+            sure[part] = np.einsum("ij,ij->i", a.unit[at + i[part]], b.unit[j[part]]) >= threshold
+        yield at, i[sure], j[sure]
+
+
+def linked(a: _Tile, b: _Tile, threshold: float, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """For runs of rows of tile a: the first row and a boolean matrix of links to the rows of b."""
+    for at, i, j in _near(a, b, threshold, rows):
+        matrix = np.zeros((min(rows, len(a.unit) - at), len(b.unit)), bool)
+        matrix[i, j] = True
+        yield at, matrix
 
 
 @dataclass
@@ -160,46 +206,198 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile_rows: int
     component_id is the smallest vec_id reachable by links and kept marks it. Rows without vec_id
     count as links of others; they have no component and are kept. An empty table gives no rows.
     Every pair that the cells don't rule out is covered: at worst the work is quadratic in the number
-    of distinct vectors, in tiles of `tile_rows`, with two tiles a task.
+    of distinct vectors, in tiles of `tile_rows` at most. What is written and shuffled grows with the
+    vectors and not with their pairs. The table is read twice and has to be the same both times.
     """
     with common.Scope() as scope:
         return scope.keep(common.materialize(_labelled(vectors, threshold, tile_rows, most_pivots), "near-vectors"))
 
 
-def _copies(classes: DataFrame, threshold: float, tile_rows: int, most_pivots: int, dtype: str) -> tuple[DataFrame, int]:
-    """A copy of each vector for each pair of tiles that meets: dim, i, j, tile, fp, n, rep, vec; and the number of pairs."""
-    spark = classes.sparkSession
+def _most_rows(dim: int, dtype: str, tile_rows: int) -> int:
+    return min(tile_rows, max(1, _TILE_BYTES // (dim * int(dtype[-1]))))
+
+
+def _pack(classes: DataFrame, dtype: str, tile_rows: int, meets: dict[tuple[int, int], list[int]]) -> DataFrame:
+    """A row for each tile: id, dim, cell, meets (cells that may hold links; null: all), and its classes' fp, n, rep, vec one after the other.
+
+    A tile holds vectors of one dimension, and of one cell where `meets` has that.
+    """
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int], list[pa.RecordBatch]] = {}
+        held = 0
+
+        def cut(key: tuple[int, int], whole_only: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows = pa.Table.from_batches(waiting.pop(key))
+            most = _most_rows(key[0], dtype, tile_rows)
+            end = len(rows) // most * most if whole_only else len(rows)
+            held -= end * key[0] * int(dtype[-1])
+            for at in range(0, end, most):
+                part = rows.slice(at, min(most, end - at))
+                rep = part.column("rep")
+                packed = [
+                    b"".join(part.column("fp").to_pylist()),
+                    np.asarray(part.column("n")).astype("<i8").tobytes(),
+                    np.asarray(rep.fill_null(0)).astype("<i8").tobytes(),
+                    np.asarray(rep.is_null()).astype("u1").tobytes(),
+                    b"".join(part.column("vec").to_pylist()),
+                ]
+                columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([meets.get(key)], pa.list_(pa.int32()))]
+                yield pa.record_batch([*columns, *(pa.array([x], pa.binary()) for x in packed)], ["dim", "cell", "meets", "fp", "n", "rep", "none", "vec"])
+            if end < len(rows):
+                waiting[key] = rows.slice(end).to_batches()
+
+        for batch in batches:
+            dim, cell = np.asarray(batch.column("dim")), np.asarray(batch.column("cell"))
+            for d in np.unique(dim).tolist():
+                cells = np.unique(cell[dim == d]).tolist()
+                own = [(d, c) for c in cells if (d, c) in meets]
+                for key in own or [(d, 0)]:
+                    at = np.flatnonzero((dim == d) & (cell == key[1])) if own else np.flatnonzero(dim == d)
+                    waiting.setdefault(key, []).append(batch.take(pa.array(at)))
+                    held += len(at) * d * int(dtype[-1])
+                    if sum(map(len, waiting[key])) >= _most_rows(d, dtype, tile_rows):
+                        yield from cut(key, True)
+            if held > 4 * _TILE_BYTES:
+                for key in list(waiting):
+                    yield from cut(key, False)
+        for key in list(waiting):
+            yield from cut(key, False)
+
+    schema = "dim int, cell int, meets array<int>, fp binary, n binary, rep binary, none binary, vec binary"
+    return classes.select("fp", "n", "rep", "vec", "dim", "cell").mapInArrow(tiles, schema).withColumn("id", F.monotonically_increasing_id())
+
+
+def _tiles(classes: DataFrame, tile_rows: int, most_pivots: int, dtype: str, threshold: float) -> tuple[DataFrame, int]:
+    """The table of tiles, and the bytes in it. What it was made from is deleted."""
     counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each dimension that occurs
-    dims = {d: -(-n // tile_rows) for d, n in counts.items()}
-    cells, dealt = find_cells(classes, dims, dtype, most_pivots) if any(t > 1 for t in dims.values()) else (Cells({}, {}, {}), classes.withColumn("cell", F.lit(0)))
-    pairs, plan = 0, []
-    for d, tiles in dims.items():
-        spares = d in cells.pivots and cells.spared(d, threshold) > 0.1
-        if not spares:
-            plan.append((d, None, 0, tiles, [(0, tiles)]))
-            pairs += tiles * (tiles + 1) // 2
-            continue
-        meets, own = cells.may_meet(d, threshold), -(-cells.count[d] // tile_rows)
-        first = np.cumsum(own) - own
-        for c in np.flatnonzero(own).tolist():
-            plan.append((d, c, int(first[c]), int(own[c]), [(int(first[o]), int(own[o])) for o in np.flatnonzero(meets[c] & (own > 0)).tolist()]))
-        pairs += int(own @ meets @ own + own.sum()) // 2
-    table = spark.createDataFrame(plan, "pdim int, pcell int, first int, own int, others array<struct<first:int,own:int>>")
-    # A row for each dimension or cell: bounded as the cells are.
-    met = (F.col("dim") == F.col("pdim")) & (F.col("pcell").isNull() | (F.col("cell") == F.col("pcell")))
-    placed = dealt.join(F.broadcast(table), met)
-    tile = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("own")).cast("int")
-    other = F.explode(F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["own"] - 1), lambda t: o["first"] + t.cast("int")))))
-    copies = placed.withColumn("tile", tile).withColumn("other", other)
-    return copies.select("dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "n", "rep", "vec"), pairs
+    dims = {d: -(-n // _most_rows(d, dtype, tile_rows)) for d, n in counts.items()}
+    meets: dict[tuple[int, int], list[int]] = {}
+    dealt = classes
+    if any(t > 1 for t in dims.values()):
+        cells, dealt = find_cells(classes, dims, dtype, most_pivots)
+        common.discard(classes)
+        for d in cells.pivots:
+            if cells.spared(d, threshold) > 0.1:
+                may = cells.may_meet(d, threshold)
+                meets |= {(d, c): np.flatnonzero(may[c]).tolist() for c in np.flatnonzero(cells.count[d]).tolist()}
+        given = dealt.repartitionByRange(common.shuffle_partitions(classes.sparkSession), "dim", "cell", "fp").sortWithinPartitions("dim", "cell") if meets else dealt
+    else:
+        given = classes.withColumn("cell", F.lit(0))
+    packed = _pack(given, dtype, tile_rows, meets)
+    # A file holds few tiles, so that files can be dealt evenly over partitions.
+    size = sum(n * (d * int(dtype[-1]) + 33) for d, n in counts.items())
+    per_file = max(1, min(sum(dims.values()) // 256, (4 << 20) // max(1, size // max(1, sum(dims.values())))))
+    with common.setting(classes.sparkSession, "spark.sql.files.maxRecordsPerFile", str(per_file)):
+        tiles = common.materialize(packed, "tiles")
+    common.discard(dealt)
+    return tiles, size
+
+
+class _Links:
+    """Links found by a task: counts and a spanning forest over the classes of all its tiles."""
+
+    def __init__(self):
+        self.first: dict[int, int] = {}  # a tile's first class
+        self.parts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        self.links = np.zeros(0, np.int64)
+        self.sets = UnionFind(0)
+        self.weight: dict[int, np.ndarray] = {}
+        self.named: dict[int, np.ndarray] = {}
+
+    def add(self, which: int, fp: bytes, n: bytes, rep: bytes, none: bytes) -> None:
+        if which not in self.first:
+            self.first[which] = len(self.links)
+            self.weight[which], self.named[which] = np.frombuffer(n, "<i8"), np.frombuffer(none, "u1") == 0
+            self.parts.append((fp, np.frombuffer(rep, "<i8"), self.named[which]))
+            self.sets.root = np.concatenate([self.sets.root, len(self.links) + np.arange(len(none))])
+            self.links = np.concatenate([self.links, np.zeros(len(none), np.int64)])
+
+    def pair(self, i: int, j: int, a: _Tile, b: _Tile, threshold: float) -> None:
+        x, y = self.first[i], self.first[j]
+        own = UnionFind(len(a.unit) + (len(b.unit) if i != j else 0))
+        shift = len(a.unit) if i != j else 0
+        for at, p, q in _near(a, b, threshold):
+            p = p + at
+            if i == j:
+                p, q = p[p != q], q[p != q]
+            if not len(p):
+                continue
+            # Sums in double precision are exact below 2^53 rows.
+            self.links[x : x + len(a.unit)] += np.bincount(p, self.weight[j][q], len(a.unit)).astype(np.int64)
+            if i != j:
+                self.links[y : y + len(b.unit)] += np.bincount(q, self.weight[i][p], len(b.unit)).astype(np.int64)
+            # Rows without vec_id have no component, so nothing is reached through them.
+            through = self.named[i][p] & self.named[j][q]
+            own.join(p[through], shift + q[through])
+        up = np.flatnonzero(own.root != np.arange(len(own.root)))
+        place = lambda k: np.where(k < len(a.unit), x + k, y + k - len(a.unit))
+        self.sets.join(place(up), place(own.root[up]))
+
+    def batch(self) -> pa.RecordBatch:
+        where = np.flatnonzero(self.links)
+        fp = np.frombuffer(b"".join(p[0] for p in self.parts), "V16")
+        rep = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in self.parts)])
+        named = np.concatenate([np.zeros(0, bool), *(p[2] for p in self.parts)])
+        root = self.sets.root[where]
+        return pa.record_batch(
+            {
+                "fp": pa.array([x.tobytes() for x in fp[where]], pa.binary()),
+                "links": pa.array(self.links[where]),
+                "a": pa.array(rep[where], mask=~named[where]),
+                "b": pa.array(rep[root], mask=~named[root]),
+            }
+        )
+
+
+def _met(tiles: DataFrame, size: int, dtype: str, threshold: float) -> DataFrame:
+    """fp, links, a, b of all pairs of tiles that may hold links. Each task reads two partitions of the table; nothing is shuffled."""
+    spark = tiles.sparkSession
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, kept = _Links(), OrderedDict()
+        held = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pair = []
+                for side in "ab":
+                    value = lambda name: batch.column(f"{side}_{name}")[k]  # noqa: B023, E731
+                    which = value("id").as_py()
+                    if which not in kept:
+                        raw, dim = value("vec").as_buffer(), value("dim").as_py() * int(dtype[-1])
+                        found.add(which, *(value(name).as_py() for name in ("fp", "n", "rep", "none")))
+                        kept[which] = _Tile([raw[at : at + dim] for at in range(0, raw.size, dim)], dtype)
+                        held += kept[which].nbytes()
+                    kept.move_to_end(which)
+                    pair.append((which, kept[which]))
+                (i, a), (j, b) = pair
+                found.pair(i, j, a, b, threshold)
+                while held > _KEPT_BYTES and len(kept) > 2:
+                    held -= kept.popitem(last=False)[1].nbytes()
+        if len(found.links):
+            yield found.batch()
+
+    a, b = (tiles.select([F.col(c).alias(f"{side}_{c}") for c in tiles.columns]) for side in "ab")
+    i, j = F.col("a_id"), F.col("b_id")
+    # Of (i, j) and (j, i) one is taken, either as often, so that all pairs of partitions have like shares.
+    once = (i == j) | ((i < j) == (F.pmod(F.xxhash64(F.least(i, j), F.greatest(i, j)), F.lit(2)) == 0))
+    may = (F.col("a_dim") == F.col("b_dim")) & (F.col("a_meets").isNull() | F.array_contains("a_meets", F.col("b_cell"))) & once
+    pairs = a.hint("shuffle_replicate_nl").join(b, may).drop("a_meets", "b_meets", "a_cell", "b_cell")
+    parts = max(8, int((8 * spark.sparkContext.defaultParallelism) ** 0.5))
+    with (
+        common.setting(spark, "spark.sql.files.maxPartitionBytes", str(min(_PART_BYTES, max(1 << 20, size // parts)))),
+        common.setting(spark, "spark.sql.files.openCostInBytes", str(1 << 16)),
+        common.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2"),
+    ):
+        return common.materialize(pairs.mapInArrow(products, "fp binary, links long, a long, b long"), "tile-links")
 
 
 def _labelled(vectors: DataFrame, threshold: float, tile_rows: int, most_pivots: int) -> DataFrame:
-    spark = vectors.sparkSession
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Single precision holds vectors of floats as they are; anything else is kept in double.
     dtype = "<f4" if given.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
-    prints = common.materialize(given.mapInArrow(lambda batches: _fingerprints(batches, dtype), "vec_id long, fp binary, vec binary"), "vectors")
+    prints = given.mapInArrow(lambda batches: _fingerprints(batches, dtype), "vec_id long, fp binary, vec binary")
     classes = (
         prints.filter("fp IS NOT NULL")
         .groupBy("fp")
@@ -207,62 +405,14 @@ def _labelled(vectors: DataFrame, threshold: float, tile_rows: int, most_pivots:
         .withColumn("dim", F.expr(f"cast(length(vec) div {dtype[-1]} as int)"))
     )
     classes = common.materialize(classes, "classes")
-    copies, pairs = _copies(classes, threshold, tile_rows, most_pivots, dtype)
-
-    def products(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        which = np.asarray(table.column("tile"))
-        order = np.argsort(which, kind="stable")
-        table = table.take(pa.array(order))
-        which = which[order]
-        first = int((which == i).sum())
-        vec = table.column("vec").to_pylist()
-        weight = np.asarray(table.column("n")).astype(np.int64)
-        links = np.zeros(len(vec), np.int64)
-        sets = UnionFind(len(vec))
-        if i == j:
-            a = b = _Tile(vec, dtype)
-            shift = 0
-        elif 0 < first < len(vec):
-            a, b, shift = _Tile(vec[:first], dtype), _Tile(vec[first:], dtype), first
-        else:
-            return _found(table, links, sets, np.zeros(len(vec), bool))
-        linking = np.zeros(len(vec), bool)
-        for at, matrix in linked(a, b, threshold):
-            if i == j:
-                matrix[np.arange(len(matrix)), at + np.arange(len(matrix))] = False
-            if not matrix.any():
-                continue
-            n = len(matrix)
-            links[at : at + n] += matrix @ weight[shift:]
-            if i != j:
-                links[shift:] += weight[at : at + n] @ matrix
-            p, q = np.nonzero(matrix)
-            linking[at + p] = linking[shift + q] = True
-            sets.join(at + p, shift + q)
-        return _found(table, links, sets, linking)
-
-    def _found(table: pa.Table, links: np.ndarray, sets: UnionFind, linking: np.ndarray) -> pa.Table:
-        where = np.flatnonzero(linking)
-        rep = table.column("rep").combine_chunks()
-        return pa.table(
-            {
-                "fp": table.column("fp").take(pa.array(where)),
-                "links": pa.array(links[where]),
-                "a": rep.take(pa.array(where)),
-                "b": rep.take(pa.array(sets.root[where])),
-            }
-        )
-
-    # Tasks by work, not by bytes: small tiles would be gathered into few tasks, and a pair of tiles takes long.
-    copies = copies.repartition(max(common.shuffle_partitions(spark), min(2 * pairs, 20_000)), "dim", "i", "j")
-    found = copies.groupBy("dim", "i", "j").applyInArrow(products, "fp binary, links long, a long, b long")
-    found = common.materialize(found, "tile-links")
+    named = common.materialize(classes.select("fp", "n", "rep"), "named")
+    tiles, size = _tiles(classes, tile_rows, most_pivots, dtype, threshold)
+    found = _met(tiles, size, dtype, threshold)
+    common.discard(tiles)
     direct = found.groupBy("fp").agg(F.sum("links").alias("links"))
     joined = graph.components(found)
     summary = (
-        classes.select("fp", "n", "rep")
-        .join(direct, "fp", "left")
+        named.join(direct, "fp", "left")
         .join(joined, F.col("rep") == F.col("node"), "left")
         .select("fp", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
