@@ -312,6 +312,14 @@ def test_merge_over_blocks(spark):
     assert not stats.monotonic(spark.createDataFrame(falling, df.schema)).first()["monotonic"]
 
 
+def test_merge_backward_takes_each_row_once(spark):
+    from tidewake.operators import merge
+
+    df = spark.createDataFrame([], "src string, tag_line string, chunk_id long, idx long, ts_ns long")
+    plan = merge.with_merge_key(df, False, True)._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("specifiedwindowframe(rowframe, unboundedpreceding") == 2 and "unboundedfollowing" not in plan
+
+
 def test_shell_collects_and_forwards(spark, engine, tmp_path):
     import json
 

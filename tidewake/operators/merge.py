@@ -27,17 +27,18 @@ def with_merge_key(rows: DataFrame, monotonic: bool = False, backward: bool = Fa
 
     The running maximum is taken block by block of 65,536 places of a chunk and joined to the maxima
     of the blocks before, so no task holds more than a block, however large a chunk or a partition
-    is. Backward it is a running minimum from the end.
+    is. Backward it is a running minimum from the end: the order is turned, since a frame that reaches
+    to the end of its partition is summed up anew for each row.
     """
     if monotonic:
         return rows.withColumn(KEY, F.col("ts_ns"))
-    best, frame = (F.min, (0, Window.unboundedFollowing)) if backward else (F.max, (Window.unboundedPreceding, 0))
+    best, turned = (F.min, F.desc) if backward else (F.max, F.asc)
     block = ["src", "chunk_id", BLOCK]
     rows = rows.withColumn(BLOCK, block_of(F.col("idx")))
-    own = Window.partitionBy(*block).orderBy("idx").rowsBetween(*frame)
-    others = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*block).orderBy(turned("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    others = Window.partitionBy("src").orderBy(turned("chunk_id"), turned(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*block).agg(best("ts_ns").alias("__m"))
-    carried = blocks.select(*block, best("__m").over(Window.partitionBy("src").orderBy("chunk_id", BLOCK).rowsBetween(*others)).alias("__carried"))
+    carried = blocks.select(*block, best("__m").over(others).alias("__carried"))
     joined = rows.withColumn("__own", best("ts_ns").over(own)).join(carried, block)
     both = F.least("__own", "__carried") if backward else F.greatest("__own", "__carried")
     return joined.withColumn(KEY, both).drop("__own", "__carried", BLOCK)
