@@ -246,6 +246,26 @@ def test_dates_skip_and_come_back(spark):
     assert {r["pattern"]: r["hits"] for r in parsers.date_statistics(text).collect()} == {"YYYY-MM-DD HH:mm:ss": 2, "": 1}
 
 
+def test_dates_of_every_line_are_found(spark):
+    undated = ["no date here"] * 10
+    texts = [*undated, "2024-01-01 00:00:00 a", *undated * 3, "at [02/Jan/2024:00:00:00 +0000] b", *undated, "2024-01-03 00:00:00 c"]
+    text = spark.createDataFrame([("f", k, x) for k, x in enumerate(texts)], "file string, line_no long, line string")
+    day = 86400 * 10**9
+    first = 1704067200 * 10**9
+    expected = [None] * 10 + [first] * 31 + [first + day] * 11 + [first + 2 * day]
+    assert [r["ts_ns"] for r in parsers.parse_text(text).orderBy("line_no").collect()] == expected
+
+
+def test_patterns_left_out_match_nothing():
+    rng = random.Random(4)
+    finder = parsers.DateFinder(["MMM", "YYYY_MM"])
+    stems = ["2024-01-05 06:07:08", "05/Jan/2024:06:07:08 +0000", "Jan 5, 2024 6:07:08 PM", "Fri, 05 Jan 2024 06:07:08 GMT", "1.2.24", "2024-01-05T06:07:08.123Z", "May", "2024_03", "٢٠٢٤-٠١-٠٥", "x"]
+    for _ in range(2000):
+        line = "".join(c for c in rng.choice(stems) + rng.choice([" ", ""]) + rng.choice(stems) if rng.random() > 0.05)
+        plain = next(((ns, p) for p in finder.patterns if (ns := p.find(line, finder.now)) is not None), None)
+        assert finder.find(line) == plain
+
+
 def test_shell(spark, engine, capsys):
     from tidewake import cli
 

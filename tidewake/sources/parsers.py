@@ -102,12 +102,13 @@ def _last(pairs: Column, key: str) -> Column:
 class DatedLines:
     """Finds the date of each line of one file, in order.
 
-    The pattern that matched last is tried first. Lines without a date carry the last one seen. After
-    ten failures in a row lines are skipped unsearched, ten at first and twice as many each time, up
-    to 160.
+    The pattern that matched last is tried first. Lines without a date carry the last one seen. Where
+    `skips` is set, after ten failures in a row lines are skipped unsearched, ten at first and twice as
+    many each time, up to 160; the parsers of this module search every line.
     """
 
     finder: DateFinder
+    skips: bool = True
     pattern: object = None
     last: int | None = None
     failed: int = 0
@@ -134,7 +135,7 @@ class DatedLines:
             return self._hit(*found)
         self.pattern = None
         self.failed += 1
-        if self.failed >= 10:
+        if self.skips and self.failed >= 10:
             self.skipping, self.failed = True, 0
         self._count("")
         return self.last
@@ -160,7 +161,7 @@ def parse_text(lines: DataFrame, patterns: list[str] | None = None) -> DataFrame
             found = []
             for name, line in zip(batch["file"], batch["line"], strict=True):
                 if state is None or name != file:
-                    state, file = DatedLines(finder), name
+                    state, file = DatedLines(finder, skips=False), name
                 found.append(state.date(line))
             yield pd.DataFrame({"file": batch["file"], "line_no": batch["line_no"], "ts_ns": pd.array(found, dtype="Int64"), "msg": batch["line"]})
 
