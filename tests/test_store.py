@@ -254,6 +254,7 @@ def test_dates_of_every_line_are_found(spark):
     first = 1704067200 * 10**9
     expected = [None] * 10 + [first] * 31 + [first + day] * 11 + [first + 2 * day]
     assert [r["ts_ns"] for r in parsers.parse_text(text).orderBy("line_no").collect()] == expected
+    assert {r["pattern"]: r["hits"] for r in parsers.date_statistics(text).collect()} == {"YYYY-MM-DD HH:mm:ss": 2, "DD/MMM/YYYY:HH:mm:ss ZZZZ": 1, "": 50}
 
 
 def test_patterns_left_out_match_nothing():
