@@ -267,6 +267,23 @@ def test_patterns_left_out_match_nothing():
         assert finder.find(line) == plain
 
 
+def test_append_writes_records_once(spark, engine, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    written, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), parquet(self, path, *a, **k))[1])
+    engine.write("app=b,a=1", "f=1", records(spark, [1, 5, 3]))
+    assert sorted(p.split("/")[-1] if "/staging/" not in p else "staging" for p in written) == ["chunks", "partitions", "staging"]
+    row = engine.store.chunks().first()
+    assert (row["records"], row["min_ts_ns"], row["max_ts_ns"], row["monotonic"]) == (3, 1, 5, False)
+    assert row["bytes"] == engine.execute("show partitions").first()["size"] == 3 * (8 + 2 + 3)
+    assert engine.store.partitions().first()["tags"] == {"a": "1", "app": "b"}
+    # A repeated write replaces its own chunk.
+    again = engine.rows("select").select("tags", "ts_ns", "msg", "fields_kv").filter("ts_ns < 5").localCheckpoint()
+    engine.store.append(again, chunk_id=row["chunk_id"])
+    assert sorted(lines(engine.sql("select"))) == ["m1", "m3"] and not engine.store.exists("staging/" + str(row["chunk_id"]))
+
+
 def test_shell(spark, engine, capsys):
     from tidewake import cli
 

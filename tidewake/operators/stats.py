@@ -39,15 +39,30 @@ def describe_partition(chunks: DataFrame, tag_line: str) -> DataFrame:
 
 
 def monotonic(rows: DataFrame) -> DataFrame:
-    """src, chunk_id and whether the chunk's times never go back: within blocks of bounded size, then from block to block."""
+    """src, chunk_id and whether the chunk's times never go back."""
+    return _by_blocks(rows.withColumns({"tag_line": F.lit(""), "__bytes": F.lit(0)})).select("src", "chunk_id", "monotonic")
+
+
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """Rows of chunk_stats with whether the chunk's times never go back; records are read once."""
+    return _by_blocks(rows.withColumn("__bytes", record_bytes()))
+
+
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    """Counts and times within blocks of bounded size, then from block to block."""
     from pyspark.sql import Window
 
     from .merge import BLOCK, block_of
 
     block = ["src", "chunk_id", BLOCK]
+    rows = rows.select("src", "tag_line", "chunk_id", "idx", "ts_ns", "__bytes")  # before the exchange
     earlier = F.lag("ts_ns").over(Window.partitionBy(*block).orderBy("idx"))
     marked = rows.withColumn(BLOCK, block_of(F.col("idx"))).withColumn("__back", F.coalesce(F.col("ts_ns") < earlier, F.lit(False)))
-    blocks = marked.groupBy(*block).agg(F.bool_or("__back").alias("__back"), F.min("ts_ns").alias("__min"), F.max("ts_ns").alias("__max"))
+    blocks = marked.groupBy(*block, "tag_line").agg(
+        F.bool_or("__back").alias("__back"), F.min("ts_ns").alias("__min"), F.max("ts_ns").alias("__max"), F.count("*").alias("records"), F.sum("__bytes").alias("__bytes")
+    )
     before = F.max("__max").over(Window.partitionBy("src", "chunk_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
     back = F.col("__back") | F.coalesce(F.col("__min") < before, F.lit(False))
-    return blocks.withColumn("__back", back).groupBy("src", "chunk_id").agg((~F.bool_or("__back")).alias("monotonic"))
+    return blocks.withColumn("__back", back).groupBy("src", "tag_line", "chunk_id").agg(
+        F.sum("records").alias("records"), F.sum("__bytes").alias("bytes"), F.min("__min").alias("min_ts_ns"), F.max("__max").alias("max_ts_ns"), (~F.bool_or("__back")).alias("monotonic")
+    )

@@ -12,6 +12,8 @@ import threading
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -129,6 +131,14 @@ class Store:
         fs, p = self._fs(self.path(name))
         fs.delete(p, True)
 
+    def _move(self, name: str, to: str) -> None:
+        """A folder in the place of another."""
+        (fs, a), (_, b) = self._fs(self.path(name)), self._fs(self.path(to))
+        fs.delete(b, True)
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise OSError(f"can't move {a} to {b}")
+
     def read_text(self, name: str) -> str | None:
         """A small text file, None where there is none."""
         if not self.exists(name):
@@ -182,9 +192,12 @@ class Store:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         rows = self.spark.read.schema(STORED).parquet(self.path("events"))
         if len(listed) <= MOST_CHUNKS:
-            rows = rows.filter(F.col("src").isin(*{r["src"] for r in listed}) & F.col("chunk_id").isin(*{r["chunk_id"] for r in listed}))
-            chunks = F.broadcast(self.spark.createDataFrame(listed, "src string, chunk_id bigint"))
-        rows = rows.join(chunks, ["src", "chunk_id"], "left_semi")
+            by_id: dict[int, set[str]] = {}
+            for r in listed:
+                by_id.setdefault(r["chunk_id"], set()).add(r["src"])
+            rows = rows.filter(reduce(or_, ((F.col("chunk_id") == c) & F.col("src").isin(*sorted(srcs)) for c, srcs in sorted(by_id.items()))))
+        else:
+            rows = rows.join(chunks, ["src", "chunk_id"], "left_semi")
         names = self.table("partitions", PARTITIONS).groupBy("src").agg(F.first("tag_line").alias("tag_line"), F.first("tags").alias("tags"))
         return rows.join(names, "src").select(*[c.split()[0] for c in LOG_SCHEMA.replace("<k:string,v:string>", "").replace("<string,string>", "").split(", ")])
 
@@ -211,23 +224,29 @@ class Store:
                 F.coalesce("msg", F.lit("")).alias("msg"), F.coalesce("fields_kv", F.array().cast("array<struct<k:string,v:string>>")).alias("fields_kv"),
             )
             stage = self.path(f"staging/{chunk_id}")
-            # The input is read once: what is staged is what is counted and kept.
-            staged.write.mode("overwrite").parquet(stage)
-            kept = self.spark.read.schema(LOG_SCHEMA).parquet(stage)
-            if kept.limit(1).count() == 0:
+            # The input is read and its records are written once: what is staged is what is counted, and its folders become those of the chunks.
+            staged.write.mode("overwrite").partitionBy("src", "chunk_id").parquet(stage)
+            fs, at = self._fs(stage)
+            folders = [f"{x.getPath().getName()}/chunk_id={chunk_id}" for x in fs.listStatus(at) if x.getPath().getName().startswith("src=")]
+            if not folders:
                 self.delete(f"staging/{chunk_id}")
                 return self.spark.createDataFrame([], CHUNKS)
-            columns = [c.split()[0] for c in STORED.split(", ")]
-            kept.select(*columns[:5], "fields_kv").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("src", "chunk_id").parquet(self.path("events"))
-            now = time.time_ns()
-            named = kept.groupBy("src", "tag_line").agg(F.first("tags").alias("tags")).select("src", "tags", "tag_line", F.lit(now).cast("bigint").alias("created_ns"), F.lit(by_pipe).alias("by_pipe"))
+            kept = self.spark.read.schema(LOG_SCHEMA).parquet(stage)
+            # A row for each chunk: it is counted once, and held while the tables are written.
+            counted = stats.chunk_rows(kept).persist()
+            counted.count()
+            # Tags as keys, since the first of a group of maps would take a sort of all records.
+            entries = kept.select("src", "tag_line", F.array_sort(F.map_entries("tags")).alias("tags")).distinct()
+            named = entries.select("src", F.map_from_entries("tags").alias("tags"), "tag_line", F.lit(time.time_ns()).cast("bigint").alias("created_ns"), F.lit(by_pipe).alias("by_pipe"))
             # A partition is noted once: the catalog grows with partitions, not with writes.
             new = named.join(self.table("partitions", PARTITIONS).select("src"), "src", "left_anti") if self.exists("partitions") else named
             new.write.mode("append").parquet(self.path("partitions"))
-            new = stats.chunk_stats(kept).join(stats.monotonic(kept), ["src", "chunk_id"]).select(*[c.split()[0] for c in CHUNKS.split(", ")])
+            for folder in folders:
+                self._move(f"staging/{chunk_id}/{folder}", f"events/{folder}")
             known = self.table("chunks", CHUNKS).filter(F.col("chunk_id") == chunk_id).select("src", "chunk_id")
-            new = new.join(known, ["src", "chunk_id"], "left_anti") if self.exists("chunks") else new
+            new = counted.join(known, ["src", "chunk_id"], "left_anti") if self.exists("chunks") else counted
             new.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode("append").parquet(self.path("chunks"))
+            counted.unpersist()
             self.delete(f"staging/{chunk_id}")
             return self.table("chunks", CHUNKS).filter(F.col("chunk_id") == chunk_id)
 
