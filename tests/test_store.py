@@ -210,6 +210,19 @@ def test_lines_of_byte_ranges():
     assert [files.local(p) for p in ("/a/b", "file:/a/b", "file:///a/b", "hdfs://h/a")] == ["/a/b", "/a/b", "/a/b", None]
 
 
+def test_ranges_of_a_file_cut_no_line():
+    from tidewake.sources import files
+
+    rng = random.Random(3)
+    text = b"".join(b"z" * rng.choice([0, 1, 5, 40, 40000]) + b"\n" for _ in range(60)) + b"no end"
+    for start, end in ((0, len(text)), (text.index(b"\n") + 1, len(text) - 6), (0, 0)):
+        whole = list(files.lines_of(io.BytesIO(text), start, end, 1000))
+        for size in (1, 7, 1000, 100_000, 1 << 30):
+            ranges = files.cuts(io.BytesIO(text), start, end, size)
+            assert [x for r in ranges for x in files.lines_of(io.BytesIO(text), *r, 1000)] == whole
+            assert size > 1000 or end == 0 or len(ranges) > 10
+
+
 def test_logfmt(spark):
     def one(log, keys, time="2023-09-08T07:06:05Z"):
         import json

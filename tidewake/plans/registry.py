@@ -395,14 +395,24 @@ def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _put(spark: SparkSession, lines: DataFrame, path: str) -> None:
     """Write one file of lines at a path, in the place of what is there."""
     folder = f"{path}-{uuid.uuid4().hex}"
-    lines.coalesce(1).write.text(folder)
+    lines.write.text(folder)  # by all tasks, in the order of their names
     jvm = spark._jvm
     to = jvm.org.apache.hadoop.fs.Path(path)
     fs = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    part = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if x.getPath().getName().startswith("part-"))
+    found = {x.getPath().getName(): x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))}
+    parts = [found[name] for name in sorted(found) if name.startswith("part-")]
     fs.mkdirs(to.getParent())
     fs.delete(to, False)
-    fs.rename(part, to)
+    out = fs.create(to, True)
+    try:
+        for part in parts:
+            piece = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+            finally:
+                piece.close()
+    finally:
+        out.close()
     fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
 
 

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "file string, line_no long, line string"
 _PIECE, _EDGE = 1 << 20, 256
+#: Bytes of a file that a task reads, more or less.
+_RANGE = 32 << 20
 
 
 def local(path: str) -> str | None:
@@ -82,6 +84,24 @@ def whole_lines(file, size: int, max_line: int) -> int:
     return start + end if end or not start else size
 
 
+def cuts(file, start: int, end: int, size: int) -> list[tuple[int, int]]:
+    """Ranges of about `size` bytes from start to end that begin right behind a line feed, so that no line is cut."""
+    out, begin, at = [], start, start + size
+    while at < end:
+        file.seek(at - 1)
+        piece = file.read(min(_EDGE * 64, end - at + 1))
+        n = piece.find(b"\n") + 1
+        if not piece:
+            break
+        if n and at - 1 + n < end:
+            out.append((begin, at - 1 + n))
+            begin = at - 1 + n
+            at = begin + size
+        else:
+            at += len(piece)
+    return [*out, (begin, end)]
+
+
 def lines_of(file, start: int, end: int, max_line: int) -> Iterator[tuple[int, bytes]]:
     """Place and bytes of the lines from start to end, line feeds kept; longer ones are split before a character."""
     file.seek(start)
@@ -145,14 +165,14 @@ class _Reader(DataSourceStreamReader):
         out = []
         for path, (taken, _) in sorted(end.items()):
             had, print_ = start.get(path, (0, ""))
-            if had:
-                try:
-                    with open_file(path) as f:
+            try:
+                with open_file(path) as f:
+                    if had:
                         had = had if had <= taken and fingerprint(f, had) == print_ else 0
-                except FileNotFoundError:
-                    continue
-            if had < taken:
-                out.append(_Range(path, had, taken))
+                    if had < taken:
+                        out += [_Range(path, *x) for x in cuts(f, had, taken, _RANGE)]
+            except FileNotFoundError:
+                continue
         return out
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
@@ -165,7 +185,14 @@ class _Whole(DataSourceReader):
         self.max_line = int(options.get("max_line", "16384"))
 
     def partitions(self) -> list[_Range]:
-        return [_Range(path, 0, size) for path, (size, _) in sorted(self.files.items())] or [_Range("", 0, 0)]
+        out = []
+        for path, (size, _) in sorted(self.files.items()):
+            try:
+                with open_file(path) as f:
+                    out += [_Range(path, *x) for x in cuts(f, 0, size, _RANGE)]
+            except FileNotFoundError:
+                continue
+        return out or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         return read_range(partition, self.max_line) if partition.path else iter(())

@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,11 @@ def collect(engine, collector, checkpoint: str, idle: float | None = None, **tri
 
     def take(batch: DataFrame, number: int) -> None:
         now = time_of(number)
-        rows = collector.read(batch).filter("corrupt IS NULL").orderBy("file", "line_no")
-        stamped = rows.select("tags", F.coalesce("ts_ns", F.lit(now)).alias("ts_ns"), "msg", "fields_kv")
-        engine.store.append(stamped, chunk_id=now)
+        # Sorting reads its input twice, so what was parsed is held on disk.
+        rows = collector.read(batch).filter("corrupt IS NULL").select("file", "line_no", "tags", F.coalesce("ts_ns", F.lit(now)).alias("ts_ns"), "msg", "fields_kv").persist(StorageLevel.DISK_ONLY)
+        try:
+            engine.store.append(rows.orderBy("file", "line_no").select("tags", "ts_ns", "msg", "fields_kv"), chunk_id=now)
+        finally:
+            rows.unpersist()
 
     return lines.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(take).start()
